@@ -66,6 +66,27 @@ def _lit(v: float) -> Column:
     return F.lit(float(v))
 
 
+def _series_sum(df: DataFrame, coeffs: list[float], out: tuple[str, str], sign: int) -> DataFrame:
+    """Add ``xi +- sum a_j sin(2j xi) cosh(2j eta)`` and ``eta +- sum a_j cos(2j xi) sinh(2j eta)``.
+
+    Clenshaw's recurrence on the complex angle needs four function calls instead of four per term,
+    which keeps the generated code small enough to be compiled.
+    """
+    xi2, eta2 = 2 * F.col("_xi"), 2 * F.col("_eta")
+    df = df.withColumns({"_s": F.sin(xi2), "_c": F.cos(xi2), "_sh": F.sinh(eta2), "_ch": F.cosh(eta2)})
+    df = df.withColumns({"_ar": 2 * F.col("_c") * F.col("_ch"), "_ai": -2 * F.col("_s") * F.col("_sh")})
+    r1, i1, r2, i2 = _lit(coeffs[-1]), _lit(0), _lit(0), _lit(0)
+    for k, a in reversed(list(enumerate(coeffs[:-1]))):
+        names = {f"_r{k}": _lit(a) + F.col("_ar") * r1 - F.col("_ai") * i1 - r2, f"_i{k}": F.col("_ar") * i1 + F.col("_ai") * r1 - i2}
+        df = df.withColumns(names)
+        r1, i1, r2, i2 = F.col(f"_r{k}"), F.col(f"_i{k}"), r1, i1
+    sr, si = F.col("_s") * F.col("_ch"), F.col("_c") * F.col("_sh")
+    df = df.withColumns(
+        {out[0]: F.col("_xi") + sign * (r1 * sr - i1 * si), out[1]: F.col("_eta") + sign * (r1 * si + i1 * sr)}
+    )
+    return df.drop("_s", "_c", "_sh", "_ch", "_ar", "_ai", *[f"_{p}{k}" for k in range(len(coeffs)) for p in "ri"])
+
+
 def _to_utm(df: DataFrame, epsg: int) -> DataFrame:
     zone, north = utm_zone(epsg)
     lon0 = math.radians(zone * 6 - 183)
@@ -79,15 +100,13 @@ def _to_utm(df: DataFrame, epsg: int) -> DataFrame:
     xi = F.atan2(F.col("_tp"), F.cos("_lam"))
     eta = F.asinh(F.sin("_lam") / F.sqrt(F.col("_tp") ** 2 + F.cos("_lam") ** 2))
     df = df.withColumns({"_xi": xi, "_eta": eta})
-    nn, ee = F.col("_xi"), F.col("_eta")
-    for j, a in enumerate(ALPHA, 1):
-        nn = nn + _lit(a) * F.sin(2 * j * F.col("_xi")) * F.cosh(2 * j * F.col("_eta"))
-        ee = ee + _lit(a) * F.cos(2 * j * F.col("_xi")) * F.sinh(2 * j * F.col("_eta"))
+    df = _series_sum(df, ALPHA, ("_nn", "_ee"), 1)
+    nn, ee = F.col("_nn"), F.col("_ee")
     shift = 0.0 if north else FALSE_NORTH_SOUTH
     out = df.withColumns(
         {"x": _lit(FALSE_EAST) + _lit(SCALE * RECTIFYING) * ee, "y": _lit(shift) + _lit(SCALE * RECTIFYING) * nn}
     )
-    return out.drop("_lam", "_tau", "_sig", "_tp", "_xi", "_eta")
+    return out.drop("_lam", "_tau", "_sig", "_tp", "_xi", "_eta", "_nn", "_ee")
 
 
 def _from_utm(df: DataFrame, epsg: int) -> DataFrame:
@@ -99,11 +118,7 @@ def _from_utm(df: DataFrame, epsg: int) -> DataFrame:
             "_eta": (F.col("x") - _lit(FALSE_EAST)) / _lit(SCALE * RECTIFYING),
         }
     )
-    xp, ep = F.col("_xi"), F.col("_eta")
-    for j, b in enumerate(BETA, 1):
-        xp = xp - _lit(b) * F.sin(2 * j * F.col("_xi")) * F.cosh(2 * j * F.col("_eta"))
-        ep = ep - _lit(b) * F.cos(2 * j * F.col("_xi")) * F.sinh(2 * j * F.col("_eta"))
-    df = df.withColumns({"_xp": xp, "_ep": ep})
+    df = _series_sum(df, BETA, ("_xp", "_ep"), -1)
     tp = F.sin("_xp") / F.sqrt(F.sinh("_ep") ** 2 + F.cos("_xp") ** 2)
     df = df.withColumn("_tp", tp).withColumn("_tau", F.col("_tp"))
     e2 = ECC * ECC
@@ -148,4 +163,7 @@ def reproject(points: DataFrame, source: int, target: int) -> DataFrame:
         )
     else:
         out = _to_utm(df, target)
-    return out.drop("_lon", "_lat")
+    # A generator is a fence: a later filter on x or y is not pushed below it, where it would be
+    # rewritten in terms of the input and repeat the whole series many times over.
+    rest = [c for c in points.columns if c not in ("x", "y")]
+    return out.select(*rest, F.inline(F.array(F.struct("x", "y"))))

@@ -25,7 +25,6 @@ EVENT_DDL = (
 )
 EVENT_SCHEMA = f"struct<{EVENT_DDL}>"
 
-START, END = F.col("process") == "FrameStart", F.col("process") == "FrameEnd"
 STATE_KINDS = ("EYE_SetState_Layer", "EYE_SetState")
 KNOWN = (
     "System_Ping System_Pong System_Disconnected InitMap_Config InitAgent_Layer InitAgent_EOF Init_EOF "
@@ -33,6 +32,10 @@ KNOWN = (
 ).split()
 
 
+def _is(kind: str) -> Column:
+    return F.col("process") == kind
+
+
 def parse(events: DataFrame) -> DataFrame:
     """Parse the JSON into typed columns; broken JSON or a missing ``process`` leaves it null."""
     parsed = events.withColumn("e", F.from_json("json", EVENT_SCHEMA, {"mode": "PERMISSIVE"}))
@@ -134,10 +137,10 @@ def frame_marks(good: DataFrame, limit_seconds: float | None = None, block: int
         ["scenario"],
         "seq",
         {
-            "_ls": ("max", F.when(START, F.struct(s, F.col("ts")))),
-            "_le": ("max", F.when(END, s)),
+            "_ls": ("max", F.when(_is("FrameStart"), F.struct(s, F.col("ts")))),
+            "_le": ("max", F.when(_is("FrameEnd"), s)),
         },
-        {"_ns": ("min", F.when(START, s)), "_ne": ("min", F.when(END, s))},
+        {"_ns": ("min", F.when(_is("FrameStart"), s)), "_ne": ("min", F.when(_is("FrameEnd"), s))},
         block,
         keep_block=limit_seconds is not None,
     )
@@ -147,7 +150,7 @@ def frame_marks(good: DataFrame, limit_seconds: float | None = None, block: int
         return marked.withColumn("timed_out", F.lit(False)).drop("_ls", "_le", "_ns", "_ne")
     open_ = F.col("_ls").isNotNull() & (F.col("_le").isNull() | (F.col("_ls.seq") > F.col("_le")))
     age = seconds(F.col("ts")) - seconds(F.col("_ls.ts"))
-    expired = open_ & ~START & (age > int(limit_seconds * 1_000_000))
+    expired = open_ & ~_is("FrameStart") & (age > int(limit_seconds * 1_000_000))
     timed = running(
         marked,
         ["scenario"],
@@ -294,19 +297,19 @@ def ack_points(good: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
     """State messages after which a batch is acknowledged: every k-th since the last FrameStart."""
     is_state = F.col("process").isin(*STATE_KINDS)
     k = F.coalesce(F.col("e.chunks_per_batch"), F.lit(0))
-    rows = good.filter(is_state | START).select("scenario", "seq", "process", k.alias("k"))
+    rows = good.filter(is_state | _is("FrameStart")).select("scenario", "seq", "process", k.alias("k"))
     counted = running(
         rows,
         ["scenario"],
         "seq",
         {
             "_n": ("sum", F.when(F.col("process").isin(*STATE_KINDS), F.lit(1)).otherwise(F.lit(0)).cast("long")),
-            "_start": ("max", F.when(START, F.struct("seq", "k"))),
+            "_start": ("max", F.when(_is("FrameStart"), F.struct("seq", "k"))),
         },
         block=block,
         keep_block=True,
     )
-    based = running(counted, ["scenario"], "seq", {"_base": ("max", F.when(START, F.col("_n")))})
+    based = running(counted, ["scenario"], "seq", {"_base": ("max", F.when(_is("FrameStart"), F.col("_n")))})
     every = F.col("_start.k")
     n = F.col("_n") - F.col("_base")
     return (
@@ -324,14 +327,14 @@ def reconcile_chunks(good: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
     is_state = F.col("process").isin(*STATE_KINDS)
     eof = F.col("process") == "Init_EOF"
     s = F.col("seq")
-    rows = good.filter(is_state | START | END | eof).select(
+    rows = good.filter(is_state | _is("FrameStart") | _is("FrameEnd") | eof).select(
         "scenario", "seq", "process", F.col("e.total_chunks").alias("tc"), F.col("e.total_chunks_sent").alias("ts_")
     )
     run = running(
         rows,
         ["scenario"],
         "seq",
-        {"_ls": ("max", F.when(START, s)), "_le": ("max", F.when(END, s))},
+        {"_ls": ("max", F.when(_is("FrameStart"), s)), "_le": ("max", F.when(_is("FrameEnd"), s))},
         {"_eof": ("min", F.when(eof, s))},
         block,
     )
@@ -343,7 +346,7 @@ def reconcile_chunks(good: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
         "ts_",
         F.explode(
             F.array(
-                F.struct(F.lit("frame").alias("kind"), F.when(in_frame & (is_state | START), F.col("_ls")).alias("at")),
+                F.struct(F.lit("frame").alias("kind"), F.when(in_frame & (is_state | _is("FrameStart")), F.col("_ls")).alias("at")),
                 F.struct(F.lit("init").alias("kind"), F.when(is_state | eof, F.col("_eof")).alias("at")),
             )
         ).alias("g"),

@@ -98,7 +98,7 @@ def step_calendar(windows: DataFrame, dt_seconds: int, keys: list[str]) -> DataF
     micro = dt_seconds * 1_000_000
     n = F.floor((seconds(F.col("end_ts")) - seconds(F.col("start_ts"))) / micro)
     steps = windows.withColumn("_n", n).filter(F.col("_n") >= 1)
-    out = steps.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).cast("int"))
+    out = steps.withColumn("step", F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))))
     at = lambda k: F.timestamp_micros(seconds(F.col("start_ts")) + k * F.lit(micro)).cast("timestamp_ntz")
     return out.select(*keys, "step", at(F.col("step").cast("long")).alias("s0"), at(F.col("step").cast("long") + 1).alias("s1"))
 

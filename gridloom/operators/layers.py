@@ -30,18 +30,25 @@ def cell_centres(df: DataFrame, spec: GridSpec) -> DataFrame:
     )
 
 
+def _spread(col: Column) -> Column:
+    """Negative key for a row that can match nothing, so that such rows do not meet in one task."""
+    return (F.lit(-1) - F.pmod(F.xxhash64(col), F.lit(1 << 20))).cast("int")
+
+
 def sample_at(points: DataFrame, cells: DataFrame, spec: GridSpec, value: str = "value") -> DataFrame:
     """Value of the cell holding each point; points off the grid keep their row with ``ok = false``."""
     x, y = F.col("x"), F.col("y")
-    ok = cx.inside(x, y, spec)
+    ok = F.coalesce(cx.inside(x, y, spec), F.lit(False))
     keyed = points.withColumns(
         {
             "ok": ok,
-            "row": F.when(ok, cx.row_at(y, spec)),
-            "col": F.when(ok, cx.col_at(x, spec)),
+            "_r": F.when(ok, cx.row_at(y, spec)).otherwise(_spread(y)),
+            "_c": F.when(ok, cx.col_at(x, spec)).otherwise(_spread(x)),
         }
     )
-    return keyed.join(cells.select(*RC, value), RC, "left")
+    found = keyed.join(cells.select(F.col("row").alias("_r"), F.col("col").alias("_c"), value), ["_r", "_c"], "left")
+    at = lambda c: F.when(F.col("ok"), F.col(c))
+    return found.select(*points.columns, "ok", at("_r").alias("row"), at("_c").alias("col"), value)
 
 
 def view_window(cells: DataFrame, spec: GridSpec, box: tuple | None = None) -> DataFrame:
@@ -106,7 +113,10 @@ def align_nearest(
     keys = src.select(F.col("row").alias("_r"), F.col("col").alias("_c"), value)
     out = (
         targets.withColumns(
-            {"_r": F.when(ok, cx.row_at(y, src_spec)), "_c": F.when(ok, cx.col_at(x, src_spec))}
+            {
+                "_r": F.when(ok, cx.row_at(y, src_spec)).otherwise(_spread(y)),
+                "_c": F.when(ok, cx.col_at(x, src_spec)).otherwise(_spread(x)),
+            }
         )
         .join(keys, ["_r", "_c"], "left")
         .drop("_r", "_c", "x", "y")
@@ -143,7 +153,9 @@ def align_bilinear(
             for dc in (0, 1)
         ]
     )
-    near = based.select(*keys, "_ok", F.inline(corners))
+    # A point off the grid needs no corner: it keeps one row that matches nothing.
+    off = F.array(F.struct(_spread(F.col("y")).alias("_r"), _spread(F.col("x")).alias("_c"), F.lit(0.0).alias("_w")))
+    near = based.select(*keys, "_ok", F.inline(F.when(F.col("_ok"), corners).otherwise(off)))
     vals = src.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col(value).alias("_v"))
     hit = F.col("_v").isNotNull()
     folded = (

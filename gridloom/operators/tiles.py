@@ -178,17 +178,11 @@ def tile_pixels(cells: DataFrame, spec: GridSpec, cover: DataFrame, kind: str, v
     """Grid resampled to tile pixels: nearest for classes, bilinear for heights, ``fill`` outside."""
     keys = ["z", "tx", "ty", "px", "py"]
     pts = pixel_points(cover, spec.epsg)
-    # Pixels off the grid need no join at all; most pixels of a border tile are of this kind.
-    ok = cx.inside(F.col("x"), F.col("y"), spec)
-    outside = pts.filter(~ok).select(*keys, F.lit(float(fill)).alias(value))
-    on_grid = pts.filter(ok)
     if kind == "nearest":
-        got = layers.align_nearest(cells, spec, on_grid, value, fill).select(*keys, F.col(value).cast("double").alias(value))
-    elif kind == "bilinear":
-        got = layers.align_bilinear(cells, spec, on_grid, keys, value, fill)
-    else:
-        raise ValueError(f"unknown resampling {kind}")
-    return got.unionByName(outside)
+        return layers.align_nearest(cells, spec, pts, value, fill).select(*keys, F.col(value).cast("double").alias(value))
+    if kind == "bilinear":
+        return layers.align_bilinear(cells, spec, pts, keys, value, fill)
+    raise ValueError(f"unknown resampling {kind}")
 
 
 def nonempty_tiles(pixels: DataFrame, keys: list[str]) -> DataFrame:
