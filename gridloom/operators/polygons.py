@@ -9,7 +9,9 @@ from gridloom.gridspec import GridSpec
 
 
 def ring_edges(features: DataFrame) -> DataFrame:
-    """One row per ring edge, the ring closed if needed."""
+    """One row per ring edge, the ring closed if needed; holes come as more ``rings`` of a feature."""
+    if "rings" in features.columns:
+        features = features.withColumn("ring", F.explode("rings"))
     ring = F.col("ring")
     ends = F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.array(F.element_at(ring, 1)))
     pairs = F.arrays_zip(ring.alias("p"), ends.alias("q"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("layer_queries", "gauge_queries", "frame_queries", "tile_queries", "event_queries")
+MODULES = ("layer_queries", "gauge_queries", "frame_queries", "tile_queries", "event_queries", "file_queries")
 
 
 def load() -> None:

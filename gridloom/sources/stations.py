@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import constants as K
@@ -59,27 +59,34 @@ def parse_report_lines(lines: DataFrame, text: str = "line") -> DataFrame:
     )
 
 
+_RING = "struct<LinearRing: struct<posList: string>>"
 FEATURE_SCHEMA = (
-    "_id string, class struct<_href: string>, "
-    "geometry struct<Polygon: struct<exterior: struct<LinearRing: struct<posList: string>>>>"
+    f"_id string, class struct<_href: string>, geometry struct<Polygon: struct<exterior: {_RING}, interior: array<{_RING}>>>"
 )
 
 
+def _points(text: Column) -> Column:
+    """Pairs ``x, y`` of a blank-separated list."""
+    nums = F.transform(F.filter(F.split(text, r"\s+"), lambda s: s != ""), lambda s: s.cast("double"))
+    return F.transform(
+        F.filter(F.sequence(F.lit(0), F.greatest(F.size(nums) - 2, F.lit(0))), lambda i: i % 2 == 0),
+        lambda i: F.struct(F.get(nums, i).alias("x"), F.get(nums, i + 1).alias("y")),
+    )
+
+
 def read_features(spark: SparkSession, path: str, row_tag: str = "LandCoverUnit") -> DataFrame:
-    """Polygon features ``(feature_id, class, ring)``; features without an id are dropped.
+    """Polygon features ``(feature_id, class, rings)``, outer ring first; ones without an id are dropped.
 
-    The class is the last path segment of the class link, mapped through the code list.
+    Name prefixes are ignored. The class is the last path segment of the class link, mapped through
+    the code list.
     """
     raw = spark.read.format("xml").options(rowTag=row_tag, ignoreNamespace="true").schema(FEATURE_SCHEMA).load(path)
-    nums = F.transform(
-        F.filter(F.split(F.col("geometry.Polygon.exterior.LinearRing.posList"), r"\s+"), lambda s: s != ""),
-        lambda s: s.cast("double"),
+    poly = F.col("geometry.Polygon")
+    texts = F.concat(
+        F.array(poly["exterior"]["LinearRing"]["posList"]),
+        F.coalesce(F.transform(poly["interior"], lambda r: r["LinearRing"]["posList"]), F.array().cast("array<string>")),
     )
     base = raw.filter(F.col("_id").isNotNull()).select(
-        F.col("_id").alias("feature_id"), F.element_at(F.split("class._href", "/"), -1).alias("code"), nums.alias("n")
-    )
-    ring = F.transform(
-        F.sequence(F.lit(1), F.floor(F.size("n") / 2).cast("int")),
-        lambda i: F.struct(F.element_at("n", i * 2 - 1).alias("x"), F.element_at("n", i * 2).alias("y")),
+        F.col("_id").alias("feature_id"), F.element_at(F.split("class._href", "/"), -1).alias("code"), F.transform(texts, _points).alias("rings")
     )
-    return map_class_codes(base, K.LAND_COVER_CODES).select("feature_id", "class", ring.alias("ring"))
+    return map_class_codes(base, K.LAND_COVER_CODES).select("feature_id", "class", "rings")
