@@ -56,7 +56,9 @@ def running(
     )
     w = Window.partitionBy(*keys).orderBy(BLOCK)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
+    # Looking ahead is looking back in descending order: a frame that grows row by row is linear,
+    # while one that ends in "unbounded following" is evaluated again for every row.
+    after = Window.partitionBy(*keys).orderBy(F.desc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
         *keys,
         BLOCK,
@@ -66,7 +68,7 @@ def running(
 
     inside = Window.partitionBy(*keys, BLOCK).orderBy(order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    onward = inside.rowsBetween(0, Window.unboundedFollowing)
+    onward = Window.partitionBy(*keys, BLOCK).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     joined = src.join(carried, [*keys, BLOCK])
     local = joined.withColumns(
         {

@@ -15,15 +15,25 @@ from gridloom.functions.ranges import seconds
 from gridloom.functions.running import BLOCK_ROWS, running
 
 _CELL = "value: string, level: string, depth_level: string, risk_level: string, state: string, height: string"
-EVENT_DDL = (
-    "process: string, source: string, id: string, data_path: string, data_filename: string, "
-    "total_chunks: bigint, total_chunks_sent: bigint, chunks_per_batch: bigint, "
-    "simulation_time: string, timestamp_utc: string, "
-    "map: struct<size_x: string, size_y: string, chunk_size: string, cell_resolution_m: string>, "
-    "color_palette: array<struct<value: string, label: string, hex: string, rgba: array<string>>>, "
-    f"changes: struct<coord: struct<x: string, y: string>, {_CELL}, cells: map<string, struct<{_CELL}>>>"
-)
-EVENT_SCHEMA = f"struct<{EVENT_DDL}>"
+
+_CELL_NAMES = ("value", "level", "depth_level", "risk_level", "state", "height")
+
+# Parts of a message. An operator parses only the part it needs, and as late as it can: the raw text
+# is what travels through shuffles, and only rows that survive are parsed in full.
+PARTS = {
+    "process": "process: string",
+    "changes": f"changes: struct<coord: struct<x: string, y: string>, {_CELL}, cells: map<string, struct<{_CELL}>>>",
+    "map": "map: struct<size_x: string, size_y: string, cell_resolution_m: string>",
+    "chunks": "total_chunks: bigint, total_chunks_sent: bigint, chunks_per_batch: bigint",
+    "layer": "id: string, data_path: string, data_filename: string",
+    "palette": "color_palette: array<struct<value: string, label: string, hex: string, rgba: array<string>>>",
+}
+
+
+def part(name: str) -> Column:
+    """One part of the message text as a struct; broken text gives nulls."""
+    return F.from_json("json", f"struct<{PARTS[name]}>", {"mode": "PERMISSIVE"})
+
 
 STATE_KINDS = ("EYE_SetState_Layer", "EYE_SetState")
 KNOWN = (
@@ -37,16 +47,19 @@ def _is(kind: str) -> Column:
 
 
 def parse(events: DataFrame) -> DataFrame:
-    """Parse the JSON into typed columns; broken JSON or a missing ``process`` leaves it null."""
-    parsed = events.withColumn("e", F.from_json("json", EVENT_SCHEMA, {"mode": "PERMISSIVE"}))
-    return parsed.withColumn("process", F.col("e.process"))
+    """Add the kind of message; broken JSON or a missing ``process`` leaves it null.
+
+    The generator keeps filters on ``process`` above it: they would otherwise move below and parse
+    the text a second time.
+    """
+    return events.select("*", F.inline(F.array(part("process"))))
 
 
 def decode(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good events and the dead letter with the raw text; nothing fails and nothing is lost."""
+    """Good events with their ``process`` and the dead letter; nothing fails and nothing is lost."""
     parsed = parse(events)
     good = parsed.filter(F.col("process").isNotNull())
-    dead = parsed.filter(F.col("process").isNull()).select(*events.columns)
+    dead = parsed.filter(F.col("process").isNull()).drop("process")
     return good, dead
 
 
@@ -67,7 +80,7 @@ def resolve_state(cell: Column, names: dict[str, int] = K.STATE_NAMES, unknown:
 def explode_cells(good: DataFrame, names: dict[str, int] = K.STATE_NAMES, unknown: int = 1) -> DataFrame:
     """One row per changed cell of a layer message; keys that are no integers are skipped."""
     layer = good.filter(F.col("process") == "EYE_SetState_Layer").select(
-        "scenario", "seq", "ts", F.posexplode(F.map_entries("e.changes.cells")).alias("pos", "kv")
+        "scenario", "seq", "ts", F.posexplode(F.map_entries(part("changes")["changes"]["cells"])).alias("pos", "kv")
     )
     cell = F.col("kv.value")
     return layer.select(
@@ -83,11 +96,12 @@ def explode_cells(good: DataFrame, names: dict[str, int] = K.STATE_NAMES, unknow
 
 def object_changes(good: DataFrame, cols: int, names: dict[str, int] = K.STATE_NAMES, unknown: int = 1) -> DataFrame:
     """Single-cell messages ``(x, y)``; a missing coordinate gives no row and depth is not carried."""
-    ch = F.col("e.changes")
+    ch = F.col("ch")
     x = ch["coord"]["x"].try_cast("double").cast("bigint")
     y = ch["coord"]["y"].try_cast("double").cast("bigint")
     return (
         good.filter(F.col("process") == "EYE_SetState")
+        .withColumn("ch", part("changes")["changes"])
         .select(
             "scenario", "seq", "ts", F.lit(0).alias("pos"), x.alias("x"), y.alias("y"),
             resolve_state(ch, names, unknown).alias("risk"), F.lit(None).cast("double").alias("depth"),
@@ -109,9 +123,9 @@ def latest_grid_config(good: DataFrame, default: tuple[int, int]) -> DataFrame:
     A message whose given sizes are not positive is ignored as a whole; a missing size keeps the
     one in force, which is the last given one among the valid messages.
     """
-    m = F.col("e.map")
+    m = F.col("m")
     sx, sy = m["size_x"].try_cast("bigint"), m["size_y"].try_cast("bigint")
-    valid = good.filter(F.col("process") == "InitMap_Config").select(
+    valid = good.filter(F.col("process") == "InitMap_Config").withColumn("m", part("map")["map"]).select(
         "scenario", "seq", sx.alias("sx"), sy.alias("sy"), m["cell_resolution_m"].try_cast("double").alias("cell")
     ).filter((F.coalesce("sx", F.lit(1)) > 0) & (F.coalesce("sy", F.lit(1)) > 0))
     given = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
@@ -180,8 +194,8 @@ def assemble_frames(
 ) -> DataFrame:
     """Committed changes ``(scenario, frame_end, seq, pos, idx, risk, depth)``.
 
-    The cells travel with the marks in the parsed message, so they are exploded after the frame of
-    the message is known and no join back is needed.
+    The text of a message travels with its marks, so only messages of a committed frame are parsed
+    and exploded, and no join back is needed.
     """
     marked = frame_marks(gate_before_init(good, file_mode), limit_seconds, block)
     kept = marked.filter(F.col("frame_end").isNotNull() & ~F.col("timed_out"))
@@ -190,32 +204,26 @@ def assemble_frames(
 
 def frame_changes(kept: DataFrame, rows: int, cols: int) -> DataFrame:
     """Explode layer and single-cell messages in one pass, keeping ``frame_end``."""
-    ch = F.col("e.changes")
-    x = ch["coord"]["x"].try_cast("double").cast("bigint")
-    y = ch["coord"]["y"].try_cast("double").cast("bigint")
-    layer = F.transform(
-        F.map_entries(ch["cells"]),
-        lambda kv, i: F.struct(
-            i.alias("pos"),
-            kv["key"].try_cast("bigint").alias("idx"),
-            resolve_state(kv["value"]).alias("risk"),
-            F.coalesce(kv["value"]["height"].try_cast("double"), F.lit(0.0)).alias("depth"),
-        ),
+    single = F.map_from_arrays(F.array(F.lit("")), F.array(F.struct(*[F.col("ch")[n].alias(n) for n in _CELL_NAMES])))
+    parsed = kept.filter(F.col("process").isin(*STATE_KINDS)).select(
+        "scenario", "seq", "frame_end", "process", part("changes")["changes"].alias("ch")
     )
+    is_layer = F.col("process") == "EYE_SetState_Layer"
+    cells = F.when(is_layer, F.col("ch.cells")).otherwise(single)
+    c = parsed.select(
+        "scenario", "seq", "frame_end", is_layer.alias("layer"), F.col("ch.coord").alias("at"), F.posexplode(F.map_entries(cells)).alias("pos", "kv")
+    )
+    x, y = (F.col(f"at.{n}").try_cast("double").cast("bigint") for n in "xy")
     on_grid = (x >= 0) & (x < cols) & (y >= 0) & (y < rows)
-    single = F.array(
-        F.struct(
-            F.lit(0).alias("pos"),
-            F.when(on_grid, y * cols + x).alias("idx"),
-            resolve_state(ch).alias("risk"),
-            F.lit(None).cast("double").alias("depth"),
-        )
+    value = F.col("kv.value")
+    out = c.select(
+        "scenario", "seq", "frame_end", "pos",
+        F.when(F.col("layer"), F.col("kv.key").try_cast("bigint")).when(on_grid, y * cols + x).alias("idx"),
+        resolve_state(value).alias("risk"),
+        F.when(F.col("layer"), F.coalesce(value["height"].try_cast("double"), F.lit(0.0))).alias("depth"),
     )
-    cells = F.when(F.col("process") == "EYE_SetState_Layer", layer).when(F.col("process") == "EYE_SetState", single)
-    return (
-        kept.select("scenario", "seq", "frame_end", F.inline(cells))
-        .filter(F.col("idx").isNotNull() & (F.col("idx") >= 0) & (F.col("idx") < rows * cols))
-        .withColumns({"row": row_of(F.col("idx"), cols), "col": col_of(F.col("idx"), cols)})
+    return out.filter((F.col("idx") >= 0) & (F.col("idx") < rows * cols)).withColumns(
+        {"row": row_of(F.col("idx"), cols), "col": col_of(F.col("idx"), cols)}
     )
 
 
@@ -296,7 +304,7 @@ def grid_at(snapshots: DataFrame, committed: DataFrame, block: int = BLOCK_ROWS)
 def ack_points(good: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
     """State messages after which a batch is acknowledged: every k-th since the last FrameStart."""
     is_state = F.col("process").isin(*STATE_KINDS)
-    k = F.coalesce(F.col("e.chunks_per_batch"), F.lit(0))
+    k = F.when(_is("FrameStart"), F.coalesce(part("chunks")["chunks_per_batch"], F.lit(0)))
     rows = good.filter(is_state | _is("FrameStart")).select("scenario", "seq", "process", k.alias("k"))
     counted = running(
         rows,
@@ -328,7 +336,8 @@ def reconcile_chunks(good: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
     eof = F.col("process") == "Init_EOF"
     s = F.col("seq")
     rows = good.filter(is_state | _is("FrameStart") | _is("FrameEnd") | eof).select(
-        "scenario", "seq", "process", F.col("e.total_chunks").alias("tc"), F.col("e.total_chunks_sent").alias("ts_")
+        "scenario", "seq", "process",
+        F.when(_is("FrameStart"), part("chunks")["total_chunks"]).alias("tc"), F.when(eof, part("chunks")["total_chunks_sent"]).alias("ts_"),
     )
     run = running(
         rows,
@@ -436,8 +445,9 @@ def resolve_palette(good: DataFrame, file_palette: DataFrame | None, default: li
     )
     scenarios = good.select("scenario").distinct()
     message = (
-        good.filter((F.col("process") == "InitAgent_Layer") & F.col("e.color_palette").isNotNull())
-        .select("scenario", "seq", F.col("e.color_palette").alias("raw"))
+        good.filter(F.col("process") == "InitAgent_Layer")
+        .select("scenario", "seq", part("palette")["color_palette"].alias("raw"))
+        .filter(F.col("raw").isNotNull())
         .groupBy("scenario")
         .agg(F.max_by("raw", "seq").alias("raw"))
         .select("scenario", F.lit(0).alias("rank"), F.lit("message").alias("origin"), typed(F.col("raw")).alias("p"))
@@ -480,9 +490,8 @@ def pair_ping_pong(good: DataFrame, wait_seconds: int = K.PING_WAIT_SECONDS, blo
 
 def layer_requests(good: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Latest layer message per (scenario, layer) and the rejected ones that miss a field."""
-    ask = good.filter(F.col("process") == "InitAgent_Layer").select(
-        "scenario", "seq", F.col("e.id").alias("layer"),
-        F.col("e.data_path").alias("data_path"), F.col("e.data_filename").alias("data_filename"),
+    ask = good.filter(F.col("process") == "InitAgent_Layer").select("scenario", "seq", part("layer").alias("p")).select(
+        "scenario", "seq", F.col("p.id").alias("layer"), "p.data_path", "p.data_filename"
     )
     full = F.lit(True)
     for c in ("layer", "data_path", "data_filename"):

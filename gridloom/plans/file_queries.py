@@ -164,6 +164,6 @@ def initial_grid(v):
         part = v.cells.select("row", "col", value.alias("value"))
         out.write_ascii_raster(part if i < 3 else part.filter("col < 45"), f"{path}/d{i}/f")
     made = rasters.read_ascii_raster(v.spark, path, by_folder=True)
-    named = made.withColumn("name", F.regexp_extract("raster", r"(d\d/f)$", 1))
+    named = made.withColumn("name", F.substring_index("raster", "/", -2))
     ask, _ = ev.layer_requests(ev.decode(v.control)[0])
     return initial.initial_grid(ask, named, v.spec, K.LEVELS, 5)

@@ -44,23 +44,30 @@ def read_lines(spark: SparkSession, path: str | list[str], by_folder: bool = Fal
     )
 
 
-def read_ascii_raster(
-    spark: SparkSession, path: str | list[str], by_folder: bool = False, shape: tuple[int, int] | None = None
-) -> DataFrame:
-    """Cells ``(raster, row, col, value)`` of whitespace-separated text grids, one line per row.
+def checked_rows(lines: DataFrame, shape: tuple[int, int] | None = None) -> DataFrame:
+    """Grid rows ``(raster, row, cells)`` of text lines.
 
     With a shape, a row of another width fails when it is read, and a raster with another number of
-    rows fails through the row count carried by its last row.
+    rows fails on each of its rows.
     """
-    lines = read_lines(spark, path, by_folder).filter(F.trim("value") != "")
-    parts = lines.select("raster", F.col("line").cast("int").alias("row"), F.split(F.trim("value"), r"\s+").alias("_v"))
-    if shape:
-        rows, cols = shape
-        counts = parts.groupBy("raster").agg(F.count(F.lit(1)).alias("_n"))
-        short = (F.size("_v") != cols) | (F.col("_n") != rows)
-        checked = F.when(short, F.raise_error(F.concat(F.lit("raster does not fit its header: "), F.col("raster")))).otherwise(F.col("_v"))
-        parts = parts.join(counts, "raster").select("raster", "row", checked.alias("_v"))
-    return parts.select("raster", "row", F.posexplode("_v").alias("col", "_t")).select(
+    parts = lines.filter(F.trim("value") != "").select(
+        "raster", F.col("line").cast("int").alias("row"), F.split(F.trim("value"), r"\s+").alias("cells")
+    )
+    if shape is None:
+        return parts
+    rows, cols = shape
+    counts = parts.groupBy("raster").agg(F.count(F.lit(1)).alias("_n"))
+    short = (F.size("cells") != cols) | (F.col("_n") != rows)
+    checked = F.when(short, F.raise_error(F.concat(F.lit("raster does not fit its header: "), F.col("raster")))).otherwise(F.col("cells"))
+    return parts.join(counts, "raster").select("raster", "row", checked.alias("cells"))
+
+
+def read_ascii_raster(
+    spark: SparkSession, path: str | list[str], by_folder: bool = False, shape: tuple[int, int] | None = None
+) -> DataFrame:
+    """Cells ``(raster, row, col, value)`` of whitespace-separated text grids, one line per row."""
+    parts = checked_rows(read_lines(spark, path, by_folder), shape)
+    return parts.select("raster", "row", F.posexplode("cells").alias("col", "_t")).select(
         "raster", "row", "col", F.col("_t").cast("double").alias("value")
     )
 
@@ -96,9 +103,12 @@ def read_raster_series(spark: SparkSession, folder: str, shape: tuple[int, int]
     ``frame=name`` of part files.
     """
     index = read_series_index(spark, f"{folder}/series_metadata.json")
-    cells = read_ascii_raster(spark, f"{folder}/frames", by_folder=True, shape=shape)
-    named = cells.withColumn("name", F.regexp_extract("raster", r"(?:frame=)?([^/=]+?)(?:\.img)?$", 1)).drop("raster")
-    return named.join(index, "name").select("step", "ts_start", "ts_end", "factor", "row", "col", "value")
+    lines = checked_rows(read_lines(spark, f"{folder}/frames", by_folder=True), shape)
+    last = F.substring_index(F.substring_index("raster", "/", -1), "=", -1)
+    named = lines.withColumn("name", F.regexp_replace(last, r"\.img$", "")).join(index, "name")
+    return named.select("step", "ts_start", "ts_end", "factor", "row", F.posexplode("cells").alias("col", "_t")).select(
+        "step", "ts_start", "ts_end", "factor", "row", "col", F.col("_t").cast("double").alias("value")
+    )
 
 
 def read_sparse_frames(spark: SparkSession, path: str, rows: int, cols: int) -> DataFrame:

@@ -8,6 +8,7 @@ micro-batch of one busy scenario is spread over the cluster like any other.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -38,7 +39,7 @@ def decode_sink(path: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         cached = batch.persist()
         good, dead = ev.decode(cached)
-        good.select(*batch.columns, "process").write.mode("overwrite").parquet(f"{path}/good/batch={batch_id}")
+        good.write.mode("overwrite").parquet(f"{path}/good/batch={batch_id}")
         dead.write.mode("overwrite").parquet(f"{path}/dead/batch={batch_id}")
         cached.unpersist()
 
@@ -71,6 +72,8 @@ class FrameFold:
         is_late = F.coalesce(F.col("seq") <= F.col("done"), F.lit(False))
         fresh.filter(is_late).drop("eof", "done").write.mode("overwrite").parquet(at("late"))
         work = fresh.filter(~is_late).drop("eof", "done").unionByName(tail)
+        # One micro-batch feeds several writes; kept on disk it is decoded once.
+        work = work.persist(StorageLevel.DISK_ONLY)
         ready, held = self._split_at_gap(work, marks)
 
         good = ev.parse(ready).filter(F.col("process").isNotNull())
@@ -80,6 +83,7 @@ class FrameFold:
         ev.frame_changes(kept, self.rows, self.cols).drop("row", "col").write.mode("overwrite").parquet(at("frames"))
         self._fold(spark, batch_id)
         self._carry(ready, held, marks, at)
+        work.unpersist()
 
     def _split_at_gap(self, work: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         if self.dense_from is None:
