@@ -37,12 +37,9 @@ def interval_join(
             F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor((F.col("_to") - 1) / width))),
         )
     )
-    same = [left["_bin"] == right["_bin"], *[left[c] == right[c] for c in on]]
-    inside = (left["_at"] >= right["_from"]) & (left["_at"] < right["_to"])
-    cond = inside
-    for c in same:
-        cond = c & cond
-    out = left.join(right, cond, how)
+    right = right.withColumnsRenamed({"_bin": "_bin2", **{c: f"_on_{c}" for c in on}})
+    cond = F.col("_bin") == F.col("_bin2")
     for c in on:
-        out = out.drop(right[c])
-    return out.drop("_at", "_bin", "_from", "_to")
+        cond = cond & (F.col(c) == F.col(f"_on_{c}"))
+    cond = cond & (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))
+    return left.join(right, cond, how).drop("_at", "_bin", "_bin2", "_from", "_to", *[f"_on_{c}" for c in on])

@@ -38,10 +38,11 @@ def running(
     backward: dict[str, tuple[str, Column]] | None = None,
     block: int = BLOCK_ROWS,
     keep_block: bool = False,
+    exclusive: bool = False,
 ) -> DataFrame:
     """Add running aggregates over all rows up to (``forward``) or from (``backward``) each row.
 
-    Both directions include the row itself. Each entry maps an output column to
+    Both directions include the row itself unless ``exclusive``. Each entry maps an output column to
     ``(kind, expression)`` with kind ``sum``, ``max`` or ``min``; expressions may be null to take
     no part. Pass the result of an earlier call with ``keep_block=True`` to reuse its partitioning.
     """
@@ -66,9 +67,9 @@ def running(
         *[_AGG[k](f"_tot_{n}").over(after).alias(f"_car_{n}") for n, (k, _) in backward.items()],
     )
 
-    inside = Window.partitionBy(*keys, BLOCK).orderBy(order)
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    onward = Window.partitionBy(*keys, BLOCK).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    inside, own = Window.partitionBy(*keys, BLOCK), -1 if exclusive else 0
+    upto = inside.orderBy(order).rowsBetween(Window.unboundedPreceding, own)
+    onward = inside.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, own)
     joined = src.join(carried, [*keys, BLOCK])
     local = joined.withColumns(
         {

@@ -1,7 +1,8 @@
 """Event log ``(scenario, seq, ts, json)`` in batch.
 
-``seq`` is unique within a scenario and gives the arrival order. All order-dependent operators use
-running totals over blocks of ``seq``, so one busy scenario is still spread over the cluster.
+``seq`` is unique within a scenario and gives the arrival order. Order-dependent operators use running
+totals over blocks of ``seq`` on narrow columns, and interval joins for the messages themselves, so
+one busy scenario is still spread over the cluster.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 
 from gridloom import constants as K
 from gridloom.functions.cells import col_of, div, row_of
-from gridloom.functions.ranges import seconds
-from gridloom.functions.running import BLOCK_ROWS, running
+from gridloom.functions.ranges import interval_join, seconds
+from gridloom.functions.running import BLOCK, BLOCK_ROWS, running, with_blocks
+from gridloom.session import cut
 
 _CELL = "value: string, level: string, depth_level: string, risk_level: string, state: string, height: string"
 
@@ -137,75 +139,86 @@ def latest_grid_config(good: DataFrame, default: tuple[int, int]) -> DataFrame:
     )
 
 
-def frame_marks(good: DataFrame, limit_seconds: float | None = None, block: int = BLOCK_ROWS) -> DataFrame:
-    """Annotate every event with the frame that commits it.
+def decoded_log(events: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+    """Good events written once to the shared folder, clustered by scenario and ``seq``.
 
-    ``frame_end`` is the ``seq`` of the FrameEnd that commits changes at this position, null if they
-    are cleared by a FrameStart or never closed. With a limit, ``timed_out`` marks changes lost
-    because a later event before that FrameEnd came more than the limit after its FrameStart; after
-    such an event the frame has no timer any more.
+    Operators that pass over the log several times then read only the columns they need, skip by
+    ``process`` and ``seq`` statistics, and never parse a message twice.
     """
-    s = F.col("seq")
-    marked = running(
-        good,
-        ["scenario"],
-        "seq",
-        {
-            "_ls": ("max", F.when(_is("FrameStart"), F.struct(s, F.col("ts")))),
-            "_le": ("max", F.when(_is("FrameEnd"), s)),
-        },
-        {"_ns": ("min", F.when(_is("FrameStart"), s)), "_ne": ("min", F.when(_is("FrameEnd"), s))},
-        block,
-        keep_block=limit_seconds is not None,
-    )
-    committed = F.col("_ne").isNotNull() & (F.col("_ns").isNull() | (F.col("_ne") < F.col("_ns")))
-    marked = marked.withColumn("frame_end", F.when(committed, F.col("_ne")))
-    if limit_seconds is None:
-        return marked.withColumn("timed_out", F.lit(False)).drop("_ls", "_le", "_ns", "_ne")
-    open_ = F.col("_ls").isNotNull() & (F.col("_le").isNull() | (F.col("_ls.seq") > F.col("_le")))
-    age = seconds(F.col("ts")) - seconds(F.col("_ls.ts"))
-    expired = open_ & ~_is("FrameStart") & (age > int(limit_seconds * 1_000_000))
-    timed = running(
-        marked,
-        ["scenario"],
-        "seq",
-        {"_lx": ("max", F.when(expired, s))},
-        {"_nx": ("min", F.when(expired, s))},
+    good = with_blocks(decode(events)[0], "seq", block)
+    return cut(good.repartition("scenario", BLOCK).sortWithinPartitions("scenario", "seq").drop(BLOCK), "log")
+
+
+def frame_segments(
+    good: DataFrame, limit_seconds: float | None = None, first_eof: DataFrame | None = None, block: int = BLOCK_ROWS
+) -> DataFrame:
+    """Stretches ``[lo, frame_end)`` of the log whose changes a FrameEnd commits, one row per frame.
+
+    A stretch begins after the FrameStart or FrameEnd before it. With a limit, ``late`` is the first
+    event before the FrameEnd that comes more than the limit after the FrameStart: it clears what is
+    pending and stops the timer, so changes count from there. With ``first_eof`` changes count only
+    after the first Init_EOF of the scenario. Only boundary messages are ordered here, never the
+    messages that carry cells.
+    """
+    bounds = good.filter(_is("FrameStart") | _is("FrameEnd")).select("scenario", "seq", "ts", _is("FrameStart").alias("starts"))
+    begin = good.groupBy("scenario").agg((F.min("seq") - 1).alias("seq")).select(
+        "scenario", "seq", F.lit(None).cast(good.schema["ts"].dataType).alias("ts"), F.lit(False).alias("starts")
+    )
+    before = running(
+        bounds.unionByName(begin), ["scenario"], "seq", {"_p": ("max", F.struct("seq", "ts", "starts"))}, block=block, exclusive=True
     )
-    first_still_ahead = F.col("_lx").isNull() | (F.col("_lx") < F.col("_ls.seq"))
-    lost = open_ & first_still_ahead & (F.col("_nx") < F.col("frame_end"))
-    return timed.withColumn("timed_out", F.coalesce(lost, F.lit(False))).drop("_ls", "_le", "_ns", "_ne", "_lx", "_nx")
+    segments = before.filter(~F.col("starts") & F.col("_p").isNotNull()).select(
+        "scenario", (F.col("_p.seq") + 1).alias("lo"), F.col("seq").alias("frame_end"), F.when(F.col("_p.starts"), F.col("_p.ts")).alias("timer")
+    )
+    if limit_seconds is not None:
+        timed = interval_join(
+            good.select("scenario", "seq", "ts"), segments.filter(F.col("timer").isNotNull()),
+            F.col("seq"), F.col("lo"), F.col("frame_end"), block, ["scenario"],
+        )
+        over = seconds(F.col("ts")) - seconds(F.col("timer")) > int(limit_seconds * 1_000_000)
+        late = timed.filter(over).groupBy("scenario", "frame_end").agg(F.min("seq").alias("late"))
+        segments = segments.join(late, ["scenario", "frame_end"], "left").withColumn("lo", F.coalesce("late", "lo")).drop("late")
+    if first_eof is not None:
+        segments = segments.join(first_eof, "scenario").withColumn("lo", F.greatest(F.col("lo"), F.col("eof") + 1)).drop("eof")
+    return segments.drop("timer")
 
 
-def gate_before_init(good: DataFrame, file_mode: bool) -> DataFrame:
+def first_init_eof(good: DataFrame) -> DataFrame:
+    return good.filter(_is("Init_EOF")).groupBy("scenario").agg(F.min("seq").alias("eof"))
+
+
+def gate_before_init(good: DataFrame, file_mode: bool, block: int = BLOCK_ROWS) -> DataFrame:
     """In file mode, drop state messages that arrive before the first Init_EOF of their scenario."""
     if not file_mode:
         return good
-    first = good.filter(F.col("process") == "Init_EOF").groupBy("scenario").agg(F.min("seq").alias("_eof"))
-    is_state = F.col("process").isin(*STATE_KINDS)
-    gated = good.join(first, "scenario", "left")
-    keep = ~is_state | (F.col("_eof").isNotNull() & (F.col("seq") > F.col("_eof")))
-    return gated.filter(F.coalesce(keep, F.lit(False))).drop("_eof")
+    seen = running(good, ["scenario"], "seq", {"_eof": ("min", F.when(_is("Init_EOF"), F.col("seq")))}, block=block)
+    keep = ~F.col("process").isin(*STATE_KINDS) | F.col("_eof").isNotNull()
+    return seen.filter(keep).drop("_eof")
 
 
 def assemble_frames(
     good: DataFrame, rows: int, cols: int, limit_seconds: float | None = None, file_mode: bool = False,
     block: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Committed changes ``(scenario, frame_end, seq, pos, idx, risk, depth)``.
+    """Committed changes ``(scenario, frame_end, seq, pos, idx, risk, depth, row, col)``.
 
-    The text of a message travels with its marks, so only messages of a committed frame are parsed
-    and exploded, and no join back is needed.
+    State messages meet the table of frames in an interval join on blocks of ``seq``. No window sees
+    them, so a frame or scenario that holds most of the log is split like any other join input, and
+    only messages of a committed frame are parsed.
     """
-    marked = frame_marks(gate_before_init(good, file_mode), limit_seconds, block)
-    kept = marked.filter(F.col("frame_end").isNotNull() & ~F.col("timed_out"))
-    return frame_changes(kept, rows, cols)
+    segments = frame_segments(good, limit_seconds, first_init_eof(good) if file_mode else None, block)
+    return frame_changes(committed_messages(good, segments, block), rows, cols)
+
+
+def committed_messages(good: DataFrame, segments: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+    state = good.filter(F.col("process").isin(*STATE_KINDS)).select("scenario", "seq", "process", "json")
+    return interval_join(state, segments, F.col("seq"), F.col("lo"), F.col("frame_end"), block, ["scenario"]).drop("lo")
 
 
 def frame_changes(kept: DataFrame, rows: int, cols: int) -> DataFrame:
     """Explode layer and single-cell messages in one pass, keeping ``frame_end``."""
     single = F.map_from_arrays(F.array(F.lit("")), F.array(F.struct(*[F.col("ch")[n].alias(n) for n in _CELL_NAMES])))
-    parsed = kept.filter(F.col("process").isin(*STATE_KINDS)).select(
+    parsed = kept.select(
         "scenario", "seq", "frame_end", "process", part("changes")["changes"].alias("ch")
     )
     is_layer = F.col("process") == "EYE_SetState_Layer"

@@ -38,6 +38,11 @@ def _good(v):
     return ev.decode(v.msgs)[0]
 
 
+def _log(v):
+    """The decoded log, written once, for operators that pass over it several times."""
+    return ev.decoded_log(v.msgs, BLOCK)
+
+
 @query("G1_decode", sql("msgs", "select scenario, seq, ts, case when j->>'$.process' is null then 'dead' else 'good' end as kind from j", {"j": GOOD["j"]}))
 def decode(v):
     good, dead = ev.decode(v.msgs)
@@ -106,8 +111,8 @@ MARKED = {
 }
 
 
-def _frames(v, **kw):
-    return ev.assemble_frames(_good(v), v.spec.rows, v.spec.cols, block=BLOCK, **kw)
+def _frames(v, log=None, **kw):
+    return ev.assemble_frames(log if log is not None else _log(v), v.spec.rows, v.spec.cols, block=BLOCK, **kw)
 
 
 @query("G8_assemble_frames", sql("msgs", "select scenario, frame_end, seq, idx, risk, depth from k", MARKED))
@@ -132,26 +137,28 @@ SNAPS = {
 
 @query("G10_snapshots_at_sync", sql("msgs", "select * from snaps", SNAPS))
 def snapshots_at_sync(v):
-    return ev.snapshots_at_sync(_good(v), _frames(v), BLOCK)
+    log = _log(v)
+    return ev.snapshots_at_sync(log, _frames(v, log), BLOCK)
 
 
 @query("G11_grid_at", sql("msgs", """select s.scenario, s.snap, c.idx, arg_max(c.risk, c.frame_end) as risk, arg_max(c.depth, c.frame_end) as depth from snaps s join commits c on c.scenario = s.scenario and c.frame_end <= s.seq group by 1, 2, 3""", SNAPS))
 def grid_at(v):
-    made = cut(_frames(v), "frames")
-    return ev.grid_at(ev.snapshots_at_sync(_good(v), made, BLOCK), ev.commit_changes(made), BLOCK)
+    log = _log(v)
+    made = cut(_frames(v, log), "frames")
+    return ev.grid_at(ev.snapshots_at_sync(log, made, BLOCK), ev.commit_changes(made), BLOCK)
 
 
 @query("G12_gate_before_init", sql("msgs", """select scenario, seq, process from good g where process not in ('EYE_SetState_Layer', 'EYE_SetState')
     or seq > (select min(seq) from good e where e.scenario = g.scenario and e.process = 'Init_EOF')""", GOOD))
 def gate_before_init(v):
-    return ev.gate_before_init(_good(v), True).select("scenario", "seq", "process")
+    return ev.gate_before_init(_good(v), True, BLOCK).select("scenario", "seq", "process")
 
 
 @query("G13_ack_points", sql("msgs", """select scenario, seq, n from (select *, count(*) filter (process like 'EYE_SetState%') over (partition by scenario, seg order by seq) as n,
     max(case when process = 'FrameStart' then cast(j->>'$.chunks_per_batch' as bigint) end) over (partition by scenario, seg) as k from
         (select *, count(*) filter (process = 'FrameStart') over (partition by scenario order by seq) as seg from good)) where process like 'EYE_SetState%' and k > 0 and n % k = 0""", GOOD))
 def ack_points(v):
-    return ev.ack_points(_good(v), BLOCK)
+    return ev.ack_points(_log(v), BLOCK)
 
 
 TIMED = {
@@ -221,7 +228,7 @@ def grid_sink(v):
         min(case when m.process = 'Init_EOF' then m.seq end) over (partition by m.scenario order by m.seq rows between current row and unbounded following) as ei from m join good g using (scenario, seq)""",
 }))
 def reconcile_chunks(v):
-    return ev.reconcile_chunks(_good(v), BLOCK)
+    return ev.reconcile_chunks(_log(v), BLOCK)
 
 
 PHASE = {

@@ -68,22 +68,21 @@ class FrameFold:
         marks = _read(spark, at("marks", batch_id - 1), "scenario string, eof bigint, done bigint")
         tail = _read(spark, at("tail", batch_id - 1), TAIL)
 
-        fresh = batch.select("scenario", "seq", "ts", "json").join(marks, "scenario", "left")
+        rows = batch.select("scenario", "seq", "ts", "json").unionByName(tail).join(marks, "scenario", "left").drop("eof")
         is_late = F.coalesce(F.col("seq") <= F.col("done"), F.lit(False))
-        fresh.filter(is_late).drop("eof", "done").write.mode("overwrite").parquet(at("late"))
-        work = fresh.filter(~is_late).drop("eof", "done").unionByName(tail)
         # One micro-batch feeds several writes; kept on disk it is decoded once.
-        work = work.persist(StorageLevel.DISK_ONLY)
-        ready, held = self._split_at_gap(work, marks)
-
-        good = ev.parse(ready).filter(F.col("process").isNotNull())
-        good = self._gate(good, marks)
-        marked = ev.frame_marks(good, self.limit)
-        kept = marked.filter(F.col("frame_end").isNotNull() & ~F.col("timed_out"))
-        ev.frame_changes(kept, self.rows, self.cols).drop("row", "col").write.mode("overwrite").parquet(at("frames"))
+        rows = ev.parse(rows.withColumn("_late", is_late).drop("done")).persist(StorageLevel.DISK_ONLY)
+        rows.filter("_late").drop("_late", "process").write.mode("overwrite").parquet(at("late"))
+        ready, held = self._split_at_gap(rows.filter("not _late").drop("_late"), marks)
+
+        good = ready.filter(F.col("process").isNotNull())
+        eof = self._eof(good, marks) if self.file_mode else None
+        segments = ev.frame_segments(good, self.limit, eof)
+        changes = ev.frame_changes(ev.committed_messages(good, segments), self.rows, self.cols)
+        changes.drop("row", "col").write.mode("overwrite").parquet(at("frames"))
         self._fold(spark, batch_id)
         self._carry(ready, held, marks, at)
-        work.unpersist()
+        rows.unpersist()
 
     def _split_at_gap(self, work: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         if self.dense_from is None:
@@ -95,20 +94,14 @@ class FrameFold:
         gapless = F.col("seq") == F.coalesce("_base", F.lit(self.dense_from - 1)) + F.col("_n")
         return numbered.filter(gapless).drop("_n", "_base"), numbered.filter(~gapless).drop("_n", "_base")
 
-    def _gate(self, good: DataFrame, marks: DataFrame) -> DataFrame:
-        if not self.file_mode:
-            return good
-        here = good.filter(F.col("process") == "Init_EOF").groupBy("scenario").agg(F.min("seq").alias("_now"))
-        gated = good.join(marks.select("scenario", "eof"), "scenario", "left").join(here, "scenario", "left")
-        first = F.coalesce("eof", "_now")
-        is_state = F.col("process").isin(*ev.STATE_KINDS)
-        keep = ~is_state | (first.isNotNull() & (F.col("seq") > first))
-        return gated.filter(F.coalesce(keep, F.lit(False))).drop("eof", "_now")
+    @staticmethod
+    def _eof(good: DataFrame, marks: DataFrame) -> DataFrame:
+        both = marks.select("scenario", "eof").unionByName(ev.first_init_eof(good))
+        return both.groupBy("scenario").agg(F.min("eof").alias("eof")).filter(F.col("eof").isNotNull())
 
     def _carry(self, ready: DataFrame, held: DataFrame | None, marks: DataFrame, at) -> None:
-        parsed = ev.parse(ready)
         p = F.col("process")
-        now = parsed.groupBy("scenario").agg(
+        now = ready.groupBy("scenario").agg(
             F.min(F.when(p == "Init_EOF", F.col("seq"))).alias("eof"),
             F.max(F.when(p == "FrameEnd", F.col("seq"))).alias("done"),
             F.max(F.when(p == "FrameStart", F.col("seq"))).alias("_open"),
