@@ -70,10 +70,16 @@ def count_by_process(good: DataFrame) -> DataFrame:
     return good.groupBy("scenario", "process").agg(F.count(F.lit(1)).alias("n"), F.max(known).alias("known"))
 
 
+def whole(text: Column) -> Column:
+    """A JSON number or its text as BIGINT, truncated; null for anything else, however odd."""
+    plain = text.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$")
+    return F.when(plain, text.try_cast("double")).try_cast("bigint")
+
+
 def resolve_state(cell: Column, names: dict[str, int] = K.STATE_NAMES, unknown: int = 1) -> Column:
     """First numeric field in fixed order, truncated; else the state name; else 1."""
     fields = ("value", "level", "depth_level", "risk_level", "state")
-    numbers = [cell[f].try_cast("double").cast("long").cast("int") for f in fields]
+    numbers = [whole(cell[f]).try_cast("int") for f in fields]
     table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
     named = F.when(cell["state"].isNotNull(), F.coalesce(F.try_element_at(table, F.upper(cell["state"])), F.lit(unknown)))
     return F.coalesce(*numbers, named, F.lit(1)).cast("int")
@@ -99,8 +105,7 @@ def explode_cells(good: DataFrame, names: dict[str, int] = K.STATE_NAMES, unknow
 def object_changes(good: DataFrame, cols: int, names: dict[str, int] = K.STATE_NAMES, unknown: int = 1) -> DataFrame:
     """Single-cell messages ``(x, y)``; a missing coordinate gives no row and depth is not carried."""
     ch = F.col("ch")
-    x = ch["coord"]["x"].try_cast("double").cast("bigint")
-    y = ch["coord"]["y"].try_cast("double").cast("bigint")
+    x, y = whole(ch["coord"]["x"]), whole(ch["coord"]["y"])
     return (
         good.filter(F.col("process") == "EYE_SetState")
         .withColumn("ch", part("changes")["changes"])
@@ -126,8 +131,9 @@ def latest_grid_config(good: DataFrame, default: tuple[int, int]) -> DataFrame:
     one in force, which is the last given one among the valid messages.
     """
     m = F.col("m")
-    sx, sy = m["size_x"].try_cast("bigint"), m["size_y"].try_cast("bigint")
-    valid = good.filter(F.col("process") == "InitMap_Config").withColumn("m", part("map")["map"]).select(
+    sx, sy = whole(m["size_x"]), whole(m["size_y"])
+    bad = (m["size_x"].isNotNull() & sx.isNull()) | (m["size_y"].isNotNull() & sy.isNull())
+    valid = good.filter(F.col("process") == "InitMap_Config").withColumn("m", part("map")["map"]).filter(~F.coalesce(bad, F.lit(False))).select(
         "scenario", "seq", sx.alias("sx"), sy.alias("sy"), m["cell_resolution_m"].try_cast("double").alias("cell")
     ).filter((F.coalesce("sx", F.lit(1)) > 0) & (F.coalesce("sy", F.lit(1)) > 0))
     given = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
@@ -226,7 +232,7 @@ def frame_changes(kept: DataFrame, rows: int, cols: int) -> DataFrame:
     c = parsed.select(
         "scenario", "seq", "frame_end", is_layer.alias("layer"), F.col("ch.coord").alias("at"), F.posexplode(F.map_entries(cells)).alias("pos", "kv")
     )
-    x, y = (F.col(f"at.{n}").try_cast("double").cast("bigint") for n in "xy")
+    x, y = whole(F.col("at.x")), whole(F.col("at.y"))
     on_grid = (x >= 0) & (x < cols) & (y >= 0) & (y < rows)
     value = F.col("kv.value")
     out = c.select(

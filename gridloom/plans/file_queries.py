@@ -156,7 +156,20 @@ def write_ascii_raster(v):
     return rasters.read_lines(v.spark, path, by_folder=True).select("line", F.col("value").alias("text"))
 
 
-@query("G22_initial_grid")
+INITIAL = {
+    "r": """select 'd0' as p, "row", col, round(depth - 1, 6) as value from cells union all select 'd1', "row", col, round(depth * 2 - 1, 6) from cells
+        union all select 'd2', "row", col, height from cells union all select 'd3', "row", col, height from cells where col < 45""",
+    "st": "select p, min(value) as lo, max(value) as hi, bool_or(value % 1 <> 0) as frac from r group by 1",
+    "ask": """select scenario, json->>'$.id' as layer, arg_max(json->>'$.data_path', seq) as p from control
+        where json->>'$.process' = 'InitAgent_Layer' and (json->>'$.data_filename') is not null group by 1, 2""",
+}
+
+
+@query("G22_initial_grid", sql("cells control", f"""select scenario, layer, "row", col, cast(case layer when 'water_depth' then {vw._risk('greatest(coalesce(value, 0), 0)')}
+        when 'flood_risk' then coalesce(case when lo >= 0 and hi <= 5 and not frac then value else round_even((value - lo) / (hi - lo) * 5, 0) end, 0) end as integer) as level,
+    case layer when 'water_depth' then greatest(coalesce(value, 0), 0) end as depth, case layer when 'topo_bathy' then value end as terrain
+    from (select a.scenario, a.layer, c."row", c.col, r.value, st.lo, st.hi, st.frac from ask a join st on st.p = a.p cross join cells c
+        left join r on r.p = a.p and r."row" = c."row" and r.col = c.col where a.layer <> 'topo_bathy' or r.value is not null)""", INITIAL))
 def initial_grid(v):
     path = scratch(v.spark, "layers")
     for i in range(4):

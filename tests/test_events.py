@@ -127,7 +127,8 @@ def test_two_chunks_make_one_frame(spark):
 
 def test_state_resolution(spark):
     cases = [({"value": 2.7}, 2), ({"level": "4"}, 4), ({"state": "flooded"}, 3), ({"state": "nothing known"}, 1), ({}, 1),
-             ({"depth_level": "x", "risk_level": 5}, 5), ({"state": 0}, 0), ({"state": "OPEN"}, 0), ({"value": None, "level": 3}, 3)]
+             ({"depth_level": "x", "risk_level": 5}, 5), ({"state": 0}, 0), ({"state": "OPEN"}, 0), ({"value": None, "level": 3}, 3),
+             ({"value": "NaN", "level": "1d", "state": "Infinity"}, 1), ({"value": 1e300, "level": 2}, 2), ({"value": -1}, -1)]
     rows = [("s", i, T0, json.dumps({"process": "EYE_SetState_Layer", "changes": {"cells": {"1": c}}})) for i, (c, _) in enumerate(cases)]
     got = dict(ev.explode_cells(ev.decode(frame_of(spark, rows))[0]).select("seq", "risk").collect())
     assert got == {i: want for i, (_, want) in enumerate(cases)}
@@ -204,3 +205,26 @@ def test_ping_pong_stream_equals_batch(spark, tmp_path):
     assert q.awaitTermination(200)
     got = spark.read.parquet(str(tmp_path / "out")).filter("seq < 100").groupBy("scenario", "seq").agg(F.min("pong_seq").alias("pong_seq"))
     assert tuples(got, "seq", "pong_seq") == tuples(batch, "seq", "pong_seq")
+
+
+def test_decode_sink_keeps_every_row(spark, tmp_path):
+    from gridloom.streaming.fold import decode_sink
+
+    rows = make_log(8, 80)
+    sink = decode_sink(str(tmp_path))
+    for _ in range(2):
+        sink(frame_of(spark, rows), 0)
+    bad = sum(r[3] == "{bad" for r in rows)
+    assert spark.read.parquet(str(tmp_path / "dead" / "batch=0")).count() == bad
+    assert spark.read.parquet(str(tmp_path / "good" / "batch=0")).count() == len(rows) - bad
+
+
+def test_file_palette_wins_over_the_default_and_a_bad_message_is_skipped(spark):
+    good_entry = {"value": "1", "label": "x", "hex": "#111111", "rgba": [1, 2, 3, 4]}
+    rows = [("a", 0, T0, json.dumps({"process": "InitAgent_Layer", "color_palette": [{"value": 0}]})), ("b", 0, T0, json.dumps({"process": "Sim_End"})),
+            ("c", 0, T0, json.dumps({"process": "InitAgent_Layer", "color_palette": [{**good_entry, "value": 7}]}))]
+    raw = spark.createDataFrame([([("1", "x", "#111111", ["1", "2", "3", "4"])],)], "raw array<struct<value: string, label: string, hex: string, rgba: array<string>>>")
+    from gridloom import constants as K
+
+    got = ev.resolve_palette(ev.decode(frame_of(spark, rows))[0], raw, K.PALETTE)
+    assert tuples(got, "scenario", "origin", "value") == [("a", "file", 1), ("b", "file", 1), ("c", "message", 7)]
