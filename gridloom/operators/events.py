@@ -484,9 +484,9 @@ def resolve_palette(good: DataFrame, file_palette: DataFrame | None, default: li
         scenarios.select("scenario", F.lit(2).alias("rank"), F.lit("default").alias("origin"), base.cast(entry).alias("p"))
     )
     if file_palette is not None:
-        one = file_palette.agg(F.first("raw").alias("raw")).scalar()
+        one = file_palette.select(typed(F.col("raw")).alias("p")).agg(F.first("p").alias("p")).scalar()
         sources = sources.unionByName(
-            scenarios.select("scenario", F.lit(1).alias("rank"), F.lit("file").alias("origin"), typed(one).alias("p"))
+            scenarios.select("scenario", F.lit(1).alias("rank"), F.lit("file").alias("origin"), one.cast(entry).alias("p"))
         )
     best = sources.filter(fine(F.col("p"))).groupBy("scenario").agg(F.min_by(F.struct("origin", "p"), "rank").alias("b"))
     return best.select("scenario", F.col("b.origin").alias("origin"), F.inline("b.p")).select(
