@@ -246,9 +246,17 @@ def frame_changes(kept: DataFrame, rows: int, cols: int) -> DataFrame:
     )
 
 
+def write_order() -> Column:
+    """Order of a write as one exact number, ``seq`` first and the position in the message next.
+
+    A number keeps ``max_by`` in hash aggregation, while a struct would make it sort its input.
+    """
+    return F.col("seq").cast("decimal(20,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("pos")
+
+
 def commit_changes(assembled: DataFrame) -> DataFrame:
     """Last write per cell of a frame; a write without depth keeps the last depth given before it."""
-    at = F.struct("seq", "pos")
+    at = write_order()
     return assembled.groupBy("scenario", "frame_end", "idx").agg(
         F.max_by("risk", at).alias("risk"),
         F.max_by("depth", F.when(F.col("depth").isNotNull(), at)).alias("depth"),

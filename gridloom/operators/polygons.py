@@ -22,7 +22,7 @@ def ring_edges(features: DataFrame) -> DataFrame:
 
 
 def rasterize(features: DataFrame, spec: GridSpec, default: int = 0) -> DataFrame:
-    """Class of the last feature (by ``ord``) whose even-odd interior holds the cell centre.
+    """Class of the last feature (by its own ``ord``) whose even-odd interior holds the cell centre.
 
     An edge is copied only to the grid rows it crosses. Its crossings, ordered along the row, pair up
     into spans, and a span names its cells directly: no cell is ever tested against a polygon.
@@ -45,7 +45,7 @@ def rasterize(features: DataFrame, spec: GridSpec, default: int = 0) -> DataFram
     c1 = F.least(F.floor((F.col("_to") - left) / cell - 0.5), F.lit(spec.cols - 1))
     hit = spans.withColumns({"_c0": c0, "_c1": c1}).filter(F.col("_c0") <= F.col("_c1"))
     burnt = hit.select("row", F.explode(F.sequence(F.col("_c0").cast("int"), F.col("_c1").cast("int"))).alias("col"), "ord", "class")
-    top_class = burnt.groupBy("row", "col").agg(F.max_by("class", F.struct("ord", "class")).alias("class"))
+    top_class = burnt.groupBy("row", "col").agg(F.max_by("class", "ord").alias("class"))
     return spec.frame(features.sparkSession).join(top_class, ["row", "col"], "left").withColumn(
         "class", F.coalesce("class", F.lit(default)).cast("int")
     )

@@ -26,7 +26,7 @@ def read_lines(spark: SparkSession, path: str | list[str], by_folder: bool = Fal
 
     Within one block of a file the generated row ids are consecutive, so the position in the block is
     the id minus the block's smallest id. Counting the lines of the blocks before it, on a table of
-    one row per block, completes the number. The lines themselves are not shuffled by key.
+    one row per block, completes the number. No line is sorted, and no file is bound to one task.
     With ``by_folder`` the part files of a folder, in name order, are one raster.
     """
     raw = spark.read.text(path, pathGlobFilter="*[!_]*", recursiveFileLookup=True).select(

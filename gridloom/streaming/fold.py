@@ -137,8 +137,11 @@ class FrameFold:
 
 
 def last_writes(frames: DataFrame) -> DataFrame:
-    """Latest value per cell; a write without depth keeps the last depth that was given."""
-    at = F.struct("frame_end", *(c for c in ("seq", "pos") if c in frames.columns))
+    """Latest value per cell; a write without depth keeps the last depth that was given.
+
+    Later frames hold later writes, so the order of writes is also that of frames.
+    """
+    at = ev.write_order() if "seq" in frames.columns else F.col("frame_end")
     return frames.groupBy("scenario", "idx").agg(
         F.max_by("risk", at).alias("risk"),
         F.max_by("depth", F.when(F.col("depth").isNotNull(), at)).alias("depth"),
