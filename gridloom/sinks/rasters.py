@@ -27,6 +27,7 @@ def raster_header(cells: DataFrame, spec: GridSpec, value: str = "value", data_t
     nodata = "-128.0" if data_type == "byte" else "-9999.0"
     lo, hi = F.col("lo").cast("string"), F.col("hi").cast("string")
     text = lambda v: F.lit(str(v))
+    # Header keys in file order.
     pairs: list[tuple[str, Column]] = [
         ("file format ", text("IDRISI Raster A.1")), ("file title  ", text("")), ("data type   ", text(data_type)),
         ("file type   ", text("ascii")), ("columns     ", text(spec.cols)), ("rows        ", text(spec.rows)),
