@@ -27,6 +27,8 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        # Naive times are read as UTC; a zone with daylight saving would shift step boundaries.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.dir, f"{name}.parquet"))
