@@ -1,8 +1,9 @@
 """Substring dedup: remove words covered by a passage that occurs earlier in the corpus.
 
-Level-wise doubling. Five-word windows come first, one for each group of neighbouring 20-word
-windows: the least hashed five words inside a window are the same wherever the window stands. Only
-where these repeat are they extended, and only windows of twenty words that repeat are removed.
+Level-wise doubling from five words over ten to twenty. The five words stand for a run of neighbouring
+20-word windows: the least hashed five words inside a window are the same wherever the window stands,
+so that a window that repeats has five words that repeat. Only five words that repeat are extended to
+ten, and only ten that repeat to the windows of twenty; twenty is the length asked for, where it ends.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from gridloom.session import cut
 BASE, DOUBLINGS = 5, 2
 WINDOW = BASE * 2**DOUBLINGS
 _SPAN = "doc_id long, at int, n int, anchor long, span long"
+_HALF = "doc_id long, at int, n int, anchor long, half long"
 _WINDOW = "doc_id long, at int, anchor long, window long"
 ADDED = ("n_words", "n_removed", "kept_text")
 
@@ -79,12 +81,36 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     return np.repeat(np.arange(len(column)), size), {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
 
 
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The listed spans by the second level: ten words that start at the anchor, or end with it, inside all windows of the row."""
+    wide = 2 * BASE
+    for part in W.slices(batches):
+        w = W.split(part.column("text"))
+        row, span = _lists(part.column("spans"))
+        ok = w.starts[row] + span["at"] + span["n"] + WINDOW - 1 <= w.starts[row + 1]  # not so only where rows share an id
+        row, at, n, anchor = row[ok], span["at"][ok], span["n"][ok], span["anchor"][ok]
+        if not len(row):
+            continue
+        with np.errstate(over="ignore"):
+            levels = doubled(w.hashes())
+            pos = anchors(levels[0])[w.starts[row] + at] - w.starts[row]
+            after = np.maximum(at, pos - (WINDOW - wide))  # from here on the windows hold the ten words from the anchor on
+            sides = [(after, at + n - after, pos, 0), (at, after - at, pos - BASE, 1)]
+            for lo, m, ten, side in sides:
+                has = m > 0
+                h = W.mix(levels[1][w.starts[row[has]] + ten[has]] + np.uint64(side))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(pa.array(row[has])), pa.array(lo[has].astype(np.int32)), pa.array(m[has].astype(np.int32)), pa.array(anchor[has]), pa.array(W.signed(h))],
+                    ["doc_id", "at", "n", "anchor", "half"],
+                )
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The full windows of the spans listed with each text."""
     for part in W.slices(batches):
         w = W.split(part.column("text"))
         row, span = _lists(part.column("spans"))
-        ok = w.starts[row] + span["at"] + span["n"] + WINDOW - 1 <= w.starts[row + 1]  # not so only where rows share an id
+        ok = w.starts[row] + span["at"] + span["n"] + WINDOW - 1 <= w.starts[row + 1]
         row, at, n, anchor = row[ok], span["at"][ok], span["n"][ok], span["anchor"][ok]
         if not len(row):
             continue
@@ -111,20 +137,31 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *made], [*rest, *ADDED])
 
 
+def _listed(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """Each text that has such spans, with all of them."""
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "anchor")).alias("spans"))
+    return docs.where("doc_id is not null").join(spans, "doc_id").select("doc_id", "text", "spans")
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """``(doc_id, at, n)``: n windows from word ``at`` on stand earlier in the corpus too."""
+    place = F.struct("doc_id", "at")
+    later = place != F.col("first")
     spans = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(_spans, _SPAN)
-    place = F.struct("doc_id", "at").alias("first")
+    # five words; written, as a join of two shuffles can split a hot anchor
     level = spans.groupBy("anchor").agg(F.count("*").alias("copies"), F.min("span").alias("lo"), F.max("span").alias("hi"), F.min(place).alias("first"))
-    level = level.where("copies > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"), "first")
-    later = F.struct("doc_id", "at") != F.col("first")
-    found = cut(spans.join(level, "anchor").where(F.col("mixed") | later).select("doc_id", "at", "n", "anchor", "span", "mixed"), "spans")
-    # where the words around an anchor differ, equal spans stand for one another and one of each is cut into windows
+    level = cut(level.where("copies > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"), "first"), "level")
+    found = spans.join(level, "anchor").where(F.col("mixed") | later)
+    found = cut(found.select("doc_id", "at", "n", "mixed", F.expr("if(mixed, anchor, null) anchor"), F.expr("if(mixed, span, null) span")), "spans")
+    # where all words around an anchor are the same, the earliest stays; else equal spans stand for one another
     mixed = found.where("mixed").drop("mixed")
-    heads = mixed.groupBy("anchor", "span").agg(F.min(F.struct("doc_id", "at", "n")).alias("h")).select("anchor", "span", "h.*")
+    heads = cut(mixed.groupBy("anchor", "span").agg(F.min(F.struct("doc_id", "at", "n")).alias("h")).select("anchor", "span", "h.*"), "heads")
     copies = mixed.join(heads.select("anchor", "span", F.struct("doc_id", "at").alias("first")), ["anchor", "span"]).where(later)
-    listed = heads.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "anchor")).alias("spans"))
-    windows = docs.where("doc_id is not null").join(listed, "doc_id").select("doc_id", "text", "spans").mapInArrow(_windows, _WINDOW)
+    # ten words
+    halves = _listed(docs, heads).mapInArrow(_halves, _HALF)
+    twice = halves.groupBy("anchor", "half").agg(F.count("*").alias("copies")).where("copies > 1").select("anchor", "half")
+    # twenty words
+    windows = _listed(docs, halves.join(twice, ["anchor", "half"])).mapInArrow(_windows, _WINDOW)
     firsts = windows.groupBy("anchor", "window").agg(F.count("*").alias("copies"), F.min(place).alias("first")).where("copies > 1").drop("copies")
     single = windows.join(firsts, ["anchor", "window"]).where(later).select("doc_id", "at", F.lit(1).alias("n"))
     return found.where("not mixed").select("doc_id", "at", "n").unionByName(copies.select("doc_id", "at", "n")).unionByName(single)
