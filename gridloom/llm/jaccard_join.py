@@ -181,7 +181,8 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     nodes = cut(known.groupBy("grp", "s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n")), "nodes")
     heads = nodes.groupBy("grp").agg(F.min("node").alias("head"), F.first("n").alias("n"))
     rows = known.select("grp", F.explode("prefix").alias("token"))
-    shared = rows.groupBy("token").agg(F.min("grp").alias("hub"), F.max("grp").alias("hi")).where("hub <> hi").select("token", "hub")
+    # written, as a join of two shuffles can split a hot shingle
+    shared = cut(rows.groupBy("token").agg(F.min("grp").alias("hub"), F.max("grp").alias("hi")).where("hub <> hi").select("token", "hub"), "shared")
     tokens = cut(rows.join(shared, "token").select("token", "hub", "grp"), "tokens")
     stars = tokens.where("grp <> hub").distinct().groupBy("hub", "grp").agg(F.count("*").alias("common"))
     a = heads.select(F.col("grp").alias("hub"), F.col("head").alias("a"), F.col("n").alias("na"))
