@@ -94,7 +94,7 @@ def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             levels = doubled(w.hashes())
             pos = anchors(levels[0])[w.starts[row] + at] - w.starts[row]
-            after = np.maximum(at, pos - (WINDOW - wide))  # from here on the windows hold the ten words from the anchor on
+            after = np.minimum(np.maximum(at, pos - (WINDOW - wide)), at + n)  # from here on the windows hold the ten words from the anchor on
             sides = [(after, at + n - after, pos, 0), (at, after - at, pos - BASE, 1)]
             for lo, m, ten, side in sides:
                 has = m > 0
