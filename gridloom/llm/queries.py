@@ -38,3 +38,29 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.jaccard_join import jaccard_groups
 
     return jaccard_groups(_table(spark, sf_dir, "documents"))
+
+
+@_query("op5_token_store")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from gridloom.llm.token_store import read_store, write_store
+    from gridloom.session import scratch
+
+    store = scratch(spark, "tokens")
+    write_store(_table(spark, sf_dir, "documents"), store, public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return read_store(spark, store)
+
+
+@_query("op8_byte_bpe")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from gridloom.llm.byte_bpe import byte_bpe
+
+    return bpe_digest(byte_bpe(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def bpe_digest(coded: DataFrame) -> DataFrame:
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return coded.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint) n_tokens"), sha("ids").alias("ids_sha256"), sha("decoded").alias("decoded_sha256"))
