@@ -64,3 +64,38 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_digest(coded: DataFrame) -> DataFrame:
     sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
     return coded.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint) n_tokens"), sha("ids").alias("ids_sha256"), sha("decoded").alias("decoded_sha256"))
+
+
+@_query("op2_license_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.license_scan import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+@_query("op4_chat_format", """
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), o as (
+  select *, lag(role) over (partition by conv_id order by turn nulls first, role, text) is distinct from role as opens from t
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length(replace(text, '<|', '<||')) + case when opens then 24 + length(replace(role, '<|', '<||')) else 8 end) as bigint) as formatted_chars
+from o group by conv_id""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.chat_format import format_chats, read_chats
+
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], turns.schema)
+    back = read_chats(format_chats(turns.unionByName(more)))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), sha(said).alias("turns_sha256"), F.char_length("trained").cast("long").alias("loss_chars"),
+        sha(F.col("trained")).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )

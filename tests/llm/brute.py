@@ -52,3 +52,15 @@ def jaccard_components(rows):
             x, y = find(a), find(b)
             top[max(x, y)] = min(x, y)
     return {d: (len(sets[d]), find(d)) for d in ids}
+
+
+def license_base(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+    at, labels = [], set()
+    for phrase, label in (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")):
+        p = phrase.split()
+        for i in range(len(w) - len(p) + 1):
+            if w[i : i + len(p)] == p:
+                at.append(i)
+                labels.add(label)
+    return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
