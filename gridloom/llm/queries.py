@@ -99,3 +99,56 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"), sha(said).alias("turns_sha256"), F.char_length("trained").cast("long").alias("loss_chars"),
         sha(F.col("trained")).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+def _crc(remainder: str):
+    return F.expr(f"crc32(cast(cast(doc_id as string) as binary)) {remainder}")
+
+
+@_query("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.language_id import fit, language_id
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit(docs.where(_crc("% 3 <> 1")))
+    return language_id(docs.select("doc_id", _crc("% 3 = 1").alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@_query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.toxicity import fit, sample, toxicity
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = fit(sample(docs, labels.where(_crc("% 5 <> 0"))))
+    return toxicity(docs.select("doc_id", _crc("% 5 = 0").alias("held_out"), "text"), model).select("doc_id", "held_out", "score", "predicted")
+
+
+@_query("op7_topk_search", """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(cast(x as double)))) = 0
+), s as (
+  select q.vec_id as query_id, x.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v x on q.vec_id % 20 = 0 and q.vec_id <> x.vec_id
+), r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.topk_search import integer_vectors, top_k
+
+    vectors = integer_vectors(_table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+@_query("op10_decontaminate")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
