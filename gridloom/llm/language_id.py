@@ -93,10 +93,10 @@ class Model:
                 live = order[: np.searchsorted(-size[order], -step)]
                 c = codes[begin[live] + step]
                 to = table[state[live], c]
-                ends = to < 0
-                count[live] += ends
-                state[live] = np.where(ends, np.maximum(table[0, c], 0), to)
-            out[:, lang] = count + 1
+                starts = (state[live] == 0) | (to < 0)  # a letter never seen is a phrase of its own
+                count[live] += starts
+                state[live] = np.where(starts, np.maximum(table[0, c], 0), to)
+            out[:, lang] = count
         return out, size
 
 

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 # Phrases whose every place counts, and their labels.
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
-#: Further phrases, found with a word put in, left out or changed; a hit adds only the label.
+#: Further phrases, found with a word put in or left out too; a hit adds only the label.
 MORE = [
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),

@@ -27,6 +27,7 @@ _SPAN = "doc_id long, at int, n int, anchor long, span long"
 _HALF = "doc_id long, at int, n int, anchor long, half long"
 _WINDOW = "doc_id long, at int, anchor long, window long"
 ADDED = ("n_words", "n_removed", "kept_text")
+COVERS = "__covers"
 
 
 def doubled(h: np.ndarray) -> list[np.ndarray]:
@@ -124,7 +125,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in W.slices(batches):
         w = W.split(part.column("text"))
-        row, cover = _lists(part.column("covers"))
+        row, cover = _lists(part.column(COVERS))
         edge = np.zeros(len(w) + 1, np.int64)
         lo = np.minimum(w.starts[row] + cover["at"], w.starts[row + 1])
         hi = np.minimum(lo + cover["n"] + WINDOW - 1, w.starts[row + 1])
@@ -132,7 +133,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.add.at(edge, hi, -1)
         keep = np.cumsum(edge)[:-1] == 0
         gone = np.concatenate([[0], np.cumsum(~keep)])
-        rest = [c for c in part.schema.names if c != "covers"]
+        rest = [c for c in part.schema.names if c != COVERS]
         made = [pa.array(np.diff(w.starts)), pa.array(np.diff(gone[w.starts])), w.joined(keep)]
         yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *made], [*rest, *ADDED])
 
@@ -140,7 +141,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _listed(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Each text that has such spans, with all of them."""
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "anchor")).alias("spans"))
-    return docs.where("doc_id is not null").join(spans, "doc_id").select("doc_id", "text", "spans")
+    return docs.where("doc_id is not null").select("doc_id", "text").join(spans, "doc_id").select("doc_id", "text", "spans")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -179,9 +180,9 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     such rows equal windows at one place are not earlier than each other. Other columns pass through,
     but for one named like an added one, which is replaced. Windows are compared by two 64-bit hashes, of the window and of its anchor.
     """
-    docs = docs.drop(*ADDED, "covers")
-    covers = repeated(docs).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("covers"))
+    docs = docs.drop(*ADDED)
+    covers = repeated(docs).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias(COVERS))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     # both joins of the texts deal them out alike, so that Spark shuffles them once
     known = docs.where("doc_id is not null").join(covers, "doc_id", "left")
-    return known.unionByName(docs.where("doc_id is null").withColumn("covers", F.lit(None))).mapInArrow(_kept, schema)
+    return known.unionByName(docs.where("doc_id is null").withColumn(COVERS, F.lit(None))).mapInArrow(_kept, schema)
