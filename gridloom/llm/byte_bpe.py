@@ -26,8 +26,8 @@ PIECE = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]
 _PLAIN = regex.compile(r"[!-~À-ɏ]")
 ADDED = ("ids", "decoded")
 #: Pieces that a task remembers at most.
-KEEP = 400_000
-_CHARS = 12_000_000
+KEEP = 150_000
+_CHARS = 3_000_000
 
 
 def byte_symbols() -> list[str]:

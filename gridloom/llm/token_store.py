@@ -26,7 +26,7 @@ from gridloom.llm.byte_bpe import gather
 #: Ids after which a segment ends.
 SEGMENT = 1_000_000
 #: Words that a task remembers at most.
-KEEP = 500_000
+KEEP = 200_000
 SCHEMA = "part int, seq int, n_docs long, n_tokens long, width int, keys binary, known binary, levels binary, bits binary, prints binary, starts binary, sizes binary, payload binary"
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
