@@ -9,8 +9,10 @@ Spark's writer commits them and any store that Spark reads can hold them.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from gridloom.llm.byte_bpe import gather
 #: Ids after which a segment ends.
 SEGMENT = 1_000_000
 #: Words that a task remembers at most.
-KEEP = 200_000
+KEEP = 400_000
 SCHEMA = "part int, seq int, n_docs long, n_tokens long, width int, keys binary, known binary, levels binary, bits binary, prints binary, starts binary, sizes binary, payload binary"
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
@@ -111,6 +113,19 @@ def _segment(part: int, seq: int, ids: np.ndarray, known: np.ndarray, tokens: np
     return {"part": part, "seq": seq, "n_docs": len(ids), "n_tokens": len(tokens), "width": width} | {k: v.tobytes() for k, v in arrays.items()}
 
 
+_TAIL = re.compile(r"([^<]*[A-Za-z0-9À-ÖØ-öø-ÿ])([.,;:!?]+)")
+
+
+def _stem(word: str) -> tuple[str, ...]:
+    """A word as parts that are encoded alike wherever they stand: case of A-Z is dropped, as the tokenizer drops it,
+    and marks after a letter or digit are pieces of their own. Words that may hold a special token stay as they are."""
+    if "<" in word:
+        return (word,)
+    if word[-1] in ".,;:!?" and (m := _TAIL.fullmatch(word)):
+        return m[1].lower() if m[1].isascii() else m[1], m[2]
+    return (word.lower() if word.isascii() else word,)
+
+
 def _write(path: str, end: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -132,16 +147,17 @@ def _write(path: str, end: int):
 
         for piece in W.slices(batches, chars=SEGMENT * 4):
             w = W.split(piece.column("text"))
-            vocab = w.vocab.to_pylist()
+            vocab = [_stem(v) for v in w.vocab.to_pylist()]
             if len(known) > KEEP:
                 known.clear()
-            new = [v for v in vocab if v not in known]
-            known.update((v, np.array(e.ids, np.uint32)) for v, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)))
-            runs = [known[v] for v in vocab] + [np.array([end], np.uint32)]
-            offsets = np.concatenate([[0], np.cumsum([len(r) for r in runs])])
+            new = list(dict.fromkeys(x for v in vocab for x in v if x not in known))
+            known.update((v, e.ids) for v, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)))
+            runs = [known[v[0]] + known[v[1]] if len(v) > 1 else known[v[0]] for v in vocab] + [[end]]
+            offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)))])
+            flat = np.fromiter(chain.from_iterable(runs), np.uint32, offsets[-1])
             # after each text's words one more, the end
             codes = np.insert(w.codes.astype(np.int64), w.starts[1:], len(vocab))
-            tokens, at = gather(np.concatenate(runs), offsets, codes)
+            tokens, at = gather(flat, offsets, codes)
             starts = at[w.starts + np.arange(len(w.starts))]
             doc = piece.column("doc_id")
             held.append((pc.fill_null(doc, 0).to_numpy(zero_copy_only=False).astype(np.int64), pc.is_valid(doc).to_numpy(zero_copy_only=False), tokens, np.diff(starts)))
@@ -160,8 +176,9 @@ _ARROW = pa.schema([(n, _KIND[k]) for n, k in (x.split() for x in SCHEMA.split("
 def write_store(docs: DataFrame, store: str, tokenizer: str, end: int) -> None:
     """Write the ids of all texts, each followed by ``end``, in ascending doc_id order to the folder ``store``.
 
-    tokenizer: a file of the tokenizers library that drops white space and whose pieces never cross it, so
-    that a text's ids are those of its words one after another; each distinct word is encoded once in a while.
+    tokenizer: a file of the tokenizers library that drops white space and the case of letters and whose pieces
+    never cross white space or join letters with marks, so that a text's ids are those of its words one after
+    another; each distinct word is encoded once in a while.
     Rows without doc_id come first. Null text: only the end id. Rows that share a doc_id follow one another
     in order of their texts, and their keys count them. Other columns are not read. The folder must be new.
     """
