@@ -151,8 +151,8 @@ def _write(path: str, end: int):
             if len(known) > KEEP:
                 known.clear()
             new = list(dict.fromkeys(x for v in vocab for x in v if x not in known))
-            known.update((v, e.ids) for v, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)))
-            runs = [known[v[0]] + known[v[1]] if len(v) > 1 else known[v[0]] for v in vocab] + [[end]]
+            known.update((v, tuple(e.ids)) for v, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)))
+            runs = [known[v[0]] + known[v[1]] if len(v) > 1 else known[v[0]] for v in vocab] + [(end,)]
             offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)))])
             flat = np.fromiter(chain.from_iterable(runs), np.uint32, offsets[-1])
             # after each text's words one more, the end
