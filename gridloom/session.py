@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -30,15 +31,22 @@ def build_session(app: str = "gridloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def _local_only(master: str) -> None:
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    The setting belongs to the cluster. Only where it is unset (tests, a laptop) a fresh local
-    folder is created, once per application, so all callers agree on it.
+    The setting belongs to the cluster. Only where it is unset and the master is local a fresh local
+    folder is created, once per application, so all callers agree on it. Executors elsewhere would
+    not see such a folder, so that any other master without the setting is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
+    _local_only(spark.sparkContext.master)
     app = spark.sparkContext.applicationId
     if app not in _fallback_dirs:
         _fallback_dirs[app] = tempfile.mkdtemp(prefix="gridloom-", dir=os.environ.get("TMPDIR"))
