@@ -121,7 +121,7 @@ def _stem(word: str) -> tuple[str, ...]:
     and marks after a letter or digit are pieces of their own. Words that may hold a special token stay as they are."""
     if "<" in word:
         return (word,)
-    if word[-1] in ".,;:!?" and (m := _TAIL.fullmatch(word)):
+    if word[-1:] in ".,;:!?" and (m := _TAIL.fullmatch(word)):
         return m[1].lower() if m[1].isascii() else m[1], m[2]
     return (word.lower() if word.isascii() else word,)
 
