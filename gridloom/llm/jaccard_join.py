@@ -22,9 +22,12 @@ from gridloom.session import cut
 SHINGLE = 5
 #: Similarity in hundredths.
 LEAST = 80
-#: log2 of the counters of word frequency. The order of shingles that they give decides only how many candidates
-#: there are; any order finds all pairs. Their number does not grow with the data.
+#: log2 of the counters of shingle frequency. The order of shingles that they give decides only how many candidates
+#: there are; any order finds all pairs. Their number does not grow with the data: a shingle stands out from
+#: its counter's others if it makes more than about one in 2 ** COUNTER_BITS of all, at any size.
 COUNTER_BITS = 18
+#: Bits of a prefix entry that hold the rank; the others are of the shingle's hash.
+RANK_BITS = 8
 _SET = "doc_id long, n long, s1 long, s2 long, grp long, prefix array<long>"
 
 
@@ -33,24 +36,17 @@ def _words(text: pa.Array) -> tuple[W.Words, np.ndarray]:
     return w, w.hashes()
 
 
-def shingle_sets(text: pa.Array, rarity: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray | None]]:
-    """Sorted distinct shingle hashes of each text, with the rank of the rarest word in each."""
+def shingle_sets(text: pa.Array) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
     w, h = _words(text)
-    ranks = np.zeros(0, np.uint64)
-    if rarity is not None:
-        word = rarity[_bucket(h)]
-        m = max(0, len(h) - SHINGLE + 1)
-        ranks = np.minimum.reduce([word[k : k + m] for k in range(SHINGLE)])
     out = []
     with np.errstate(over="ignore"):
         grams = W.windows(h, SHINGLE)
         for lo, hi in zip(w.starts.tolist(), w.starts[1:].tolist()):
             if hi - lo >= SHINGLE:
-                s, first = np.unique(grams[lo : hi - SHINGLE + 1], return_index=True)
-                out.append((s, None if rarity is None else ranks[lo + first]))
+                out.append(np.unique(grams[lo : hi - SHINGLE + 1]))
             else:
-                s = W.windows(h[lo:hi], hi - lo) if hi > lo else np.zeros(0, np.uint64)
-                out.append((s, None if rarity is None else np.zeros(len(s), np.uint64)))
+                out.append(W.windows(h[lo:hi], hi - lo) if hi > lo else np.zeros(0, np.uint64))
     return out
 
 
@@ -71,20 +67,24 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << COUNTER_BITS, np.int64)
     for part in W.slices(batches):
-        total += np.bincount(_bucket(_words(part.column("text"))[1]), minlength=len(total))
+        w, h = _words(part.column("text"))
+        with np.errstate(over="ignore"):
+            grams = W.windows(h, SHINGLE)
+        inside = w.ends()[: len(grams)] - np.arange(len(grams)) >= SHINGLE
+        total += np.bincount(_bucket(grams[inside]), minlength=len(total))
     hit = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], ["bucket", "n"])
 
 
 def frequency(docs: DataFrame) -> np.ndarray:
-    """For each counter four times the binary logarithm of how often its words occur in all documents, at most 63.
+    """For each counter four times the binary logarithm of how often its shingles occur in all documents.
 
     Brings 2 ** COUNTER_BITS numbers to the driver, whatever the input.
     """
     rows = docs.select("text").mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     total = np.ones(1 << COUNTER_BITS)
     total[rows["bucket"].to_numpy(np.int64)] = rows["n"]
-    return np.minimum(4 * np.log2(np.maximum(total, 1)), 63).astype(np.uint64)
+    return (4 * np.log2(np.maximum(total, 1))).astype(np.uint8)
 
 
 def _sets(shared):
@@ -94,14 +94,14 @@ def _sets(shared):
         rarity = shared.value
         for part in W.slices(batches):
             rows = []
-            for doc_id, (s, rank) in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), rarity)):
+            for doc_id, s in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"))):
                 n = len(s)
                 if not n:
                     rows.append((doc_id, 0, None, None, None, None))
                     continue
                 with np.errstate(over="ignore"):
                     p = prefix_size(n)
-                    ordered = (rank << np.uint64(58)) | (s >> np.uint64(6))
+                    ordered = (rarity[_bucket(s)].astype(np.uint64) << np.uint64(64 - RANK_BITS)) | (s >> np.uint64(RANK_BITS))
                     prefix = np.sort(np.partition(ordered, p - 1)[:p])
                     scrambled = W.mix(s)
                     grp = W.windows(np.append(prefix, np.uint64(n)), p + 1)[0]
@@ -116,7 +116,7 @@ def _sets(shared):
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in W.slices(iter([batch]), "text_a"):
-            ok = [similar(x, y) for (x, _), (y, _) in zip(shingle_sets(part.column("text_a")), shingle_sets(part.column("text_b")))]
+            ok = [similar(x, y) for x, y in zip(shingle_sets(part.column("text_a")), shingle_sets(part.column("text_b")))]
             yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -132,24 +132,33 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 #: ends first no other shingle is in the other set.
 _NEED = f"(((na + nb) * {LEAST} + {99 + LEAST}) div {100 + LEAST})"
 _POSSIBLE = " or ".join(f"(n{x} - (n{x} * {LEAST} + 99) div 100 + 1 - common <= n{x} - {_NEED})" for x in "ab")
+#: Whether the token, at place ia of a's ordered set and ib of b's, may be the first that a similar pair shares.
+_FIRST = f"least(na - ia, nb - ib) >= {_NEED}"
 _SIZED = f"100 * least(na, nb) >= {LEAST} * greatest(na, nb)"
 
 
-def _across(placed: DataFrame, tokens: DataFrame) -> DataFrame:
+def _across(placed: DataFrame, tokens: DataFrame, heads: DataFrame, known: DataFrame) -> DataFrame:
     """``(a, b, ca, cb)``: pairs of nodes in different components ca < cb that may be similar.
 
-    placed: (node, grp, n, component); tokens: (token, grp), all groups of each prefix shingle that several groups have.
+    placed: (node, grp, n, component); tokens: (token, at, grp), all groups of each prefix shingle that several groups
+    have, with its place there; heads: (grp, head), one document of each; known: (doc_id, grp, prefix). Groups meet at shingles that may be their first common one;
+    those that met are told apart by all of their prefixes.
     """
     kinds = cut(placed.select("grp", "n", "component").distinct(), "kinds")
     # a group whose members are of several components is compared with itself: its own key stands for a shingle
     own = kinds.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    keyed = tokens.select("token", F.lit(False).alias("own"), "grp").unionByName(own.select(F.col("grp").alias("token"), F.lit(True).alias("own"), "grp"))
+    keyed = tokens.select("token", F.lit(False).alias("own"), "at", "grp").unionByName(own.select(F.col("grp").alias("token"), F.lit(True).alias("own"), F.lit(0).alias("at"), "grp"))
     keyed = keyed.join(kinds, "grp")
     spread = keyed.groupBy("token", "own").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "own")
     keyed = cut(keyed.join(spread, ["token", "own"]).distinct(), "spread")
-    a = keyed.select("token", "own", F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    b = keyed.select("token", "own", F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    met = a.join(b, ["token", "own"]).where("ca < cb").where(_SIZED).groupBy("ga", "gb", "na", "nb", "ca", "cb").agg(F.count("*").alias("common"))
+    a = keyed.select("token", "own", F.col("at").alias("ia"), F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    b = keyed.select("token", "own", F.col("at").alias("ib"), F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    met = a.join(b, ["token", "own"]).where("ca < cb").where(_SIZED).where(_FIRST).select("ga", "gb", "na", "nb", "ca", "cb").distinct()
+    met = cut(met, "met")
+    needed = met.select(F.col("ga").alias("grp")).unionByName(met.select(F.col("gb").alias("grp"))).distinct()
+    prefixes = heads.join(needed, "grp").join(known.select("grp", F.col("doc_id").alias("head"), "prefix"), ["grp", "head"])
+    left, right = (prefixes.select(F.col("grp").alias(f"g{x}"), F.col("prefix").alias(f"p{x}")) for x in "ab")
+    met = met.join(left, "ga").join(right, "gb").withColumn("common", F.size(F.array_intersect("pa", "pb")))
     met = met.where(f"ga = gb or {_POSSIBLE}").select("ga", "gb", "ca", "cb")
     x = placed.select(F.col("grp").alias("ga"), F.col("component").alias("ca"), F.col("node").alias("a"))
     y = placed.select(F.col("grp").alias("gb"), F.col("component").alias("cb"), F.col("node").alias("b"))
@@ -180,18 +189,18 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     known = sets.where("doc_id is not null and n > 0")
     nodes = cut(known.groupBy("grp", "s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n")), "nodes")
     heads = nodes.groupBy("grp").agg(F.min("node").alias("head"), F.first("n").alias("n"))
-    rows = known.select("grp", F.explode("prefix").alias("token"))
+    rows = known.select("grp", F.posexplode("prefix").alias("at", "token"))
     # written, as a join of two shuffles can split a hot shingle
     shared = cut(rows.groupBy("token").agg(F.min("grp").alias("hub"), F.max("grp").alias("hi")).where("hub <> hi").select("token", "hub"), "shared")
-    tokens = cut(rows.join(shared, "token").select("token", "hub", "grp"), "tokens")
-    stars = tokens.where("grp <> hub").distinct().groupBy("hub", "grp").agg(F.count("*").alias("common"))
+    tokens = cut(rows.join(shared, "token").select("token", "at", "hub", "grp").distinct(), "tokens")
+    stars = tokens.where("grp <> hub").groupBy("hub", "grp").agg(F.count("*").alias("common"))
     a = heads.select(F.col("grp").alias("hub"), F.col("head").alias("a"), F.col("n").alias("na"))
     b = heads.select("grp", F.col("head").alias("b"), F.col("n").alias("nb"))
     between = stars.join(a, "hub").join(b, "grp").where(_SIZED).where(_POSSIBLE).select("a", "b")
     inside = nodes.join(heads.select("grp", "head"), "grp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     near = components(verified(between.unionByName(inside), docs))
     placed = cut(nodes.join(near, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-    rest = cut(_across(placed, tokens), "across")
+    rest = cut(_across(placed, tokens, heads.select("grp", "head"), known), "across")
     more = verified(rest.select("a", "b"), docs).join(rest, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     joined = components(more).select(F.col("node").alias("component"), F.col("component").alias("least"))
     ends = placed.join(joined, "component", "left").select("grp", "s1", "s2", F.coalesce("least", "component").alias("end"))
