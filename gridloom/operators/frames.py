@@ -54,7 +54,7 @@ def initial_delta(frame: DataFrame) -> DataFrame:
     return frame.filter(F.col("risk") > 0).select("idx", "risk", "depth")
 
 
-def apply_deltas(deltas: DataFrame, last_step: int, cells: int, base: DataFrame | None = None) -> DataFrame:
+def apply_deltas(deltas: DataFrame, last_step: int | Column, cells: int, base: DataFrame | None = None) -> DataFrame:
     """State of every touched cell at every step up to ``last_step``.
 
     A delta holds from its step until the cell's next delta, so each cell is expanded between its
@@ -97,7 +97,7 @@ def frame_summary(frames: DataFrame, deltas: DataFrame) -> DataFrame:
     return wet.unionByName(chg).groupBy("step").agg(F.sum("wet").alias("wet"), F.sum("changed").alias("changed"))
 
 
-def densify(frames: DataFrame, spec: GridSpec, last_step: int) -> DataFrame:
+def densify(frames: DataFrame, spec: GridSpec, last_step: int | Column) -> DataFrame:
     """Every cell of every step from 0; absent cells are 0."""
     steps = F.explode(F.sequence(F.lit(0), F.lit(last_step)))
     grid = frames.sparkSession.range(spec.cells).select(steps.alias("step"), F.col("id").alias("idx"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom import constants as K
 from gridloom.functions import cells as cx
 from gridloom.gridspec import GridSpec
+from gridloom.operators import layers
 
 
 def initial_grid(requests: DataFrame, rasters: DataFrame, spec: GridSpec, levels: list[tuple], top: int, file_mode: bool = True) -> DataFrame:
@@ -42,9 +43,8 @@ def initial_grid(requests: DataFrame, rasters: DataFrame, spec: GridSpec, levels
     )
     # Padding: only layers that are not raw are brought to the shape of the grid.
     pads = info.filter(~terrain).select("scenario", "layer", F.when(depth, F.lit(0.0)).alias("_d"))
-    frame = pads.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(spec.rows - 1)))).withColumn(
-        "col", F.explode(F.sequence(F.lit(0), F.lit(spec.cols - 1)))
-    )
+    rows = pads.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(spec.rows - 1))))
+    frame = layers.dealt(rows, "scenario", "layer", "row").withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(spec.cols - 1))))
     keys = ["scenario", "layer", "row", "col"]
     blank = frame.select(*keys, F.lit(0).alias("level"), F.col("_d").alias("depth"), F.lit(None).cast("double").alias("terrain"), F.lit(0).alias("_real"))
     both = cells.withColumn("_real", F.lit(1)).unionByName(blank)

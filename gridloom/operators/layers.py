@@ -16,6 +16,14 @@ from gridloom.gridspec import GridSpec
 RC = ["row", "col"]
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """The few rows spread over as many partitions as a shuffle has, before each becomes many.
+
+    The number is given, as adaptive execution would join small partitions again.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def idx_to_rowcol(df: DataFrame, cols: int) -> DataFrame:
     return df.withColumns({"row": cx.row_of(F.col("idx"), cols), "col": cx.col_of(F.col("idx"), cols)})
 

@@ -17,7 +17,6 @@ from gridloom.session import cut
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TILE = 64
-MAX_ROUNDS = 200
 
 
 def _label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -39,13 +38,19 @@ def _label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(node=lab[r, c])[["row", "col", "cell", "node"]]
 
 
+def _least(offers: DataFrame) -> DataFrame:
+    """Least label offered to each node, with the label it had."""
+    return offers.groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+
+
 def grow_region(cells: DataFrame, cols: int, seed: int, through: list[int], key: str = "land_cover") -> DataFrame:
     """Turn into ``seed`` every cell 8-connected to a seed cell through cells of the listed classes.
 
     Cells are first labelled inside fixed tiles (a bounded group each), which leaves one node per
-    tile-local group. Labels then spread over the short list of touching nodes by minimum, with a
-    pointer jump per round, so the number of rounds grows with the logarithm of the tile hops.
-    Every round is written to the shared folder.
+    tile-local group. Labels then spread over the short list of touching nodes by minimum: in each
+    round a node takes the least label around it, tells its former label of it, and jumps to its
+    label's label, so a long chain of tiles does not take a round per tile. Labels only fall, so the
+    rounds end; every round is written to the shared folder.
     """
     base = cells.select("row", "col", key)
     open_ = base.filter(F.col(key).isin([seed, *through])).withColumns(
@@ -76,20 +81,21 @@ def grow_region(cells: DataFrame, cols: int, seed: int, through: list[int], key:
     links = cut(seen.filter(F.col("a") != F.col("b")).select("a", "b").distinct(), "links")
 
     labels = cut(links.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
-    for _ in range(MAX_ROUNDS):
-        offered = links.join(labels, links["b"] == labels["node"]).select(F.col("a").alias("node"), "label")
-        lower = labels.unionByName(offered).groupBy("node").agg(F.min("label").alias("label"))
-        hop = lower.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        jumped = lower.join(hop, lower["label"] == hop["_n"], "left").select(
-            "node", F.least("label", F.coalesce("_l", F.col("label"))).alias("label")
+    nothing = F.lit(None).cast("long").alias("old")
+    while True:
+        offered = links.join(labels, links["b"] == labels["node"]).select(F.col("a").alias("node"), "label", nothing)
+        lower = _least(labels.select("node", "label", F.col("label").alias("old")).unionByName(offered))
+        hooks = lower.filter(F.col("label") < F.col("old")).select(F.col("old").alias("node"), "label", nothing)
+        hooked = cut(_least(lower.unionByName(hooks)), "hooks")
+        hop = hooked.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+        labels = cut(
+            hooked.join(hop, hooked["label"] == hop["_n"], "left").select(
+                "node", F.least("label", F.coalesce("_l", F.col("label"))).alias("label"), "old"
+            ),
+            "labels",
         )
-        new = cut(jumped, "labels")
-        moved = new.join(labels.withColumnRenamed("label", "_old"), "node").filter(F.col("label") != F.col("_old")).limit(1).count()
-        labels = new
-        if not moved:
+        if labels.filter(F.col("label") < F.col("old")).isEmpty():
             break
-    else:
-        raise RuntimeError(f"labels still change after {MAX_ROUNDS} rounds")
 
     group = F.coalesce("label", F.col("node"))
     tagged = nodes.join(labels, "node", "left").select("row", "col", group.alias("grp"))

@@ -161,7 +161,11 @@ def xyz_bounds(tiles: DataFrame) -> DataFrame:
 
 
 def pixel_points(cover: DataFrame, epsg: int, size: int = K.TILE_PIXELS) -> DataFrame:
-    """Pixel centres of each tile as points in the grid's CRS."""
+    """Pixel centres of each tile as points in the grid's CRS.
+
+    A cover is a few rows that come from one box, so its tiles are dealt out before their pixels are made.
+    """
+    cover = layers.dealt(cover, "z", "x", "y")
     m = F.lit(K.MERCATOR_HALF * 2) / F.pow(F.lit(2.0), F.col("z")) / F.lit(size)
     px = cover.withColumn("py", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
     px = px.withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))

@@ -9,7 +9,7 @@ from gridloom.operators import events as ev
 from gridloom.operators import frames as fr
 from gridloom.operators import initial, layers
 from gridloom.plans import views as vw
-from gridloom.plans.frame_queries import LAST
+from gridloom.plans.frame_queries import last_step
 from gridloom.plans.registry import query
 from gridloom.plans.views import sql
 from gridloom.session import scratch
@@ -34,7 +34,7 @@ def read_raster_headers(v):
 
 
 def _series(v):
-    dense = layers.idx_to_rowcol(fr.densify(v.frames, v.spec, LAST), vw.COLS)
+    dense = layers.idx_to_rowcol(fr.densify(v.frames, v.spec, last_step(v.frames)), vw.COLS)
     series = dense.select("step", "row", "col", F.col("risk").cast("double").alias("value"))
     day = F.date_trunc("day", "ts").cast("timestamp_ntz")
     index = v.writes.groupBy("step").agg(F.min(day).alias("ts_start")).withColumn("ts_end", F.expr("ts_start + interval 1 day"))

@@ -13,7 +13,12 @@ from gridloom.plans.views import sql
 from gridloom.sinks import messages
 
 R6 = lambda c: F.round(c, 6)
-LAST = 29
+#: SQL for the last step there is.
+LAST = "(select max(step) from frames)"
+
+
+def last_step(frames):
+    return frames.agg(F.max(F.col("step").cast("int"))).scalar()
 
 
 @query("F0_wet_by_level", sql("frames", "select step, risk, count(*) as cells, round(sum(depth), 6) as depth from frames where risk > 0 group by 1, 2"))
@@ -44,16 +49,16 @@ def initial_delta(v):
     return fr.initial_delta(start).withColumn("step", first)
 
 
-@query("F4_apply_deltas", sql("frames", f"""select s.step, d.idx, d.risk, d.depth from (select cast(unnest(range({LAST + 1})) as integer) as step) s
+@query("F4_apply_deltas", sql("frames", f"""select s.step, d.idx, d.risk, d.depth from (select cast(unnest(range({LAST} + 1)) as integer) as step) s
     asof join d on s.step >= d.step""".replace("asof join d on s.step >= d.step", "cross join (select distinct idx from d) i asof join d on d.idx = i.idx and s.step >= d.step"), {"d": DIFF}))
 def apply_deltas(v):
-    return fr.apply_deltas(fr.frame_diff(v.frames), LAST, v.n).select("step", "idx", "risk", "depth")
+    return fr.apply_deltas(fr.frame_diff(v.frames), last_step(v.frames), v.n).select("step", "idx", "risk", "depth")
 
 
 @query("F4b_rebuild_frames", sql("frames", "select step, idx, risk from frames where risk > 0"))
 def rebuild_frames(v):
     """Applying the differences gives back the wet cells of every frame."""
-    return fr.apply_deltas(fr.frame_diff(v.frames), LAST, v.n).filter("risk > 0").select("step", "idx", "risk")
+    return fr.apply_deltas(fr.frame_diff(v.frames), last_step(v.frames), v.n).filter("risk > 0").select("step", "idx", "risk")
 
 
 @query("F5_ever_wet", sql("frames", "select idx, max(risk) > 0 as wet from frames group by 1"))
@@ -73,10 +78,10 @@ def frame_summary(v):
     return fr.frame_summary(v.frames, fr.frame_diff(v.frames))
 
 
-@query("F8_densify", sql("frames", f"""select s.step, c.idx, cast(coalesce(f.risk, 0) as integer) as risk, coalesce(f.depth, 0) as depth from (select cast(unnest(range({LAST + 1})) as integer) as step) s
+@query("F8_densify", sql("frames", f"""select s.step, c.idx, cast(coalesce(f.risk, 0) as integer) as risk, coalesce(f.depth, 0) as depth from (select cast(unnest(range({LAST} + 1)) as integer) as step) s
     cross join (select p_partkey as idx from part) c left join frames f on f.step = s.step and f.idx = c.idx"""))
 def densify(v):
-    return fr.densify(v.frames, v.spec, LAST)
+    return fr.densify(v.frames, v.spec, last_step(v.frames))
 
 
 SAVES = """select step * 2 + k as save_no, step, idx, case when k = 1 and step % 3 = 0 and idx % 50 = 0 then 5 - risk else risk end as risk from frames, (values (0), (1)) t(k)"""

@@ -11,7 +11,7 @@ from gridloom import GridSpec
 from gridloom import constants as K
 from gridloom.functions import cells as cx
 from gridloom.functions import geodesy as gd
-from gridloom.operators import focal, frames, interpolate, layers, polygons, regions
+from gridloom.operators import focal, frames, interpolate, layers, polygons, regions, tiles
 
 
 def table(spark, **layers_):
@@ -74,6 +74,25 @@ def test_grow_region_matches_flood_fill(spark):
     assert (array(got, "land_cover", grid.shape) == want).all()
 
 
+def test_grow_region_needs_few_rounds_for_a_long_way(spark, monkeypatch):
+    monkeypatch.setattr(regions, "TILE", 2)
+    rows, written, write = 160, [], regions.cut
+    monkeypatch.setattr(regions, "cut", lambda df, label="cut": (written.append(label), write(df, label))[1])
+    way = np.zeros((rows, 6))
+    way[:, 0] = way[:, 5] = way[-1, :] = 1.0
+    way[0, 5] = 9.0
+    got = array(regions.grow_region(table(spark, land_cover=way), 6, 9, [1]), "land_cover", way.shape)
+    assert (got == np.where(way > 0, 9.0, 0.0)).all()
+    assert written.count("hooks") <= 20
+
+
+def test_pixels_are_made_in_many_tasks(spark):
+    cover = spark.createDataFrame([(9, x, y) for x in range(250, 256) for y in range(190, 194)], "z int, x int, y int").coalesce(1)
+    pixels = tiles.pixel_points(cover, 25830, 4)
+    assert pixels.count() == 24 * 16
+    assert pixels.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
 def test_rasterize_with_a_hole(spark):
     pts = lambda *p: [(float(x), float(y)) for x, y in p]
     rows = [(1, 1, 7, [pts((0, 0), (8, 0), (8, 8), (0, 8)), pts((2.2, 2.2), (5.2, 2.2), (5.2, 5.2), (2.2, 5.2))]), (2, 2, 9, [pts((6, 6), (9.9, 6), (9.9, 9.9))])]
