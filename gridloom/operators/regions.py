@@ -86,13 +86,13 @@ def grow_region(cells: DataFrame, cols: int, seed: int, through: list[int], key:
         offered = links.join(labels, links["b"] == labels["node"]).select(F.col("a").alias("node"), "label", nothing)
         lower = _least(labels.select("node", "label", F.col("label").alias("old")).unionByName(offered))
         hooks = lower.filter(F.col("label") < F.col("old")).select(F.col("old").alias("node"), "label", nothing)
-        hooked = cut(_least(lower.unionByName(hooks)), "hooks")
-        hop = hooked.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+        hooked = _least(lower.unionByName(hooks))
+        hop = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
         labels = cut(
             hooked.join(hop, hooked["label"] == hop["_n"], "left").select(
                 "node", F.least("label", F.coalesce("_l", F.col("label"))).alias("label"), "old"
             ),
-            "labels",
+            "round",
         )
         if labels.filter(F.col("label") < F.col("old")).isEmpty():
             break

@@ -83,7 +83,7 @@ def test_grow_region_needs_few_rounds_for_a_long_way(spark, monkeypatch):
     way[0, 5] = 9.0
     got = array(regions.grow_region(table(spark, land_cover=way), 6, 9, [1]), "land_cover", way.shape)
     assert (got == np.where(way > 0, 9.0, 0.0)).all()
-    assert written.count("hooks") <= 20
+    assert written.count("round") <= 20
 
 
 def test_pixels_are_made_in_many_tasks(spark):
