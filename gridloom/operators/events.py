@@ -70,10 +70,14 @@ def count_by_process(good: DataFrame) -> DataFrame:
     return good.groupBy("scenario", "process").agg(F.count(F.lit(1)).alias("n"), F.max(known).alias("known"))
 
 
+def number(text: Column) -> Column:
+    """A JSON number or its text as DOUBLE; null for anything else, however odd."""
+    return F.when(text.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), text.try_cast("double"))
+
+
 def whole(text: Column) -> Column:
-    """A JSON number or its text as BIGINT, truncated; null for anything else, however odd."""
-    plain = text.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$")
-    return F.when(plain, text.try_cast("double")).try_cast("bigint")
+    """Such a number as BIGINT, truncated."""
+    return number(text).try_cast("bigint")
 
 
 def resolve_state(cell: Column, names: dict[str, int] = K.STATE_NAMES, unknown: int = 1) -> Column:
@@ -98,7 +102,7 @@ def explode_cells(good: DataFrame, names: dict[str, int] = K.STATE_NAMES, unknow
         "pos",
         F.col("kv.key").try_cast("bigint").alias("idx"),
         resolve_state(cell, names, unknown).alias("risk"),
-        F.coalesce(cell["height"].try_cast("double"), F.lit(0.0)).alias("depth"),
+        F.coalesce(number(cell["height"]), F.lit(0.0)).alias("depth"),
     ).filter(F.col("idx").isNotNull())
 
 
@@ -239,7 +243,7 @@ def frame_changes(kept: DataFrame, rows: int, cols: int) -> DataFrame:
         "scenario", "seq", "frame_end", "pos",
         F.when(F.col("layer"), F.col("kv.key").try_cast("bigint")).when(on_grid, y * cols + x).alias("idx"),
         resolve_state(value).alias("risk"),
-        F.when(F.col("layer"), F.coalesce(value["height"].try_cast("double"), F.lit(0.0))).alias("depth"),
+        F.when(F.col("layer"), F.coalesce(number(value["height"]), F.lit(0.0))).alias("depth"),
     )
     return out.filter((F.col("idx") >= 0) & (F.col("idx") < rows * cols)).withColumns(
         {"row": row_of(F.col("idx"), cols), "col": col_of(F.col("idx"), cols)}
