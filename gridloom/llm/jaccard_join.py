@@ -172,8 +172,9 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     is the least doc_id that links reach. A-Z are lower-cased; with fewer than five words the whole
     sequence is the one shingle.
 
-    First each group's least document is compared with the other members, and the least group of a
-    prefix shingle with the others that have it: about as many pairs as rows. Pairs whose ends these
+    First each group's least document is compared with the other members, and the group that has a prefix
+    shingle earliest with the others that have it: about as many pairs as rows. That group has least beside the
+    shingles that are as frequent, so it is like most of the others where a frequent passage is nearly all of a text. Pairs whose ends these
     links have joined need no look; all others that share a prefix shingle and can be similar are
     verified then. So a large group of copies costs no pairs within it and no link between components
     is lost.
@@ -191,7 +192,8 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     heads = nodes.groupBy("grp").agg(F.min("node").alias("head"), F.first("n").alias("n"))
     rows = known.select("grp", F.posexplode("prefix").alias("at", "token"))
     # written, as a join of two shuffles can split a hot shingle
-    shared = cut(rows.groupBy("token").agg(F.min("grp").alias("hub"), F.max("grp").alias("hi")).where("hub <> hi").select("token", "hub"), "shared")
+    hub = F.min_by("grp", F.struct("at", "grp")).alias("hub")
+    shared = cut(rows.groupBy("token").agg(hub, F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token", "hub"), "shared")
     tokens = cut(rows.join(shared, "token").select("token", "at", "hub", "grp").distinct(), "tokens")
     stars = tokens.where("grp <> hub").groupBy("hub", "grp").agg(F.count("*").alias("common"))
     a = heads.select(F.col("grp").alias("hub"), F.col("head").alias("a"), F.col("n").alias("na"))
