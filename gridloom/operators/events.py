@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gridloom import constants as K
 from gridloom.functions.cells import col_of, div, row_of
 from gridloom.functions.ranges import interval_join, seconds
-from gridloom.functions.running import BLOCK, BLOCK_ROWS, running, with_blocks
+from gridloom.functions.running import BLOCK_ROWS, running
 from gridloom.session import cut
 
 _CELL = "value: string, level: string, depth_level: string, risk_level: string, state: string, height: string"
@@ -149,14 +149,13 @@ def latest_grid_config(good: DataFrame, default: tuple[int, int]) -> DataFrame:
     )
 
 
-def decoded_log(events: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
-    """Good events written once to the shared folder, clustered by scenario and ``seq``.
+def decoded_log(events: DataFrame) -> DataFrame:
+    """Good events written once to the shared folder, each where it was read: no message is shuffled.
 
-    Operators that pass over the log several times then read only the columns they need, skip by
-    ``process`` and ``seq`` statistics, and never parse a message twice.
+    Operators that pass over the log several times then read only the columns they need and never
+    parse a message twice.
     """
-    good = with_blocks(decode(events)[0], "seq", block)
-    return cut(good.repartition("scenario", BLOCK).sortWithinPartitions("scenario", "seq").drop(BLOCK), "log")
+    return cut(decode(events)[0], "log")
 
 
 def frame_segments(
@@ -197,13 +196,16 @@ def first_init_eof(good: DataFrame) -> DataFrame:
     return good.filter(_is("Init_EOF")).groupBy("scenario").agg(F.min("seq").alias("eof"))
 
 
-def gate_before_init(good: DataFrame, file_mode: bool, block: int = BLOCK_ROWS) -> DataFrame:
-    """In file mode, drop state messages that arrive before the first Init_EOF of their scenario."""
+def gate_before_init(good: DataFrame, file_mode: bool) -> DataFrame:
+    """In file mode, drop state messages that arrive before the first Init_EOF of their scenario.
+
+    The messages meet one row per scenario, so that no message is ordered.
+    """
     if not file_mode:
         return good
-    seen = running(good, ["scenario"], "seq", {"_eof": ("min", F.when(_is("Init_EOF"), F.col("seq")))}, block=block)
-    keep = ~F.col("process").isin(*STATE_KINDS) | F.col("_eof").isNotNull()
-    return seen.filter(keep).drop("_eof")
+    first = first_init_eof(good).withColumnRenamed("eof", "_eof")
+    keep = ~F.col("process").isin(*STATE_KINDS) | (F.col("seq") >= F.col("_eof"))
+    return good.join(first, "scenario", "left").filter(keep).drop("_eof")
 
 
 def assemble_frames(

@@ -40,7 +40,7 @@ def _good(v):
 
 def _log(v):
     """The decoded log, written once, for operators that pass over it several times."""
-    return ev.decoded_log(v.msgs, BLOCK)
+    return ev.decoded_log(v.msgs)
 
 
 @query("G1_decode", sql("msgs", "select scenario, seq, ts, case when j->>'$.process' is null then 'dead' else 'good' end as kind from j", {"j": GOOD["j"]}))
@@ -151,7 +151,7 @@ def grid_at(v):
 @query("G12_gate_before_init", sql("msgs", """select scenario, seq, process from good g where process not in ('EYE_SetState_Layer', 'EYE_SetState')
     or seq > (select min(seq) from good e where e.scenario = g.scenario and e.process = 'Init_EOF')""", GOOD))
 def gate_before_init(v):
-    return ev.gate_before_init(_good(v), True, BLOCK).select("scenario", "seq", "process")
+    return ev.gate_before_init(_good(v), True).select("scenario", "seq", "process")
 
 
 @query("G13_ack_points", sql("msgs", """select scenario, seq, n from (select *, count(*) filter (process like 'EYE_SetState%') over (partition by scenario, seg order by seq) as n,

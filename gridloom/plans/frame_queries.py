@@ -129,9 +129,14 @@ def _cells_json(cells):
 CHUNKED = {"d": DIFF, "c": "select *, cast((rank() over (partition by step order by idx) - 1) // 40 as bigint) as chunk from d"}
 
 
+def _plain(deltas):
+    """Heights as decimals, whose text is the same in both engines."""
+    return deltas.withColumn("depth", F.col("depth").cast("decimal(18,6)"))
+
+
 @query("A15_delta_messages", sql("frames", f"select step, chunk, {_cells_json('')} as json from c group by 1, 2", CHUNKED))
 def delta_messages(v):
-    return messages.encode_delta_messages(fr.frame_diff(v.frames), 40)
+    return messages.encode_delta_messages(_plain(fr.frame_diff(v.frames)), 40)
 
 
 @query("A16_frame_envelope", sql("frames", f"""select step, 1 as rank, chunk, {_cells_json('')} as json from c group by 1, 3
@@ -140,7 +145,7 @@ def delta_messages(v):
     from (select step, max(ts) as sim_time from writes group by 1) t left join (select step, count(*) as n from d group by 1) m on m.step = t.step, (values (0), (2), (3)) k(r)""", CHUNKED))
 def frame_envelope(v):
     times = v.writes.groupBy("step").agg(F.max("ts").alias("sim_time"))
-    return messages.frame_envelope(fr.frame_diff(v.frames), times, 40)
+    return messages.frame_envelope(_plain(fr.frame_diff(v.frames)), times, 40)
 
 
 @query("A17_frame_manifest", sql("frames", """select concat('[', string_agg(concat('"step_', lpad(cast(step as varchar), 5, '0'), '"'), ',' order by step), ']') as frames, true as live from (select distinct step from frames)"""))

@@ -168,6 +168,12 @@ def krige_cells(v):
     return interpolate.krige_cells(v.points, interpolate.fit_variogram(_bins(v), RANGES), v.spec)
 
 
+@query("B12b_rainfall_layer")
+def rainfall_layer(v):
+    at = v.readings.join(v.stations.select("station_id", "x", "y"), "station_id").withColumnRenamed("mm_per_hour", "value")
+    return interpolate.rainfall_layer(at, v.steps, v.spec, EDGES, RANGES, least_points=90)
+
+
 @query("B13_gate_min_points", sql("readings steps", f"""select s.step, coalesce(n, 0) as n, round(case when coalesce(n, 0) >= 90 then m else 0 end, 6) as value from steps s
     left join (select step, count(*) as n, avg(mm_per_hour) as m from ({ACTIVE}) group by 1) a on s.step = a.step"""))
 def gate_min_points(v):

@@ -10,9 +10,9 @@ from gridloom.operators.frames import assign_chunks
 
 
 def encode_delta_messages(deltas: DataFrame, chunk: int = K.CHUNK_CELLS, layer: str = K.DELTA_LAYER) -> DataFrame:
-    """Messages ``(step, chunk, json)``; a group is one chunk, never more than ``chunk`` cells."""
+    """Messages ``(step, chunk, json)``; a group is one chunk, never more than ``chunk`` cells. Heights are written as they are."""
     ranked = assign_chunks(deltas, chunk, K.CHUNKS_PER_BATCH)
-    cell = F.struct(F.col("risk").alias("state"), F.col("depth").cast("decimal(18,6)").alias("height"))
+    cell = F.struct(F.col("risk").alias("state"), F.col("depth").alias("height"))
     cells = F.array_sort(F.collect_list(F.struct("idx", cell.alias("c"))))
     grouped = ranked.groupBy("step", "chunk").agg(cells.alias("a"))
     by_key = F.map_from_entries(F.transform("a", lambda s: F.struct(s["idx"].cast("string"), s["c"])))

@@ -60,8 +60,12 @@ def parse_report_lines(lines: DataFrame, text: str = "line") -> DataFrame:
 
 
 _RING = "struct<LinearRing: struct<posList: string>>"
+_POLYGON = f"struct<exterior: {_RING}, interior: array<{_RING}>>"
+_PATCHES = f"struct<PolygonPatch: array<{_POLYGON}>>"
+_SURFACE = f"Polygon: array<{_POLYGON}>, Surface: array<struct<patches: {_PATCHES}>>"
 FEATURE_SCHEMA = (
-    f"_id string, class struct<_href: string>, geometry struct<Polygon: struct<exterior: {_RING}, interior: array<{_RING}>>>"
+    f"_id string, class struct<_href: string>, geometry struct<{_SURFACE}, MultiSurface: struct<"
+    f"surfaceMember: array<struct<{_SURFACE}>>, surfaceMembers: struct<{_SURFACE}>>>"
 )
 
 
@@ -74,19 +78,40 @@ def _points(text: Column) -> Column:
     )
 
 
+def _polygons(surface: Column) -> Column:
+    """All polygons of a geometry or member: its own and the patches of its surfaces."""
+    none = F.array().cast(f"array<{_POLYGON}>")
+    patches = F.flatten(F.transform(surface["Surface"], lambda s: F.coalesce(s["patches"]["PolygonPatch"], none)))
+    return F.concat(F.coalesce(surface["Polygon"], none), F.coalesce(patches, none))
+
+
 def read_features(spark: SparkSession, path: str, row_tag: str = "LandCoverUnit") -> DataFrame:
-    """Polygon features ``(feature_id, class, rings)``, outer ring first; ones without an id are dropped.
+    """Polygon features ``(feature_id, class, rings)``; ones without an id are dropped.
+
+    A geometry is a polygon, a surface of patches or a multi-surface of both. Rings are listed polygon by
+    polygon, the outer one first. Of any other geometry ``rings`` is empty; ``features_without_rings``
+    keeps such features apart.
 
     Name prefixes are ignored. The class is the last path segment of the class link, mapped through
     the code list.
     """
     raw = spark.read.format("xml").options(rowTag=row_tag, ignoreNamespace="true").schema(FEATURE_SCHEMA).load(path)
-    poly = F.col("geometry.Polygon")
-    texts = F.concat(
-        F.array(poly["exterior"]["LinearRing"]["posList"]),
-        F.coalesce(F.transform(poly["interior"], lambda r: r["LinearRing"]["posList"]), F.array().cast("array<string>")),
-    )
+    none = F.array().cast(f"array<{_POLYGON}>")
+    multi = F.col("geometry.MultiSurface")
+    members = F.flatten(F.transform(multi["surfaceMember"], _polygons))
+    polygons = F.concat(_polygons(F.col("geometry")), F.coalesce(members, none), _polygons(multi["surfaceMembers"]))
+    lists = F.transform(polygons, lambda p: F.concat(
+        F.array(p["exterior"]["LinearRing"]["posList"]),
+        F.coalesce(F.transform(p["interior"], lambda r: r["LinearRing"]["posList"]), F.array().cast("array<string>")),
+    ))
+    texts = F.filter(F.flatten(lists), lambda t: F.trim(t) != "")
     base = raw.filter(F.col("_id").isNotNull()).select(
         F.col("_id").alias("feature_id"), F.element_at(F.split("class._href", "/"), -1).alias("code"), F.transform(texts, _points).alias("rings")
     )
     return map_class_codes(base, K.LAND_COVER_CODES).select("feature_id", "class", "rings")
+
+
+def features_without_rings(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Features with at least one ring, and the others."""
+    has = F.size("rings") > 0
+    return features.filter(has), features.filter(~has)

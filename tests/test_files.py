@@ -60,3 +60,23 @@ PLANNED = [n for n in QUERIES if n[0] in "BCDEFG" and n not in ("D4_grow_region"
 def test_plan_pairs_rows_only_through_keys(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_features_of_all_polygon_forms(spark, tmp_path):
+    from gridloom.sources.stations import features_without_rings, read_features
+
+    ring = lambda n: f"<g:LinearRing><g:posList>{n} 0 {n} 1 {n + 1} 1</g:posList></g:LinearRing>"
+    part = lambda tag, n: f"<g:{tag}><g:exterior>{ring(n)}</g:exterior></g:{tag}>"
+    hole = f"<g:Polygon><g:exterior>{ring(1)}</g:exterior><g:interior>{ring(2)}</g:interior></g:Polygon>"
+    forms = {
+        "a": hole,
+        "b": f"<g:MultiSurface><g:surfaceMember>{part('Polygon', 3)}</g:surfaceMember><g:surfaceMember>{part('Polygon', 4)}</g:surfaceMember></g:MultiSurface>",
+        "c": f"<g:Surface><g:patches>{part('PolygonPatch', 5)}{part('PolygonPatch', 6)}</g:patches></g:Surface>",
+        "d": "<g:Point><g:pos>1 2</g:pos></g:Point>",
+    }
+    body = "".join(f'<u:LandCoverUnit id="{k}"><u:class href="x/111"/><u:geometry>{v}</u:geometry></u:LandCoverUnit>' for k, v in forms.items())
+    (tmp_path / "f.xml").write_text(f'<r xmlns:u="urn:u" xmlns:g="urn:g">{body}</r>')
+    good, bad = features_without_rings(read_features(spark, str(tmp_path)))
+    got = {r["feature_id"]: [ring[0]["x"] for ring in r["rings"]] for r in good.collect()}
+    assert got == {"a": [1.0, 2.0], "b": [3.0, 4.0], "c": [5.0, 6.0]}
+    assert [r["feature_id"] for r in bad.collect()] == ["d"]

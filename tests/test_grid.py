@@ -124,6 +124,31 @@ def test_kriging_is_exact_and_keeps_constants(spark):
         assert at[r, c][0] == pytest.approx(p[3], abs=1e-6) and at[r, c][1] == pytest.approx(0.0, abs=1e-6)
 
 
+def test_rainfall_layer_has_a_frame_for_every_step(spark):
+    spec = GridSpec(6, 5, 100.0, 0.0, 600.0)
+    t = lambda d: f"timestamp_ntz'2024-01-0{d} 00:00:00'"
+    row = lambda x, y, v, d: f"({x}d, {y}d, {v}d, {t(d)}, {t(d + 1)})"
+    rows = [row(130, 220, 5, 1), row(470, 510, 1, 1), row(10, 30, 5.5, 1), row(130, 220, 4, 2), row(5000, 220, 4, 3), row(90, 90, 2, 3), row(400, 90, 6, 3)]
+    readings = spark.sql(f"select * from values {', '.join(rows)} as r(x, y, value, start_ts, end_ts)")
+    steps = spark.sql(f"select * from values {', '.join(f'({d - 1}, {t(d)}, {t(d + 1)})' for d in (1, 2, 3, 4))} as s(step, s0, s1)")
+    out = interpolate.rainfall_layer(readings, steps, spec, [0.0, 300.0, 600.0], [400.0], least_points=2)
+    got = {r["step"]: r for r in out.groupBy("step").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect()}
+    assert sorted(got) == [0, 1, 2, 3] and all(r["n"] == 30 for r in got.values())
+    assert got[1]["hi"] == 0 and got[3]["hi"] == 0
+    assert got[0]["lo"] >= 0 and got[0]["hi"] > got[0]["lo"] and got[2]["lo"] > 0
+
+
+def test_kriging_without_a_model_is_the_mean_and_weights_equal_the_inverse(spark):
+    spec = GridSpec(4, 4, 100.0, 0.0, 400.0)
+    points = spark.createDataFrame([(0, 33.0, 20.0, -3.0), (1, 10.0, 10.0, 2.0), (1, 350.0, 390.0, 4.0), (1, 350.0, 390.0, 6.0), (1, 200.0, 900.0, 1.0)], "step int, x double, y double, value double")
+    models = spark.createDataFrame([(1, "spherical", 0.1, 1.0, 900.0)], "step int, model string, nugget double, sill double, reach double")
+    full = {(r["step"], r["row"], r["col"]): r["value"] for r in interpolate.krige_cells(points, models, spec, least=None).collect()}
+    thin = {(r["step"], r["row"], r["col"]): r["value"] for r in interpolate.krige_cells(points, models, spec, variance=False, least=None).collect()}
+    assert len(full) == 32 and full.keys() == thin.keys()
+    assert all(v == pytest.approx(thin[k], abs=1e-6) for k, v in full.items())
+    assert all(v == pytest.approx(-3.0) for (s, _, _), v in full.items() if s == 0)
+
+
 def test_utm_matches_meridian_arc_and_round_trips(spark):
     lat = 39.5
     n = 20000
