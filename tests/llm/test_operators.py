@@ -331,6 +331,26 @@ def test_decontaminate(spark, documents, odd, odd_rows, empty):
         assert decontaminate.decontaminated(odd, i).count() == len(odd_rows) and decontaminate.contaminated(empty, i).count() == 0
 
 
+def test_decontaminate_parts_apart(spark, monkeypatch):
+    """Question and answer 200 words apart, either order, with items in one index or in several."""
+    rows = [(k, " ".join(w.capitalize() for w in sentence(100 + k, 25).split(" ")) + "? " + sentence(200 + k, 1 + k % 20) + ".") for k in range(40)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    texts, want = [], set()
+    for k, text in rows:
+        question, answer = (" ".join(x) for x in decontaminate.parts(text))
+        far = sentence(300 + k, 200)
+        texts += [(3 * k, f"{question} {far} {answer}"), (3 * k + 1, f"{answer} {far} {question}"), (3 * k + 2, f"{question} {far}")]
+        want |= {(3 * k, k), (3 * k + 1, k)}
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = sorted(map(tuple, decontaminate.contaminated(docs, items).collect()))
+    assert {r[:2] for r in found} - {r for r in want} <= {(3 * k + 2, k) for k in range(40) if k % 20 < 2} and want <= {r[:2] for r in found}
+    monkeypatch.setattr(decontaminate, "SHARD_CHARS", 2_000)
+    several = list(decontaminate.indexes(items))
+    assert len(several) > 1 and sorted(map(tuple, decontaminate.contaminated(docs, items).collect())) == found
+    one = decontaminate.Index(rows)
+    assert all(np.isclose(x.scores[k].max(), one.scores[one.terms.index(t)].max()) or len(one.docs[one.terms.index(t)]) > 1 for x in several for k, t in enumerate(x.terms))
+
+
 def test_block_max_wand_equals_full_scores():
     rnd = random.Random(8)
     items = [(k, " ".join(rnd.choice("abcdefghijklmnop") + str(rnd.randint(0, 6)) for _ in range(rnd.randint(3, 120)))) for k in range(150)]
