@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, jaccard_join, queries, substring_dedup, toxicity
 from gridloom.llm.byte_bpe import byte_bpe
-from gridloom.session import scratch
+from gridloom.session import cut, scratch
+
+#: Column of the node of a row in the stage of near duplicates.
+_NODE = "near_duplicate_node"
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +26,24 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of least doc_id stays."""
-    gone = jaccard_join.jaccard_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of linked rows one stays: that of least doc_id, and among rows with this doc_id one of them.
+
+    Rows are compared, not doc_ids: a row's node is a 64-bit hash of doc_id and text. Of rows that repeat with one
+    doc_id and text one stays (the least in all columns, if others differ); another text with the same doc_id stays or
+    goes by its own links. Texts without words are linked with nothing, so each such row stays, as each without doc_id.
+    """
+    placed = docs.withColumn(_NODE, F.xxhash64("doc_id", "text"))
+    known = placed.where("doc_id is not null")
+    groups = jaccard_join.jaccard_groups(known.select(F.col(_NODE).alias("doc_id"), "text")).where("n_shingles > 0")
+    nodes = cut(groups.groupBy(F.col("doc_id").alias(_NODE), "component_id").agg(F.count("*").alias("rows")), "nodes")
+    least = nodes.join(known.select(_NODE, "doc_id").distinct(), _NODE).groupBy("component_id").agg(F.min(F.struct("doc_id", _NODE)).alias("least"))
+    stays = cut(least.select(F.col(f"least.{_NODE}").alias(_NODE)), "stays")
+    # nodes of several rows leave with those that go, and come back as one row
+    several = cut(nodes.where("rows > 1").join(stays, _NODE, "left_semi").select(_NODE), "several")
+    gone = nodes.join(stays, _NODE, "left_anti").select(_NODE).unionByName(several).withColumnRenamed(_NODE, "gone")
+    rest = placed.join(gone, F.col("doc_id").isNotNull() & (F.col(_NODE) == F.col("gone")), "left_anti").select(docs.columns)
+    one = known.join(several, _NODE, "left_semi").groupBy(_NODE).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return rest.unionByName(one.select("row.*"))
 
 
 def _substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,18 @@ def test_odd_rows(spark, tmp_path):
             stage(spark, out, SF).write.parquet(str(tmp_path / f"{k}{name}"))
             out = spark.read.parquet(str(tmp_path / f"{k}{name}"))
         assert out.count() == (0 if k else len(rows))
+
+
+def test_near_duplicates_of_rows(spark):
+    """Rows that repeat with one doc_id are copies; texts that share a doc_id go or stay each by its own links."""
+    words = [[f"{c}{k}" for k in range(60)] for c in "abcd"]
+    texts = [" ".join(w) for w in words]
+    near = " ".join([*words[0][:-1], "other"])
+    rows = [(1, texts[0], "en", "s", 1), (2, texts[1], "en", "s", 1), (2, texts[1], "en", "s", 1), (3, near, "en", "s", 1), (3, texts[2], "en", "s", 1)]
+    rows += [(4, texts[3], "en", "b", 2), (4, texts[3], "en", "a", 3), (5, "", "en", "s", 0), (5, "", "en", "s", 0), (None, texts[0], "en", "s", 1), (None, texts[0], "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    done = stage(spark, docs, SF)
+    assert stage(spark, docs.limit(0), SF).count() == 0
+    assert done.columns == docs.columns
+    assert sorted(map(tuple, done.collect()), key=str) == sorted([rows[0], rows[1], rows[4], rows[6], *rows[7:]], key=str)
