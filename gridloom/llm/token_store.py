@@ -48,6 +48,8 @@ class Mph:
     @classmethod
     def build(cls, keys: np.ndarray) -> Mph:
         levels, bits = [], []
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("equal keys have no places of their own")
         while len(keys):
             size = 2 * len(keys) + 1
             at = cls._place(keys, len(levels), size)
@@ -74,7 +76,7 @@ def key_hashes(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
     run = np.arange(len(ids))
     nth = run - np.maximum.accumulate(np.where(same, 0, run)) if len(ids) else run
     with np.errstate(over="ignore"):
-        return W.combine(W.mix(ids.view(np.uint64) + known.astype(np.uint64)), nth.astype(np.uint64))
+        return W.combine(W.combine(W.mix(ids.view(np.uint64)), known.astype(np.uint64)), nth.astype(np.uint64))
 
 
 def fingerprints(keys: np.ndarray) -> np.ndarray:

@@ -205,6 +205,17 @@ def test_minimal_perfect_hash():
     mph = token_store.Mph.build(keys)
     assert np.array_equal(np.sort(mph.index(keys)), np.arange(len(keys)))
     assert len(token_store.Mph.build(keys[:0]).index(keys[:5])) == 5
+    with pytest.raises(ValueError):
+        token_store.Mph.build(keys[[0, 1, 0]])
+
+
+def test_token_store_keys_around_null(spark, tmp_path):
+    ids, known = np.array([0, -1, 0, 0]), np.array([False, True, True, True])
+    assert len(np.unique(token_store.key_hashes(ids, known))) == len(ids)
+    docs = spark.createDataFrame([(None, "a"), (-1, "a b"), (0, "a b c"), (None, "b")], "doc_id long, text string").coalesce(1)
+    token_store.write_store(docs, str(tmp_path / "store"), public_tokenizers.path("word_bpe_49k.json"), 2)
+    got = token_store.read_store(spark, str(tmp_path / "store")).orderBy("start")
+    assert [(r.doc_id, r.n_tokens) for r in got.collect()] == [(None, 2), (None, 2), (-1, 3), (0, 4)]
 
 
 def test_byte_bpe(spark, documents, odd, odd_rows, empty):
