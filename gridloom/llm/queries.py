@@ -147,6 +147,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@_query("op11_quality_rules")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.quality_rules import quality_rules
+
+    done = quality_rules(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@_query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.spelling_variants import spelling_variants
+
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 @_query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
