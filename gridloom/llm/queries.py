@@ -162,6 +162,29 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_table(spark, sf_dir, "documents"))
 
 
+@_query("op13_lexical_search", r"""
+with d as (
+  select row_number() over () as r, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents
+), f as (
+  select r, doc_id, cast(len(terms) as bigint) as n, unnest(terms) as term from d
+), p as (select r, doc_id, n, term, count(*) as tf from f group by all
+), s as (select cast(count(distinct r) as bigint) as nn, cast(count(*) as bigint) as ll from f
+), q as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark
+), w as (
+  select term, cast(floor(1000 * ln(cast(2 * nn + 2 as double) / (2 * count(*) + 1))) as bigint) as w from p, s where term in (select term from q) group by term, nn
+), x as (
+  select item_id, r, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nn) // ll)))) as bigint) as score
+  from q join w using (term) join p using (term), s group by item_id, r, doc_id
+), k as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id nulls last) as integer) as rank, doc_id, score from x where score > 0)
+select item_id, rank, doc_id, score from k where rank <= 10""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.lexical_search import ranked_search
+
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
+
+
 @_query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
