@@ -121,7 +121,7 @@ def near_in(one: list[str], two: list[str], same: bool) -> tuple[np.ndarray, np.
     a, b = _codes(one), _codes(two)
     ca, cb = _letter_counts(a), _letter_counts(b)
     apart = (ca * ca).sum(1)[:, None] + (cb * cb).sum(1)[None, :] - 2 * (ca @ cb.T)  # whole numbers, exact in doubles
-    i, j = np.nonzero(apart == (2 if a.shape[1] == b.shape[1] else 1))
+    i, j = np.nonzero(apart <= (2 if a.shape[1] == b.shape[1] else 1))
     if same:
         i, j = i[i < j], j[i < j]
     ok = np.zeros(len(i), bool)
