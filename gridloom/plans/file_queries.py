@@ -20,8 +20,8 @@ from gridloom.sources import eventlog, rasters, stations
 @query("A1_read_ascii_raster", sql("cells", 'select "row", col, height as value from cells'))
 def read_ascii_raster(v):
     path = scratch(v.spark, "raster")
-    out.write_ascii_raster(v.layer("height"), f"{path}/height")
-    return rasters.read_ascii_raster(v.spark, path, by_folder=True, shape=(v.spec.rows, v.spec.cols)).drop("raster")
+    out.write_raster(v.layer("height"), v.spec, path, "height")
+    return rasters.read_rasters(v.spark, path).drop("raster")
 
 
 @query("A2_read_raster_headers", sql("cells", f"""select name, 'real' as data_type, cast({vw.COLS} as integer) as cols, cast({vw._ROWS} as integer) as rows, 'EPSG:25830' as crs, {vw.MIN_X}::double as min_x, {vw.MIN_X + vw.COLS * vw.CELL}::double as max_x,
@@ -39,7 +39,7 @@ def _series(v):
     day = F.date_trunc("day", "ts").cast("timestamp_ntz")
     index = v.writes.groupBy("step").agg(F.min(day).alias("ts_start")).withColumn("ts_end", F.expr("ts_start + interval 1 day"))
     path = scratch(v.spark, "series")
-    out.write_raster_series(series, index, v.spec, path, factor=2)
+    out.write_raster_series(series, index, v.spec, path, "risk", factor=2, data_type="integer")
     return path
 
 
@@ -51,12 +51,14 @@ SERIES = {
 @query("A3_read_raster_series", sql("frames cells", """select ix.step, ix.ts_start, ix.ts_end, 2 as factor, c."row", c.col, cast(coalesce(f.risk, 0) as double) as value
     from ix cross join cells c left join frames f on f.step = ix.step and f.idx = c.idx""", SERIES))
 def read_raster_series(v):
-    return rasters.read_raster_series(v.spark, _series(v), (v.spec.rows, v.spec.cols))
+    return rasters.read_raster_series(v.spark, _series(v), "risk")
 
 
-@query("A13_write_raster_series", sql("writes", "select step, lpad(cast(step as varchar), 6, '0') as name, ts_start, ts_end, 2 as factor from ix", SERIES))
+@query("A13_write_raster_series", sql("frames cells", """select concat(lpad(cast(dense_rank() over (order by ix.step) - 1 as varchar), 6, '0'), '.img') as file, cast(c."row" as bigint) as line,
+    string_agg(cast(cast(coalesce(f.risk, 0) as bigint) as varchar), ' ' order by c.col) as text from ix cross join cells c left join frames f on f.step = ix.step and f.idx = c.idx group by ix.step, c."row" """, SERIES))
 def write_raster_series(v):
-    return rasters.read_series_index(v.spark, f"{_series(v)}/series_metadata.json")
+    lines = rasters.read_lines(v.spark, _series(v), glob="*.img")
+    return lines.select(F.substring_index("raster", "/", -1).alias("file"), "line", F.col("value").alias("text"))
 
 
 @query("A4_read_stations", sql("stations", "select cast(station_id as varchar) as station_id, x, y, 25830 as epsg, location, concat('p, ', province) as province from stations"))
@@ -81,15 +83,17 @@ def read_aliases(v):
 def read_sparse_frames(v):
     path = scratch(v.spark, "sparse")
     out.write_sparse_frames(layers.idx_to_rowcol(v.frames, vw.COLS), v.spec, path)
-    return rasters.read_sparse_frames(v.spark, f"{path}/frames", v.spec.rows, v.spec.cols)
+    return rasters.read_sparse_frames(v.spark, path, v.spec.rows, v.spec.cols)
 
 
-@query("A14_write_sparse_frames", sql("frames", f"""select 'step=' || lpad(cast(step as varchar), 5, '0') as folder, concat(idx // {vw.COLS}, ',', idx % {vw.COLS}, ',', risk) as line from frames where risk > 0"""))
+@query("A14_write_sparse_frames", sql("frames", f"""select concat('step_', lpad(cast(step as varchar), 5, '0'), '.csv') as file, concat(idx // {vw.COLS}, ',', idx % {vw.COLS}, ',', risk) as line from frames where risk > 0
+    union all select distinct concat('step_', lpad(cast(step as varchar), 5, '0'), '.csv'), 'row,col,flood_risk' from frames
+    union all select distinct concat('step_', lpad(cast(step as varchar), 5, '0'), '.csv'), concat('# rows=', {vw._ROWS}, ' cols={vw.COLS} cell_size_m={vw.CELL}') from frames"""))
 def write_sparse_frames(v):
     path = scratch(v.spark, "sparse")
     out.write_sparse_frames(layers.idx_to_rowcol(v.frames, vw.COLS), v.spec, path)
-    text = v.spark.read.text(f"{path}/frames", recursiveFileLookup=True).filter(F.col("value") != "row,col,flood_risk")
-    return text.select(F.regexp_extract("_metadata.file_path", r"(step=\d+)", 1).alias("folder"), F.col("value").alias("line"))
+    text = v.spark.read.text(path, pathGlobFilter="*.csv")
+    return text.select(F.substring_index("_metadata.file_path", "/", -1).alias("file"), F.col("value").alias("line"))
 
 
 @query("A7_read_event_log", sql("msgs", "select scenario, seq, ts, json from msgs"))
@@ -149,16 +153,17 @@ def write_checkpoints(v):
     return v.spark.read.parquet(path).select("checkpoint", "idx", "risk", "depth")
 
 
-@query("A12_write_ascii_raster", sql("cells", """select cast("row" as bigint) as line, string_agg(cast(land_cover as varchar), ' ' order by col) as text from cells group by 1"""))
+@query("A12_write_ascii_raster", sql("cells", """select 'cover.img' as file, cast("row" as bigint) as line, string_agg(cast(land_cover as varchar), ' ' order by col) as text from cells group by "row" """))
 def write_ascii_raster(v):
     path = scratch(v.spark, "raster")
-    out.write_ascii_raster(v.layer("land_cover"), path, integer=True)
-    return rasters.read_lines(v.spark, path, by_folder=True).select("line", F.col("value").alias("text"))
+    out.write_raster(v.layer("land_cover"), v.spec, path, "cover", data_type="integer")
+    lines = rasters.read_lines(v.spark, path, glob="*.img")
+    return lines.select(F.substring_index("raster", "/", -1).alias("file"), "line", F.col("value").alias("text"))
 
 
 INITIAL = {
     "r": """select 'd0' as p, "row", col, round(depth - 1, 6) as value from cells union all select 'd1', "row", col, round(depth * 2 - 1, 6) from cells
-        union all select 'd2', "row", col, height from cells union all select 'd3', "row", col, height from cells where col < 45""",
+        union all select 'd2', "row", col, height from cells union all select 'd3', cast(idx // 45 as integer), cast(idx % 45 as integer), height from cells""",
     "st": "select p, min(value) as lo, max(value) as hi, bool_or(value % 1 <> 0) as frac from r group by 1",
     "ask": """select scenario, json->>'$.id' as layer, arg_max(json->>'$.data_path', seq) as p from control
         where json->>'$.process' = 'InitAgent_Layer' and (json->>'$.data_filename') is not null group by 1, 2""",
@@ -174,8 +179,9 @@ def initial_grid(v):
     path = scratch(v.spark, "layers")
     for i in range(4):
         value = F.col("depth") * (i + 1) - 1 if i < 2 else F.col("height")
-        part = v.cells.select("row", "col", value.alias("value"))
-        out.write_ascii_raster(part if i < 3 else part.filter("col < 45"), f"{path}/d{i}/f")
+        # the last one is a raster of another width than the grid
+        row, col = ("row", "col") if i < 3 else ("cast(idx div 45 as int) as row", "cast(idx % 45 as int) as col")
+        out.write_ascii_raster(v.cells.withColumn("value", value).selectExpr(row, col, "value"), f"{path}/d{i}/f")
     made = rasters.read_ascii_raster(v.spark, path, by_folder=True)
     named = made.withColumn("name", F.substring_index("raster", "/", -2))
     ask, _ = ev.layer_requests(ev.decode(v.control)[0])

@@ -21,15 +21,15 @@ HEADER_KEYS = {
 _NUMBERS = {"cols": "int", "rows": "int", "min_x": "double", "max_x": "double", "min_y": "double", "max_y": "double", "resolution": "double", "nodata": "double"}
 
 
-def read_lines(spark: SparkSession, path: str | list[str], by_folder: bool = False) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], by_folder: bool = False, glob: str = "*[!_]*") -> DataFrame:
     """Lines ``(raster, line, value)`` with their exact 0-based number, read in parallel.
 
     Within one block of a file the generated row ids are consecutive, so the position in the block is
     the id minus the block's smallest id. Counting the lines of the blocks before it, on a table of
     one row per block, completes the number. No line is sorted, and no file is bound to one task.
-    With ``by_folder`` the part files of a folder, in name order, are one raster.
+    With ``by_folder`` the part files of a folder, in name order, are one raster. Blank lines do not count.
     """
-    raw = spark.read.text(path, pathGlobFilter="*[!_]*", recursiveFileLookup=True).select(
+    raw = spark.read.text(path, pathGlobFilter=glob, recursiveFileLookup=True).filter(F.trim("value") != "").select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("blk"),
         F.monotonically_increasing_id().alias("id"),
@@ -50,7 +50,7 @@ def checked_rows(lines: DataFrame, shape: tuple[int, int] | None = None) -> Data
     With a shape, a row of another width fails when it is read, and a raster with another number of
     rows fails on each of its rows.
     """
-    parts = lines.filter(F.trim("value") != "").select(
+    parts = lines.select(
         "raster", F.col("line").cast("int").alias("row"), F.split(F.trim("value"), r"\s+").alias("cells")
     )
     if shape is None:
@@ -96,16 +96,47 @@ def read_series_index(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_raster_series(spark: SparkSession, folder: str, shape: tuple[int, int] | None = None) -> DataFrame:
+def _fitted(lines: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Grid rows ``(raster, row, cells)`` of lines that ``shapes`` (raster, rows, cols) describes; one row for each shape at least.
+
+    A raster without a file, of another number of rows or with a row of another width fails when it is read.
+    """
+    parts = lines.select("raster", F.col("line").cast("int").alias("row"), F.split(F.trim("value"), r"\s+").alias("cells"))
+    counts = parts.groupBy("raster").agg(F.count(F.lit(1)).alias("_n"), F.min(F.size("cells")).alias("_least"), F.max(F.size("cells")).alias("_most"))
+    named = lambda what: F.raise_error(F.concat(F.lit(what), F.col("raster")))
+    checked = shapes.join(counts, "raster", "left").select(
+        "raster",
+        F.when(F.col("_n").isNull(), named("raster file not found: ").cast("int"))
+        .when((F.col("_n") != F.col("rows")) | (F.col("_least") != F.col("cols")) | (F.col("_most") != F.col("cols")), named("raster does not fit its header: ").cast("int"))
+        .otherwise(F.lit(1)).alias("_ok"),
+    )
+    return checked.join(parts, "raster").filter("_ok = 1").select("raster", "row", "cells")
+
+
+def read_rasters(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells ``(raster, row, col, value)`` of the rasters of a folder: each header ``x.doc`` with its file ``x.img``.
+
+    Files without a header are left out; a header without a file, or with one of another size, is an error.
+    """
+    base = F.regexp_extract("raster", r"([^/]*)\.[^./]*$", 1)
+    headers = read_raster_headers(spark, f"{folder}/*.doc").select(base.alias("raster"), "rows", "cols")
+    lines = read_lines(spark, folder, glob="*.img").withColumn("raster", base)
+    cells = _fitted(lines, headers).select("raster", "row", F.posexplode("cells").alias("col", "_t"))
+    return cells.select("raster", "row", "col", F.col("_t").cast("double").alias("value"))
+
+
+def read_raster_series(spark: SparkSession, folder: str, name: str = "series") -> DataFrame:
     """Cells ``(step, ts_start, ts_end, factor, row, col, value)`` of a series folder.
 
-    The sidecar is ``series_metadata.json``; frame ``name`` is the file ``name.img`` or the folder
-    ``frame=name`` of part files.
+    ``name_metadata.json`` lists the frames, ``name.hif`` gives the size of all, ``x.img`` is frame x. A frame that
+    is listed and has no file, or one of another size, is an error; files that are not listed are left out.
     """
-    index = read_series_index(spark, f"{folder}/series_metadata.json")
-    lines = checked_rows(read_lines(spark, f"{folder}/frames", by_folder=True), shape)
-    last = F.substring_index(F.substring_index("raster", "/", -1), "=", -1)
-    named = lines.withColumn("name", F.regexp_replace(last, r"\.img$", "")).join(index, "name")
+    index = read_series_index(spark, f"{folder}/{name}_metadata.json")
+    header = read_raster_headers(spark, f"{folder}/{name}.hif")
+    shapes = index.select(F.col("name").alias("raster"), header.select("rows").scalar().alias("rows"), header.select("cols").scalar().alias("cols"))
+    base = F.regexp_extract("raster", r"([^/]*)\.img$", 1)
+    rows = _fitted(read_lines(spark, folder, glob="*.img").withColumn("raster", base), shapes)
+    named = rows.withColumnRenamed("raster", "name").join(index, "name")
     return named.select("step", "ts_start", "ts_end", "factor", "row", F.posexplode("cells").alias("col", "_t")).select(
         "step", "ts_start", "ts_end", "factor", "row", "col", F.col("_t").cast("double").alias("value")
     )
@@ -113,7 +144,7 @@ def read_raster_series(spark: SparkSession, folder: str, shape: tuple[int, int]
 
 def read_sparse_frames(spark: SparkSession, path: str, rows: int, cols: int) -> DataFrame:
     """Wet cells ``(step, row, col, risk)`` of ``step_NNNNN`` CSV files; off-grid rows are dropped."""
-    raw = spark.read.schema("row int, col int, flood_risk int").csv(path, header=True, comment="#", recursiveFileLookup=True)
+    raw = spark.read.schema("row int, col int, flood_risk int").csv(path, header=True, comment="#", recursiveFileLookup=True, pathGlobFilter="*.csv")
     step = F.regexp_extract(F.col("_metadata.file_path"), r"step[_=](\d+)", 1).cast("int")
     return raw.select(step.alias("step"), "row", "col", F.col("flood_risk").alias("risk")).filter(
         F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1)
