@@ -168,10 +168,21 @@ def krige_cells(v):
     return interpolate.krige_cells(v.points, interpolate.fit_variogram(_bins(v), RANGES), v.spec)
 
 
+@query("B12c_krige_at_gauges", sql("points cells", f"""select s.step, c."row", c.col, true as dry_or_wet, round(g.value, 5) as at_gauge from (select distinct step from points) s cross join cells c
+    left join (select step, cast(floor(({vw.MAX_Y} - y) / {vw.CELL}) as integer) as "row", cast(floor((x - {vw.MIN_X}) / {vw.CELL}) as integer) as col, avg(value) as value from points group by all) g
+        on g.step = s.step and g."row" = c."row" and g.col = c.col"""))
+def krige_at_gauges(v):
+    """All gauges stand at cell centres, where kriging has to give back their values."""
+    made = interpolate.krige_cells(v.points, interpolate.fit_variogram(_bins(v), RANGES), v.spec, variance=False)
+    held = v.points.select("step", cx.row_at(F.col("y"), v.spec).alias("row"), cx.col_at(F.col("x"), v.spec).alias("col"), F.lit(True).alias("held")).distinct()
+    both = made.join(held, ["step", "row", "col"], "left")
+    return both.select("step", "row", "col", (F.col("value") >= 0).alias("dry_or_wet"), F.when(F.col("held"), F.round("value", 5)).alias("at_gauge"))
+
+
 @query("B12b_rainfall_layer")
 def rainfall_layer(v):
     at = v.readings.join(v.stations.select("station_id", "x", "y"), "station_id").withColumnRenamed("mm_per_hour", "value")
-    return interpolate.rainfall_layer(at, v.steps, v.spec, EDGES, RANGES, least_points=90)
+    return interpolate.rainfall_layer(at, v.steps, v.spec, EDGES, RANGES)
 
 
 @query("B13_gate_min_points", sql("readings steps", f"""select s.step, coalesce(n, 0) as n, round(case when coalesce(n, 0) >= 90 then m else 0 end, 6) as value from steps s

@@ -1,7 +1,10 @@
 import os
 import sys
 
-import pytest
+# NumPy on the driver: its thread pool does not survive the start of the JVM everywhere.
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
+import pytest  # noqa: E402
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))

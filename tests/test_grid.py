@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,75 @@ def test_kriging_without_a_model_is_the_mean_and_weights_equal_the_inverse(spark
     assert all(v == pytest.approx(-3.0) for (s, _, _), v in full.items() if s == 0)
 
 
+def dense(gauges, at, law):
+    """Values and variances of ordinary kriging from one full system."""
+    x, y, z = np.array(gauges).T
+    n = len(x)
+    a = np.ones((n + 1, n + 1))
+    a[:n, :n] = interpolate._gamma(np.hypot(x[:, None] - x, y[:, None] - y), *law)
+    a[n, n] = 0
+    rhs = np.ones((len(at), n + 1))
+    rhs[:, :n] = interpolate._gamma(np.hypot(at[:, :1] - x, at[:, 1:] - y), *law)
+    w = np.linalg.solve(a, rhs.T).T
+    return w[:, :n] @ z, (w * rhs).sum(1)
+
+
+def scattered(seed, n, side):
+    rnd = np.random.default_rng(seed)
+    xy = np.concatenate([rnd.random((n - n // 3, 2)) * side, rnd.normal(side / 5, side / 40, (n // 3, 2))])
+    return [(float(a), float(b), float(v)) for (a, b), v in zip(xy, rnd.random(n) * 9)]
+
+
+LAW = ("spherical", 0.2, 3.0, 4000.0)
+
+
+def test_kriging_equals_one_full_system(spark):
+    spec = GridSpec(140, 150, 100.0, 0.0, 14000.0)
+    gauges = scattered(1, 500, 15000)
+    points = spark.createDataFrame([(5, *g) for g in gauges], "step int, x double, y double, value double")
+    models = spark.createDataFrame([(5, *LAW)], "step int, model string, nugget double, sill double, reach double")
+    rows = interpolate.krige_cells(points, models, spec, least=None).collect()
+    assert len(rows) == 140 * 150
+    rows = [r for r in rows if (r["row"] + 3 * r["col"]) % 23 == 0]
+    at = np.array([((r["col"] + 0.5) * 100, 14000 - (r["row"] + 0.5) * 100) for r in rows])
+    value, variance = dense(gauges, at, LAW)
+    assert np.abs(np.array([r["value"] for r in rows]) - value).max() < 1e-8
+    assert np.abs(np.array([r["variance"] for r in rows]) - variance).max() < 1e-8
+
+
+def test_kriging_by_neighbourhoods(spark):
+    """Each tile from the gauges of its neighbourhood, found here by counting all squares of all levels."""
+    spec = GridSpec(40, 50, 100.0, 0.0, 4000.0)
+    gauges, most = scattered(2, 400, 9000), 30
+    points = spark.createDataFrame([(s, *g) for s in (1, 2) for g in (gauges if s == 1 else gauges[:20])], "step int, x double, y double, value double")
+    models = spark.createDataFrame([(s, *LAW) for s in (1, 2)], "step int, model string, nugget double, sill double, reach double")
+    out = {(r["step"], r["row"], r["col"]): r["value"] for r in interpolate.krige_cells(points, models, spec, variance=False, least=None, most=most).collect()}
+    assert len(out) == 2 * 40 * 50
+    for r0 in range(0, 40, 16):
+        for c0 in range(0, 50, 16):
+            mx, my = (c0 + 8) * 100.0, 4000 - (r0 + 8) * 100.0
+            for level in range(20):
+                side = 1600.0 * 2**level
+                sq = lambda x, y: (np.floor(x / side), np.floor((4000.0 - y) / side))
+                near = [g for g in gauges if max(abs(p - q) for p, q in zip(sq(g[0], g[1]), sq(mx, my))) <= 1]
+                if len(near) >= most:
+                    break
+            near = sorted(near, key=lambda g: ((g[0] - mx) ** 2 + (g[1] - my) ** 2, g[0], g[1]))[:most]
+            cells = [(r, c) for r in range(r0, min(40, r0 + 16)) for c in range(c0, min(50, c0 + 16))]
+            at = np.array([((c + 0.5) * 100, 4000 - (r + 0.5) * 100) for r, c in cells])
+            for s, used in ((1, near), (2, gauges[:20])):
+                assert np.abs(np.array([out[s, r, c] for r, c in cells]) - dense(used, at, LAW)[0]).max() < 1e-8
+
+
+def test_kriging_of_many_gauges_stays_small(spark):
+    spec = GridSpec(60, 60, 1000.0, 0.0, 60000.0)
+    points = spark.createDataFrame(pd.DataFrame([(1, *g) for g in scattered(4, 20_000, 60_000)], columns=["step", "x", "y", "value"])).withColumn("step", F.col("step").cast("int"))
+    models = spark.createDataFrame([(1, *LAW)], "step int, model string, nugget double, sill double, reach double")
+    near = interpolate.neighbourhoods(points, spec, 300).groupBy("step", "tile").count().collect()
+    assert {r["count"] for r in near} == {300}
+    assert interpolate.krige_cells(points, models, spec, variance=True, most=300).filter("value >= 0 and variance >= 0").count() == 60 * 60
+
+
 def test_utm_matches_meridian_arc_and_round_trips(spark):
     lat = 39.5
     n = 20000
