@@ -199,24 +199,21 @@ def _stream(v, files: int):
         raise TimeoutError("the stream did not end")
     if q.exception():
         raise q.exception()
-    return f"{root}/out", q.lastProgress["batchId"]
+    return f"{root}/out"
 
 
 @query("G15_frames_stream", sql("msgs", "select scenario, frame_end, seq, idx, risk, depth from late", FILED))
 def frames_stream(v):
-    from gridloom.streaming.fold import FRAMES
+    from gridloom.streaming.fold import committed_frames
 
-    out, last = _stream(v, 3)
-    paths = [f"{out}/frames/batch={i}" for i in range(last + 1)]
-    return v.spark.read.schema(FRAMES).parquet(*paths).select("scenario", "frame_end", "seq", "idx", "risk", "depth")
+    return committed_frames(v.spark, _stream(v, 3)).select("scenario", "frame_end", "seq", "idx", "risk", "depth")
 
 
 @query("G16_grid_sink", sql("msgs", "select scenario, idx, arg_max(risk, struct_pack(f := frame_end, s := seq)) as risk, arg_max(depth, struct_pack(f := frame_end, s := seq)) as depth, max(frame_end) as frame_end from late group by 1, 2", FILED))
 def grid_sink(v):
     from gridloom.streaming.fold import current_grid
 
-    out, last = _stream(v, 3)
-    return current_grid(v.spark, out, last, 2)
+    return current_grid(v.spark, _stream(v, 3))
 
 
 @query("G17_reconcile_chunks", sql("msgs", """select scenario, 'frame' as kind, ls as at, max(case when process = 'FrameStart' then tc end) as announced, cast(count(*) filter (process like 'EYE_SetState%') as bigint) as seen,

@@ -6,8 +6,11 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from gridloom.operators import events as ev
-from gridloom.streaming.fold import FRAMES, FrameFold, current_grid, run_fold
+from gridloom.functions import store
+from gridloom.streaming.fold import FrameFold, committed_frames, current_grid, manifest, run_fold
 from gridloom.streaming.pingpong import ping_pong_stream
 
 ROWS, COLS, LIMIT = 4, 5, 50
@@ -157,9 +160,7 @@ def run_stream(spark, tmp_path, rows, files, **kw):
     fold = FrameFold(str(root / "out"), ROWS, COLS, compact_every=2, **kw)
     q = run_fold(read_event_log(spark, str(root / "in"), True, 1), fold, str(root / "ck"))
     assert q.awaitTermination(300)
-    last = q.lastProgress["batchId"]
-    frames = spark.read.schema(FRAMES).parquet(*[f"{root}/out/frames/batch={i}" for i in range(last + 1)])
-    return frames, current_grid(spark, f"{root}/out", last, 2), fold, last
+    return committed_frames(spark, fold.path), current_grid(spark, fold.path), fold, q.lastProgress["batchId"]
 
 
 def test_stream_equals_batch_for_any_number_of_files(spark, tmp_path):
@@ -177,7 +178,50 @@ def test_stream_equals_batch_for_any_number_of_files(spark, tmp_path):
     # Running the last batch again changes nothing.
     again = spark.read.text(str(tmp_path / "n7" / "in" / "part-006.txt")).select(F.from_json("value", "scenario string, seq long, ts timestamp, json string").alias("v")).select("v.*")
     fold(again, last)
-    assert tuples(spark.read.schema(FRAMES).parquet(*[f"{fold.path}/frames/batch={i}" for i in range(last + 1)]), *CHANGE) == want
+    assert tuples(committed_frames(spark, fold.path), *CHANGE) == want
+    # Only what the last two manifests name is kept.
+    kept = [manifest(spark, fold.path, i) for i in (last - 1, last)]
+    named = {m[k] for m in kept for k in ("marks", "tail")} | {x for m in kept for x in (m["base"]["tiles"], *m["base"]["parts"])}
+    assert {f"{k}/{n}" for k in ("marks", "tail", "base", "tiles") for n in store.names(spark, f"{fold.path}/{k}")} == named
+    assert sorted(store.names(spark, f"{fold.path}/manifest")) == [f"{i}.json" for i in (last - 1, last)]
+
+
+def batches_of(spark, rows, size):
+    return [frame_of(spark, rows[i : i + size]) for i in range(0, len(rows), size)]
+
+
+@pytest.mark.parametrize("kind", ["marks", "tail", "manifest"])
+def test_lost_state_is_an_error(spark, tmp_path, kind):
+    fold = FrameFold(str(tmp_path), ROWS, COLS)
+    first, second, *_ = batches_of(spark, make_log(9, 30), 20)
+    fold(first, 0)
+    store.remove(spark, f"{tmp_path}/" + ("manifest/0.json" if kind == "manifest" else manifest(spark, str(tmp_path), 0)[kind]))
+    with pytest.raises(Exception, match="(?i)not.*exist|not.*found"):
+        fold(second, 1)
+
+
+def test_failed_and_repeated_batches_change_nothing(spark, tmp_path):
+    """A batch that stops before its manifest leaves no trace; rows that repeat within and across batches count once."""
+    rows = make_log(10, 60)
+    want = tuples(ev.assemble_frames(ev.decode(frame_of(spark, rows))[0], ROWS, COLS), *CHANGE)
+    fold = FrameFold(str(tmp_path), ROWS, COLS, compact_every=1, tile=4)
+    size = 40
+    for i, lo in enumerate(range(0, len(rows), size)):
+        again = rows[max(0, lo - 5) : lo + size] + rows[lo : lo + 7]
+        batch = frame_of(spark, again)
+        if i == 1:
+            broken = FrameFold(str(tmp_path), ROWS, COLS)
+            broken._carry = lambda *a: 1 / 0
+            with pytest.raises(ZeroDivisionError):
+                broken(batch, i)
+            assert manifest(spark, str(tmp_path))["batch"] == 0
+        fold(batch, i)
+        fold(batch, i)
+    assert tuples(committed_frames(spark, str(tmp_path)), *CHANGE) == want
+    grid = {}
+    for scen, end, seq, idx, risk, depth in sorted(want, key=lambda c: (c[0], c[1], c[2])):
+        grid[scen, idx] = (risk, depth if depth is not None else grid.get((scen, idx), (0, None))[1])
+    assert {(r.scenario, r.idx): (r.risk, r.depth) for r in current_grid(spark, str(tmp_path)).collect()} == grid
 
 
 def test_stream_waits_for_missing_numbers(spark, tmp_path):
