@@ -17,14 +17,14 @@ def interval_join(
     at: Column,
     start: Column,
     end: Column,
-    width: int,
+    width: int | Column,
     on: list[str] | None = None,
     how: str = "inner",
 ) -> DataFrame:
     """Join each point to the intervals with ``start <= at < end``.
 
     ``at``, ``start`` and ``end`` are BIGINT-like. Every interval is copied to the bins of ``width``
-    it touches and every point to exactly one bin, so the join is an equi-join that adaptive
+    it touches (``running.even_width`` keeps these few where numbers are sparse) and every point to exactly one bin, so the join is an equi-join that adaptive
     execution can split when one bin is hot, and no pair is produced twice.
     """
     on = on or []

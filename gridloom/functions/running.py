@@ -2,7 +2,8 @@
 
 A window ``partitionBy(key).orderBy(seq)`` sends every row of a key to one task, which fails when
 one key holds a third of a huge log. Here the order column is cut into blocks of a fixed width.
-Because ``seq`` is unique within a key, a block never holds more than ``block`` rows. Each block is
+Because ``seq`` is unique within a key, a block never holds more than ``block`` rows; where numbers are sparse,
+``even_width`` takes the width from the data, so that there are no more blocks than rows call for. Each block is
 aggregated first (map-side combine), the short table of block totals is accumulated, and the rows
 are then finished inside their block. The rows themselves are shuffled once, on ``(key, block)``.
 """
@@ -18,7 +19,17 @@ BLOCK_ROWS = 1 << 16
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def with_blocks(df: DataFrame, order: str, block: int = BLOCK_ROWS) -> DataFrame:
+def even_width(df: DataFrame, order: str, rows: int = BLOCK_ROWS) -> Column:
+    """Width of blocks that hold about ``rows`` rows each, however sparse the numbers are (microseconds, say).
+
+    A scalar subquery over one column. Numbers without gaps give ``rows``; blocks never get narrower than that.
+    """
+    span = F.max(order) - F.min(order) + 1
+    width = F.ceil(span * F.lit(float(rows)) / F.greatest(F.count(order), F.lit(1)))
+    return df.agg(F.greatest(F.coalesce(width, F.lit(0)), F.lit(rows)).cast("long").alias("width")).scalar()
+
+
+def with_blocks(df: DataFrame, order: str, block: int | Column = BLOCK_ROWS) -> DataFrame:
     """Add the block number of each row."""
     return df.withColumn(BLOCK, F.floor(F.col(order) / block).cast("long"))
 
@@ -36,7 +47,7 @@ def running(
     order: str,
     forward: dict[str, tuple[str, Column]] | None = None,
     backward: dict[str, tuple[str, Column]] | None = None,
-    block: int = BLOCK_ROWS,
+    block: int | Column = BLOCK_ROWS,
     keep_block: bool = False,
     exclusive: bool = False,
 ) -> DataFrame:

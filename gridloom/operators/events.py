@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gridloom import constants as K
 from gridloom.functions.cells import col_of, div, row_of
 from gridloom.functions.ranges import interval_join, seconds
-from gridloom.functions.running import BLOCK_ROWS, running
+from gridloom.functions.running import even_width, running
 from gridloom.session import cut
 
 _CELL = "value: string, level: string, depth_level: string, risk_level: string, state: string, height: string"
@@ -38,16 +38,22 @@ def part(name: str) -> Column:
 
 
 STATE_KINDS = ("EYE_SetState_Layer", "EYE_SetState")
-KNOWN = (
-    "System_Ping System_Pong System_Disconnected InitMap_Config InitAgent_Layer InitAgent_EOF Init_EOF "
-    "FrameStart EYE_SetState_Layer EYE_SetState FrameEnd EYE_Frame_Sync Sim_End ChunkAck"
-).split()
+# The kinds of messages.
+KNOWN = [
+    "System_Ping", "System_Pong", "System_Disconnected", "InitMap_Config", "InitAgent_Layer", "InitAgent_EOF", "Init_EOF",
+    "FrameStart", "EYE_SetState_Layer", "EYE_SetState", "FrameEnd", "EYE_Frame_Sync", "Sim_End", "ChunkAck",
+]
 
 
 def _is(kind: str) -> Column:
     return F.col("process") == kind
 
 
+def _width(block: int | Column | None, log: DataFrame) -> int | Column:
+    """The block width asked for, or one that suits how dense the numbers of the log are."""
+    return even_width(log, "seq") if block is None else block
+
+
 def parse(events: DataFrame) -> DataFrame:
     """Add the kind of message; broken JSON or a missing ``process`` leaves it null.
 
@@ -159,7 +165,7 @@ def decoded_log(events: DataFrame) -> DataFrame:
 
 
 def frame_segments(
-    good: DataFrame, limit_seconds: float | None = None, first_eof: DataFrame | None = None, block: int = BLOCK_ROWS
+    good: DataFrame, limit_seconds: float | None = None, first_eof: DataFrame | None = None, block: int | Column | None = None
 ) -> DataFrame:
     """Stretches ``[lo, frame_end)`` of the log whose changes a FrameEnd commits, one row per frame.
 
@@ -169,6 +175,7 @@ def frame_segments(
     after the first Init_EOF of the scenario. Only boundary messages are ordered here, never the
     messages that carry cells.
     """
+    block = _width(block, good)
     bounds = good.filter(_is("FrameStart") | _is("FrameEnd")).select("scenario", "seq", "ts", _is("FrameStart").alias("starts"))
     begin = good.groupBy("scenario").agg((F.min("seq") - 1).alias("seq")).select(
         "scenario", "seq", F.lit(None).cast(good.schema["ts"].dataType).alias("ts"), F.lit(False).alias("starts")
@@ -210,7 +217,7 @@ def gate_before_init(good: DataFrame, file_mode: bool) -> DataFrame:
 
 def assemble_frames(
     good: DataFrame, rows: int, cols: int, limit_seconds: float | None = None, file_mode: bool = False,
-    block: int = BLOCK_ROWS,
+    block: int | Column | None = None,
 ) -> DataFrame:
     """Committed changes ``(scenario, frame_end, seq, pos, idx, risk, depth, row, col)``.
 
@@ -218,11 +225,13 @@ def assemble_frames(
     them, so a frame or scenario that holds most of the log is split like any other join input, and
     only messages of a committed frame are parsed.
     """
+    block = _width(block, good)
     segments = frame_segments(good, limit_seconds, first_init_eof(good) if file_mode else None, block)
     return frame_changes(committed_messages(good, segments, block), rows, cols)
 
 
-def committed_messages(good: DataFrame, segments: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+def committed_messages(good: DataFrame, segments: DataFrame, block: int | Column | None = None) -> DataFrame:
+    block = _width(block, good)
     state = good.filter(F.col("process").isin(*STATE_KINDS)).select("scenario", "seq", "process", "json")
     return interval_join(state, segments, F.col("seq"), F.col("lo"), F.col("frame_end"), block, ["scenario"]).drop("lo")
 
@@ -269,12 +278,13 @@ def commit_changes(assembled: DataFrame) -> DataFrame:
     )
 
 
-def snapshots_at_sync(good: DataFrame, assembled: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+def snapshots_at_sync(good: DataFrame, assembled: DataFrame, block: int | Column | None = None) -> DataFrame:
     """Snapshots ``(scenario, snap, seq)``.
 
     One exists at every Init_EOF and at each Frame_Sync after the first Init_EOF that follows a
     commit with at least one change since the previous snapshot; they are numbered from 0.
     """
+    block = _width(block, good)
     commits = assembled.select("scenario", F.col("frame_end").alias("seq")).distinct().withColumn("_commit", F.lit(1))
     marks = (
         good.filter(F.col("process").isin("Init_EOF", "EYE_Frame_Sync", "FrameEnd"))
@@ -305,12 +315,13 @@ def snapshots_at_sync(good: DataFrame, assembled: DataFrame, block: int = BLOCK_
     )
 
 
-def grid_at(snapshots: DataFrame, committed: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+def grid_at(snapshots: DataFrame, committed: DataFrame, block: int | Column | None = None) -> DataFrame:
     """Cell values ``(scenario, snap, idx, risk, depth)`` at every snapshot.
 
     Each frame is first mapped to the snapshot that shows it, on a table of one row per frame. A
     cell value then holds from that snapshot to the one before the cell's next change.
     """
+    block = _width(block, committed.select(F.col("frame_end").alias("seq")))
     at = snapshots.select("scenario", "seq", F.col("snap").cast("long").alias("_snap"))
     ends = committed.select("scenario", F.col("frame_end").alias("seq")).distinct()
     marks = at.unionByName(ends.withColumn("_snap", F.lit(None).cast("long")))
@@ -334,37 +345,48 @@ def grid_at(snapshots: DataFrame, committed: DataFrame, block: int = BLOCK_ROWS)
     return held.select("scenario", F.explode(F.sequence("snap", until)).alias("snap"), "idx", "risk", "depth")
 
 
-def ack_points(good: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
-    """State messages after which a batch is acknowledged: every k-th since the last FrameStart."""
-    is_state = F.col("process").isin(*STATE_KINDS)
-    k = F.when(_is("FrameStart"), F.coalesce(part("chunks")["chunks_per_batch"], F.lit(0)))
-    rows = good.filter(is_state | _is("FrameStart")).select("scenario", "seq", "process", k.alias("k"))
+def ack_points(good: DataFrame, block: int | Column | None = None, limit_seconds: float | None = None) -> DataFrame:
+    """State messages after which a batch is acknowledged: every k-th since the last FrameStart.
+
+    With a limit, a frame that is still open when an event comes more than the limit after its FrameStart has timed out:
+    count and batch size are cleared, so no message is acknowledged from that event to the next FrameStart.
+    """
+    block = _width(block, good)
+    is_state, starts = F.col("process").isin(*STATE_KINDS), _is("FrameStart")
+    every = F.when(starts, F.coalesce(part("chunks")["chunks_per_batch"], F.lit(0)))
+    # without a limit only the messages that count are ordered, with one each event is a tick of the clock
+    rows = good if limit_seconds is not None else good.filter(is_state | starts)
     counted = running(
-        rows,
+        rows.select("scenario", "seq", "ts", "process", every.alias("k")),
         ["scenario"],
         "seq",
         {
-            "_n": ("sum", F.when(F.col("process").isin(*STATE_KINDS), F.lit(1)).otherwise(F.lit(0)).cast("long")),
-            "_start": ("max", F.when(_is("FrameStart"), F.struct("seq", "k"))),
+            "_n": ("sum", F.when(is_state, F.lit(1)).otherwise(F.lit(0)).cast("long")),
+            "_start": ("max", F.when(starts, F.struct("seq", "k", seconds(F.col("ts")).alias("at")))),
+            "_end": ("max", F.when(_is("FrameEnd"), F.col("seq"))),
         },
         block=block,
         keep_block=True,
     )
-    based = running(counted, ["scenario"], "seq", {"_base": ("max", F.when(_is("FrameStart"), F.col("_n")))})
-    every = F.col("_start.k")
-    n = F.col("_n") - F.col("_base")
-    return (
-        based.filter(is_state & (every > 0) & (F.pmod(n, F.nullif(every, F.lit(0))) == 0))
-        .select("scenario", "seq", n.alias("n"))
-    )
+    forward = {"_base": ("max", F.when(starts, F.col("_n")))}
+    if limit_seconds is not None:
+        is_open = F.col("_end").isNull() | (F.col("_end") < F.col("_start.seq"))
+        over = seconds(F.col("ts")) - F.col("_start.at") > int(limit_seconds * 1_000_000)
+        forward["_late"] = ("max", F.when(is_open & over, F.col("seq")))
+    based = running(counted, ["scenario"], "seq", forward)
+    if limit_seconds is not None:
+        based = based.filter(F.col("_late").isNull() | (F.col("_late") < F.col("_start.seq")))
+    size, n = F.col("_start.k"), F.col("_n") - F.col("_base")
+    return based.filter(is_state & (size > 0) & (F.pmod(n, F.nullif(size, F.lit(0))) == 0)).select("scenario", "seq", n.alias("n"))
 
 
-def reconcile_chunks(good: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+def reconcile_chunks(good: DataFrame, block: int | Column | None = None) -> DataFrame:
     """Announced against seen state messages, per FrameStart and per Init_EOF.
 
     A frame counts messages up to the next FrameStart or FrameEnd, an Init_EOF those since the
     Init_EOF before it. ``gap`` is announced minus seen.
     """
+    block = _width(block, good)
     is_state = F.col("process").isin(*STATE_KINDS)
     eof = F.col("process") == "Init_EOF"
     s = F.col("seq")
@@ -509,8 +531,9 @@ def resolve_palette(good: DataFrame, file_palette: DataFrame | None, default: li
     )
 
 
-def pair_ping_pong(good: DataFrame, wait_seconds: int = K.PING_WAIT_SECONDS, block: int = BLOCK_ROWS) -> DataFrame:
+def pair_ping_pong(good: DataFrame, wait_seconds: int = K.PING_WAIT_SECONDS, block: int | Column | None = None) -> DataFrame:
     """Each ping with its first pong at or after it within the wait, else unanswered (null)."""
+    block = _width(block, good)
     pings = good.filter(F.col("process").isin("System_Ping", "System_Pong")).select("scenario", "seq", "ts", "process")
     pong = F.col("process") == "System_Pong"
     run = running(pings, ["scenario"], "seq", backward={"_p": ("min", F.when(pong, F.struct("seq", "ts")))}, block=block)

@@ -154,13 +154,28 @@ def gate_before_init(v):
     return ev.gate_before_init(_good(v), True).select("scenario", "seq", "process")
 
 
-@query("G13_ack_points", sql("msgs", """select scenario, seq, n from (select *, count(*) filter (process like 'EYE_SetState%') over (partition by scenario, seg order by seq) as n,
-    max(case when process = 'FrameStart' then cast(j->>'$.chunks_per_batch' as bigint) end) over (partition by scenario, seg) as k from
-        (select *, count(*) filter (process = 'FrameStart') over (partition by scenario order by seq) as seg from good)) where process like 'EYE_SetState%' and k > 0 and n % k = 0""", GOOD))
+ACKS = {
+    **GOOD,
+    "seg": """select *, count(*) filter (process like 'EYE_SetState%') over (partition by scenario, part order by seq) as n from
+        (select *, count(*) filter (process = 'FrameStart') over (partition by scenario order by seq) as part from good)""",
+    "open_": """select scenario, part, min(ts) filter (process = 'FrameStart') as t0, min(seq) filter (process = 'FrameEnd') as fin,
+        max(case when process = 'FrameStart' then cast(j->>'$.chunks_per_batch' as bigint) end) as k from seg where part > 0 group by 1, 2""",
+}
+LATE = f"""select s.scenario, s.part, min(s.seq) as late from seg s join open_ o using (scenario, part)
+    where (o.fin is null or s.seq < o.fin) and epoch_us(s.ts) - epoch_us(o.t0) > {LIMIT} * 1000000::bigint group by 1, 2"""
+
+
+@query("G13_ack_points", sql("msgs", "select scenario, seq, n from seg join open_ using (scenario, part) where process like 'EYE_SetState%' and k > 0 and n % k = 0", ACKS))
 def ack_points(v):
     return ev.ack_points(_log(v), BLOCK)
 
 
+@query("G13b_ack_points_in_time", sql("msgs", """select scenario, seq, n from seg join open_ using (scenario, part) left join late_ l using (scenario, part)
+    where process like 'EYE_SetState%' and k > 0 and n % k = 0 and (l.late is null or seq < l.late)""", {**ACKS, "late_": LATE}))
+def ack_points_in_time(v):
+    return ev.ack_points(_log(v), BLOCK, LIMIT)
+
+
 TIMED = {
     **MARKED,
     "st": "select scenario, seq, ts from good where process = 'FrameStart'",
@@ -265,8 +280,36 @@ def resolve_palette(v):
 WAIT = 1200
 
 
-@query("G21_pair_ping_pong", sql("control", f"""select scenario, seq, case when near then pseq end as pong_seq, coalesce(near, false) as answered from
+PAIRED = sql("control", f"""select scenario, seq, case when near then pseq end as pong_seq, coalesce(near, false) as answered from
     (select p.scenario, p.seq, q.seq as pseq, epoch_us(q.ts) - epoch_us(p.ts) <= {WAIT} * 1000000::bigint as near from (select * from good where process = 'System_Ping') p
-        asof left join (select * from good where process = 'System_Pong') q on p.scenario = q.scenario and p.seq <= q.seq)""", CTL))
+        asof left join (select * from good where process = 'System_Pong') q on p.scenario = q.scenario and p.seq <= q.seq)""", CTL)
+
+
+@query("G21_pair_ping_pong", PAIRED)
 def pair_ping_pong(v):
     return ev.pair_ping_pong(ev.decode(v.control)[0], WAIT, BLOCK)
+
+
+@query("G21b_ping_pong_stream", PAIRED)
+def ping_pong_stream(v):
+    """The log as files in order of seq, then an event of a scenario of its own that lets the clock run past every wait."""
+    from gridloom.sources.eventlog import read_event_log
+    from gridloom.streaming import pingpong
+
+    root = scratch(v.spark, "pairs")
+    stamp = lambda ts: F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts")
+    end = v.control.agg((F.max("ts") + F.expr("interval 30 days")).alias("end"), (F.max("seq") + 1).alias("seq"))
+    v.control.select(F.to_json(F.struct("scenario", "seq", stamp("ts"), "json")).alias("value"), "seq").repartitionByRange(3, "seq").sortWithinPartitions("seq").select("value").write.text(f"{root}/in")
+    last = F.to_json(F.struct(F.lit("clock").alias("scenario"), "seq", stamp("end"), F.lit('{"process":"System_Pong"}').alias("json")))
+    end.select(last.alias("value")).write.mode("append").text(f"{root}/in")
+    old = v.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", pingpong.STATE_STORE)
+    try:
+        pairs = pingpong.ping_pong_stream(read_event_log(v.spark, f"{root}/in", stream=True), WAIT, "1 minute")
+        q = pairs.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        if not q.awaitTermination(600):
+            q.stop()
+            raise TimeoutError("the stream did not end")
+    finally:
+        v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    return v.spark.read.schema(pingpong.PAIRS).parquet(f"{root}/out")

@@ -1,7 +1,9 @@
 """Event folding against a plain consumer that handles one message after the other."""
 
 import json
+import os
 import random
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -10,8 +12,9 @@ import pytest
 
 from gridloom.operators import events as ev
 from gridloom.functions import store
+from gridloom.functions.running import even_width, with_blocks
 from gridloom.streaming.fold import FrameFold, committed_frames, current_grid, manifest, run_fold
-from gridloom.streaming.pingpong import ping_pong_stream
+from gridloom.streaming.pingpong import STATE_STORE, ping_pong_stream
 
 ROWS, COLS, LIMIT = 4, 5, 50
 T0 = datetime(2024, 1, 1)
@@ -139,24 +142,19 @@ def test_state_resolution(spark):
 
 def write_files(rows, folder, files):
     folder.mkdir(parents=True)
-    size = -(-len(rows) // files)
+    size, now = -(-len(rows) // files), time.time()
     for i in range(files):
         with open(folder / f"part-{i:03d}.txt", "w") as fh:
             for s, seq, ts, text in rows[i * size:(i + 1) * size]:
                 fh.write(json.dumps({"scenario": s, "seq": seq, "ts": ts.strftime("%Y-%m-%dT%H:%M:%S.000Z"), "json": text}) + "\n")
+        os.utime(folder / f"part-{i:03d}.txt", (now - 1000 + i, now - 1000 + i))
 
 
 def run_stream(spark, tmp_path, rows, files, **kw):
-    import os
-    import time
-
     from gridloom.sources.eventlog import read_event_log
 
     root = tmp_path / f"n{files}"
     write_files(rows, root / "in", files)
-    now = time.time()
-    for i, f in enumerate(sorted(os.listdir(root / "in"))):
-        os.utime(root / "in" / f, (now - 1000 + i, now - 1000 + i))
     fold = FrameFold(str(root / "out"), ROWS, COLS, compact_every=2, **kw)
     q = run_fold(read_event_log(spark, str(root / "in"), True, 1), fold, str(root / "ck"))
     assert q.awaitTermination(300)
@@ -232,23 +230,34 @@ def test_stream_waits_for_missing_numbers(spark, tmp_path):
     assert tuples(frames, *CHANGE) == tuples(ev.assemble_frames(good, ROWS, COLS), *CHANGE)
 
 
-def test_ping_pong_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("files", [1, 4])
+def test_ping_pong_stream_equals_batch(spark, tmp_path, files):
     rnd = random.Random(7)
     rows, t = [], T0
-    for i in range(60):
+    for i in range(80):
         t += timedelta(seconds=rnd.choice([2, 6, 15]))
-        rows.append(("s", i, t, json.dumps({"process": rnd.choice(["System_Ping", "System_Pong"])})))
-    # Late events that only push the watermark past every wait.
-    rows += [("s", 100 + i, t + timedelta(hours=1 + i), json.dumps({"process": k})) for i, k in enumerate(["System_Ping", "System_Pong"] * 2)]
+        rows.append((rnd.choice("st"), i, t, json.dumps({"process": rnd.choice(["System_Ping", "System_Ping", "System_Pong"])})))
+    # A late event pushes the watermark past every wait; nothing answers the last pings.
+    rows.append(("u", 100, t + timedelta(hours=1), json.dumps({"process": "System_Ping"})))
     batch = ev.pair_ping_pong(ev.decode(frame_of(spark, rows))[0], 10, 8).filter("seq < 100")
-    write_files(rows, tmp_path / "in", 4)
+    write_files(rows, tmp_path / "in", files)
     from gridloom.sources.eventlog import read_event_log
 
-    pairs = ping_pong_stream(read_event_log(spark, str(tmp_path / "in"), True), 10, "0 seconds")
-    q = pairs.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    assert q.awaitTermination(200)
-    got = spark.read.parquet(str(tmp_path / "out")).filter("seq < 100").groupBy("scenario", "seq").agg(F.min("pong_seq").alias("pong_seq"))
-    assert tuples(got, "seq", "pong_seq") == tuples(batch, "seq", "pong_seq")
+    got, state = pairs_of_stream(spark, read_event_log(spark, str(tmp_path / "in"), True, 1), tmp_path)
+    assert tuples(got.filter("seq < 100"), "scenario", "seq", "pong_seq", "answered") == tuples(batch, "scenario", "seq", "pong_seq", "answered")
+    assert state == 1  # the ping of the late event; all others are forgotten
+
+
+def pairs_of_stream(spark, events, path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    try:
+        pairs = ping_pong_stream(events, 10, "0 seconds")
+        q = pairs.writeStream.format("parquet").option("path", str(path / "out")).option("checkpointLocation", str(path / "ck")).trigger(availableNow=True).start()
+        assert q.awaitTermination(200)
+        left = spark.read.format("statestore").option("stateVarName", "pings").load(str(path / "ck")).count()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return spark.read.parquet(str(path / "out")), left
 
 
 def test_decode_sink_keeps_every_row(spark, tmp_path):
@@ -272,3 +281,65 @@ def test_file_palette_wins_over_the_default_and_a_bad_message_is_skipped(spark):
 
     got = ev.resolve_palette(ev.decode(frame_of(spark, rows))[0], raw, K.PALETTE)
     assert tuples(got, "scenario", "origin", "value") == [("a", "file", 1), ("b", "file", 1), ("c", "message", 7)]
+
+
+def acks(rows, limit):
+    """A plain consumer: scenario by scenario, message after message, the clock is the message's time."""
+    out = []
+    for scen in {r[0] for r in rows}:
+        size = count = 0
+        start = None
+        for _, seq, ts, text in sorted((r for r in rows if r[0] == scen), key=lambda r: r[1]):
+            try:
+                event = json.loads(text)
+                kind = event["process"]
+            except (ValueError, KeyError, TypeError):
+                continue
+            if limit is not None and start is not None and kind not in ("FrameStart", "FrameEnd") and (ts - start).total_seconds() > limit:
+                start, size, count = None, 0, 0
+            if kind == "FrameStart":
+                size, count, start = event.get("chunks_per_batch") or 0, 0, ts
+            elif kind == "FrameEnd":
+                start = None
+            elif kind.startswith("EYE_SetState"):
+                count += 1
+                if size > 0 and count % size == 0:
+                    out.append((scen, seq, count))
+    return sorted(out)
+
+
+def timed_log(seed, n, step=1):
+    rnd = random.Random(seed)
+    rows, t = [], T0
+    for i in range(n):
+        t += timedelta(seconds=rnd.choice([1, 4, 30]))
+        kind = rnd.choices(["FrameStart", "FrameEnd", "EYE_SetState_Layer", "EYE_SetState", "Init_EOF"], [2, 1, 8, 2, 1])[0]
+        rows.append((rnd.choice("ab"), i * step + 7, t, json.dumps({"process": kind, "chunks_per_batch": rnd.choice([0, 1, 2, 3])})))
+    return rows
+
+
+@pytest.mark.parametrize("limit", [None, 20, 60])
+@pytest.mark.parametrize("block", [4, None])
+def test_acks_stop_with_a_timeout(spark, limit, block):
+    rows = timed_log(3, 300)
+    got = ev.ack_points(ev.decode(frame_of(spark, rows))[0], block, limit)
+    assert sorted(tuples(got, "scenario", "seq", "n")) == acks(rows, limit)
+
+
+def test_sparse_numbers_make_no_more_blocks(spark):
+    """Numbers in microseconds give the result of consecutive ones, and blocks by the rows there are."""
+    rows, step = make_log(4, 120), 3_600_000_000
+    sparse = [(s, 1_700_000_000_000_000 + seq * step, ts, text) for s, seq, ts, text in rows]
+    back = lambda c: (F.col(c) - 1_700_000_000_000_000) / step
+    dense, far = (ev.decode(frame_of(spark, r))[0] for r in (rows, sparse))
+    want = ev.assemble_frames(dense, ROWS, COLS, LIMIT)
+    got = ev.assemble_frames(far, ROWS, COLS, LIMIT)
+    got = got.withColumns({"seq": back("seq").cast("long"), "frame_end": back("frame_end").cast("long")})
+    assert tuples(got, *CHANGE) == tuples(want, *CHANGE)
+    n = far.count()
+    width = far.select(even_width(far, "seq", 10).alias("w")).first().w
+    blocks = with_blocks(far, "seq", F.lit(width)).groupBy("scenario", "_block").count()
+    assert blocks.count() <= 2 * (n // 10 + 2)
+    spread = ev.frame_segments(far, LIMIT, block=even_width(far, "seq", 10))
+    bins = spread.select(F.sum((F.col("frame_end") - F.col("lo")) / width + 2).alias("b")).first().b
+    assert bins <= 3 * spread.count() + 2 * n / 10 + 10
