@@ -128,15 +128,27 @@ def _stem(word: str) -> tuple[str, ...]:
     return (word.lower() if word.isascii() else word,)
 
 
-def _write(path: str, end: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: The tokenizer that a worker process used last, by path, and ids of words; a worker runs many tasks one after another.
+_last: dict[str, tuple] = {}
+
+
+def _tokenizer(path: str) -> tuple:
+    """The tokenizer of a file and the ids of the words it has met, at most about ``KEEP`` of them."""
+    if path not in _last:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        known: dict[str, np.ndarray] = {}
+        _last.clear()
+        _last[path] = tokenizer, {}
+    return _last[path]
+
+
+def _write(path: str, end: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, known = _tokenizer(path)
         part, seq = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
 
