@@ -26,8 +26,8 @@ PIECE = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]
 _PLAIN = regex.compile(r"[!-~À-ɏ]")
 ADDED = ("ids", "decoded")
 #: Pieces that a task remembers at most.
-KEEP = 150_000
-_CHARS = 3_000_000
+KEEP = 100_000
+_CHARS = 1_500_000
 
 
 def byte_symbols() -> list[str]:
@@ -204,11 +204,22 @@ class Encoder:
         return [raw[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]
 
 
+#: The encoder that a worker process used last, with the text of its tokenizer; a worker runs many tasks one after another.
+_last: list[tuple[str, Encoder]] = []
+
+
+def _encoder(source: str) -> Encoder:
+    if not _last or _last[0][0] != source:
+        _last[:] = [(source, Encoder(Bpe(source)))]
+    return _last[0][1]
+
+
 def _run(source):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        # what earlier tasks of this worker have freed goes back before this one grows
+        pa.default_memory_pool().release_unused()
         for part in W.slices(batches, chars=_CHARS):
-            encoder = encoder or Encoder(Bpe(source.value))
+            encoder = _encoder(source.value)
             ids, starts = encoder.encode(part.column("text"))
             decoded = encoder.decode(ids, starts)
             raw, at = ids.astype("<u4").tobytes(), (4 * starts).tolist()
