@@ -44,7 +44,8 @@ def test_odd_rows(spark, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             stage(spark, out, SF).write.parquet(str(tmp_path / f"{k}{name}"))
             out = spark.read.parquet(str(tmp_path / f"{k}{name}"))
-        assert out.count() == (0 if k else len(rows))
+        # of the two equal rows of doc_id 2 one stays
+        assert out.count() == (0 if k else len(rows) - 1)
 
 
 def test_near_duplicates_of_rows(spark):
