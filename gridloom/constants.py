@@ -1,12 +1,12 @@
 """Fixed values that results depend on. They are data, listed plainly in natural order."""
 
 # Land-cover codes, class 1 for the first code up to class 55 for the last.
-LAND_COVER_CODES = (
-    "110 111 112 113 114 120 121 122 123 130 140 150 160 161 162 163 170 171 172 "
-    "210 220 230 231 232 233 234 235 236 240 250 260 "
-    "310 311 312 313 320 330 340 350 351 352 353 354 "
-    "410 411 412 413 414 510 511 512 513 514 515 516"
-).split()
+LAND_COVER_CODES = [
+    "110", "111", "112", "113", "114", "120", "121", "122", "123", "130", "140", "150", "160", "161", "162", "163", "170", "171", "172",
+    "210", "220", "230", "231", "232", "233", "234", "235", "236", "240", "250", "260",
+    "310", "311", "312", "313", "320", "330", "340", "350", "351", "352", "353", "354",
+    "410", "411", "412", "413", "414", "510", "511", "512", "513", "514", "515", "516",
+]
 
 # Roughness of class 0 (default) and of classes 1..55.
 ROUGHNESS_DEFAULT = 0.050

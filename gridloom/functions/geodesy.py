@@ -49,14 +49,12 @@ ALPHA, BETA = _series(_ALPHA), _series(_BETA)
 NEWTON_ROUNDS = 3
 
 # First code of each block of UTM zones, with its hemisphere.
-_UTM_BLOCKS = {32600: True, 25800: True, 32700: False}
+_UTM_BLOCKS = {32600: True, 25800: True, 23000: True, 32700: False}
 
 
 def utm_zone(epsg: int) -> tuple[int, bool]:
-    """Zone number and whether it lies north, or an error for any other system."""
+    """Zone number and whether it lies north, or an error for any other system. All datums count as one ellipsoid."""
     zone, base = epsg % 100, epsg - epsg % 100
-    if base == 23000:
-        raise ValueError(f"EPSG:{epsg} uses another ellipsoid and is not supported")
     if base not in _UTM_BLOCKS or not 1 <= zone <= 60:
         raise ValueError(f"EPSG:{epsg} is not a supported UTM system")
     return zone, _UTM_BLOCKS[base]
@@ -136,8 +134,12 @@ def _from_utm(df: DataFrame, epsg: int) -> DataFrame:
     return out.drop("_xi", "_eta", "_xp", "_ep", "_tp", "_tau", "_sig", "_gp")
 
 
-def reproject(points: DataFrame, source: int, target: int) -> DataFrame:
-    """Rewrite ``x, y`` (easting/longitude first) from one EPSG code to another."""
+def reproject(points: DataFrame, source: int, target: int, same_hemisphere: bool = False) -> DataFrame:
+    """Rewrite ``x, y`` (easting/longitude first) from one EPSG code to another.
+
+    With ``same_hemisphere`` a point that lies in the other hemisphere than the target's UTM zone is an error when it is
+    read; the equator is north.
+    """
     if source == target:
         return points
     if source == 4326:
@@ -162,6 +164,9 @@ def reproject(points: DataFrame, source: int, target: int) -> DataFrame:
             }
         )
     else:
+        if same_hemisphere:
+            wrong = F.raise_error(F.lit(f"coordinates in the wrong hemisphere for EPSG:{target}")).cast("double")
+            df = df.withColumn("_lat", F.when((F.col("_lat") >= 0) != F.lit(utm_zone(target)[1]), wrong).otherwise(F.col("_lat")))
         out = _to_utm(df, target)
     # A generator is a fence: a later filter on x or y is not pushed below it, where it would be
     # rewritten in terms of the input and repeat the whole series many times over.

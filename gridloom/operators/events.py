@@ -7,13 +7,14 @@ one busy scenario is still spread over the cluster.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom import constants as K
 from gridloom.functions.cells import col_of, div, row_of
 from gridloom.functions.ranges import interval_join, seconds
 from gridloom.functions.running import even_width, running
+from gridloom.functions.store import exists
 from gridloom.session import cut
 
 _CELL = "value: string, level: string, depth_level: string, risk_level: string, state: string, height: string"
@@ -281,15 +282,20 @@ def commit_changes(assembled: DataFrame) -> DataFrame:
 def snapshots_at_sync(good: DataFrame, assembled: DataFrame, block: int | Column | None = None) -> DataFrame:
     """Snapshots ``(scenario, snap, seq)``.
 
-    One exists at every Init_EOF and at each Frame_Sync after the first Init_EOF that follows a
-    commit with at least one change since the previous snapshot; they are numbered from 0.
+    One exists at every Init_EOF and at each Frame_Sync after the first Init_EOF that follows new data since the
+    previous snapshot: a commit with at least one change, or a layer that is loaded (its message is complete and names
+    another layer than the terrain). They are numbered from 0.
     """
     block = _width(block, good)
-    commits = assembled.select("scenario", F.col("frame_end").alias("seq")).distinct().withColumn("_commit", F.lit(1))
+    commits = assembled.select("scenario", F.col("frame_end").alias("seq"))
+    asked = _layer_messages(good)
+    loaded = asked.filter(_complete() & (F.col("layer") != K.TERRAIN_LAYER)).select("scenario", "seq", F.lit("InitAgent_Layer").alias("process"), F.lit(1).alias("_commit"))
+    commits = commits.distinct().withColumn("_commit", F.lit(1))
     marks = (
         good.filter(F.col("process").isin("Init_EOF", "EYE_Frame_Sync", "FrameEnd"))
         .select("scenario", "seq", "process")
         .join(commits, ["scenario", "seq"], "left")
+        .unionByName(loaded)
     )
     eof, sync, com = F.col("process") == "Init_EOF", F.col("process") == "EYE_Frame_Sync", F.col("_commit") == 1
     s = F.col("seq")
@@ -315,11 +321,12 @@ def snapshots_at_sync(good: DataFrame, assembled: DataFrame, block: int | Column
     )
 
 
-def grid_at(snapshots: DataFrame, committed: DataFrame, block: int | Column | None = None) -> DataFrame:
-    """Cell values ``(scenario, snap, idx, risk, depth)`` at every snapshot.
+def grid_ranges(snapshots: DataFrame, committed: DataFrame, block: int | Column | None = None) -> DataFrame:
+    """Cell values ``(scenario, idx, from_snap, to_snap, risk, depth)`` with the snapshots they hold at.
 
     Each frame is first mapped to the snapshot that shows it, on a table of one row per frame. A
-    cell value then holds from that snapshot to the one before the cell's next change.
+    cell value then holds from that snapshot to the one before the cell's next change; so there is at most one row per
+    change, whatever the number of snapshots.
     """
     block = _width(block, committed.select(F.col("frame_end").alias("seq")))
     at = snapshots.select("scenario", "seq", F.col("snap").cast("long").alias("_snap"))
@@ -342,7 +349,21 @@ def grid_at(snapshots: DataFrame, committed: DataFrame, block: int | Column | No
         }
     ).join(last, "scenario")
     until = F.coalesce(F.col("_next") - 1, F.col("_max"))
-    return held.select("scenario", F.explode(F.sequence("snap", until)).alias("snap"), "idx", "risk", "depth")
+    return held.select("scenario", "idx", F.col("snap").alias("from_snap"), until.alias("to_snap"), "risk", "depth")
+
+
+def grid_of(ranges: DataFrame, snaps: DataFrame) -> DataFrame:
+    """The grids ``(scenario, snap, idx, risk, depth)`` of the asked ``snaps`` (scenario, snap) only."""
+    asked = snaps.select("scenario", "snap").distinct()
+    # a range meets each asked snapshot in it; the join is by scenario and blocks of snapshots
+    met = interval_join(asked, ranges, F.col("snap"), F.col("from_snap"), F.col("to_snap") + 1, 64, ["scenario"])
+    return met.select("scenario", "snap", "idx", "risk", "depth")
+
+
+def grid_at(snapshots: DataFrame, committed: DataFrame, block: int | Column | None = None) -> DataFrame:
+    """Cell values ``(scenario, snap, idx, risk, depth)`` at every snapshot: the ranges, expanded."""
+    held = grid_ranges(snapshots, committed, block)
+    return held.select("scenario", F.explode(F.sequence("from_snap", "to_snap")).alias("snap"), "idx", "risk", "depth")
 
 
 def ack_points(good: DataFrame, block: int | Column | None = None, limit_seconds: float | None = None) -> DataFrame:
@@ -475,6 +496,15 @@ def toggle_cells(deltas: DataFrame, cells: int) -> DataFrame:
     return good.groupBy("idx").agg((F.count(F.lit(1)) % 2).cast("int").alias("state"))
 
 
+def file_palette(spark: SparkSession, path: str) -> DataFrame | None:
+    """The list ``layers.flood_risk`` of a palette file as one row ``raw``, which is null if the file is broken; None without a file."""
+    if not exists(spark, path):
+        return None
+    entry = "array<struct<value: string, label: string, hex: string, rgba: array<string>>>"
+    read = F.from_json("value", f"struct<layers: struct<flood_risk: {entry}>>")
+    return spark.read.text(path, wholetext=True).select(read["layers"]["flood_risk"].alias("raw"))
+
+
 def resolve_palette(good: DataFrame, file_palette: DataFrame | None, default: list[tuple]) -> DataFrame:
     """Palette per scenario ``(scenario, origin, value, label, hex, r, g, b, a)``.
 
@@ -544,14 +574,22 @@ def pair_ping_pong(good: DataFrame, wait_seconds: int = K.PING_WAIT_SECONDS, blo
     )
 
 
-def layer_requests(good: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Latest layer message per (scenario, layer) and the rejected ones that miss a field."""
-    ask = good.filter(F.col("process") == "InitAgent_Layer").select("scenario", "seq", part("layer").alias("p")).select(
+def _layer_messages(good: DataFrame) -> DataFrame:
+    return good.filter(F.col("process") == "InitAgent_Layer").select("scenario", "seq", part("layer").alias("p")).select(
         "scenario", "seq", F.col("p.id").alias("layer"), "p.data_path", "p.data_filename"
     )
+
+
+def _complete() -> Column:
     full = F.lit(True)
     for c in ("layer", "data_path", "data_filename"):
         full = full & (F.coalesce(F.length(c), F.lit(0)) > 0)
+    return full
+
+
+def layer_requests(good: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Latest layer message per (scenario, layer) and the rejected ones that miss a field."""
+    ask, full = _layer_messages(good), _complete()
     ok = ask.filter(full).groupBy("scenario", "layer").agg(
         F.max_by(F.struct("data_path", "data_filename"), "seq").alias("f"), F.max("seq").alias("seq")
     )

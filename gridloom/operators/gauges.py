@@ -6,10 +6,11 @@ import logging
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.ranges import interval_join, seconds
+from gridloom.session import cut
 
 log = logging.getLogger(__name__)
 
@@ -26,41 +27,66 @@ def bbox_filter(points: DataFrame, min_x: float, min_y: float, max_x: float, max
     return points.filter(F.col("x").between(min_x, max_x) & F.col("y").between(min_y, max_y))
 
 
+def _grams(text: str) -> Column:
+    """Distinct substrings of the length ``_size``, none where the text is shorter."""
+    size = F.col("_size")
+    at = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.array_distinct(F.transform(F.when(F.length(text) >= size, at), lambda i: F.substring(F.col(text), i, size)))
+
+
 def match_aliases(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     """Pairs of a line and a station one of whose aliases occurs in the line's name.
 
-    ``lines`` is ``(line_id, name, value)``. A substring test is a theta join; here the substrings of
-    a name that have the length of some alias become keys of an equi-join instead, so only true
-    matches are ever produced. The lengths in use come from a one-row aggregate.
+    ``lines`` is ``(line_id, name, value)``. A substring test is a theta join; here each alias has one key, of its
+    substrings as long as the shortest alias that which fewest aliases share, and a name is keyed by its substrings of
+    this one length. Pairs that meet at a key are then tested. Empty aliases match nothing.
     """
-    sizes = aliases.agg(F.sort_array(F.collect_set(F.length("alias"))).alias("n")).scalar()
-    grams = lines.withColumn("_n", F.explode(sizes)).filter(F.col("_n").between(1, F.length("name")))
-    grams = grams.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("name") - F.col("_n") + 1)))
-    keyed = grams.select("line_id", "name", "value", F.substring("name", F.col("_at"), F.col("_n")).alias("alias"))
-    hits = keyed.join(aliases.select("station_id", "alias"), "alias")
+    named = aliases.filter(F.length("alias") > 0).select("station_id", "alias").distinct()
+    size = named.agg(F.min(F.length("alias"))).scalar()
+    grams = named.withColumn("_size", size).select("station_id", "alias", F.explode(_grams("alias")).alias("_gram"))
+    shared = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    keyed = grams.join(shared, "_gram").groupBy("station_id", "alias").agg(F.min(F.struct("_n", "_gram")).alias("_k"))
+    keyed = keyed.select("station_id", "alias", F.col("_k._gram").alias("_gram"))
+    names = lines.withColumn("_size", size).select("line_id", "name", "value", F.explode(_grams("name")).alias("_gram"))
+    hits = names.join(keyed, "_gram").filter(F.contains("name", "alias"))
     return hits.groupBy("station_id", "line_id").agg(F.first("value").alias("value"))
 
 
-def select_reports(reports: DataFrame, start: str, end: str) -> DataFrame:
-    """Reports taken when walking back from the end of the window.
+def snap_window(start: str, end: str, hour: int = 8):
+    """Window edges as columns: the end moves up and the start down to the report hour."""
+    s, e = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+    at = lambda t: F.date_trunc("day", t) + F.make_dt_interval(hours=F.lit(hour))
+    one = F.make_dt_interval(days=F.lit(1))
+    return (
+        F.when(s < at(s), at(s) - one).otherwise(at(s)),
+        F.when(e > at(e), at(e) + one).otherwise(at(e)),
+    )
+
+
+# Shortest and longest report in days.
+PERIODS = (1, 10)
 
-    ``reports`` is ``(source, report_date DATE, period INT, matched BOOLEAN)``. On a day the smallest
-    period counts; a matched report jumps back by its period, an unmatched one or a day without any
-    by one day. Walking back over gaps means: take the latest day not after the cursor. Per source
+
+def select_reports(reports: DataFrame, start: str, end: str, periods: tuple[int, int] = PERIODS) -> DataFrame:
+    """Reports taken when walking back from the end of the window, whose edges snap to the report hour.
+
+    ``reports`` is ``(source, report_date DATE, period INT, matched BOOLEAN)``; other than the ``periods`` (from, to)
+    are not asked for. On a day the smallest period counts; a matched report jumps back by its period, an unmatched one
+    or a day without any by one day. Walking back over gaps means: take the latest day not after the cursor. Per source
     only one entry per calendar day of the window is left before the walk, whatever the volume, and
     the walk is a fold inside the JVM.
     """
     day = F.col("report_date")
-    first = reports.filter(day.between(F.to_date(F.lit(start)), F.to_date(F.lit(end)))).groupBy("source", "report_date").agg(
-        F.min("period").alias("period"), F.min_by("matched", "period").alias("matched")
-    )
+    low, high = (F.to_date(edge) for edge in snap_window(start, end))
+    asked = reports.filter(day.between(low, high) & F.col("period").between(*periods))
+    first = asked.groupBy("source", "report_date").agg(F.min("period").alias("period"), F.min_by("matched", "period").alias("matched"))
     # The calendar bounds the array: at most one entry per day of the window.
     walk = first.filter("matched").groupBy("source").agg(
         F.sort_array(F.collect_list(F.struct(F.unix_date("report_date").alias("d"), F.col("period").alias("p"))), asc=False).alias("days")
     )
     taken = F.aggregate(
         F.col("days"),
-        F.struct(F.unix_date(F.to_date(F.lit(end))).alias("at"), F.array().cast("array<struct<d:int,p:int>>").alias("got")),
+        F.struct(F.unix_date(high).alias("at"), F.array().cast("array<struct<d:int,p:int>>").alias("got")),
         lambda acc, x: F.when(
             x["d"] <= acc["at"],
             F.struct((x["d"] - x["p"]).alias("at"), F.concat(acc["got"], F.array(x)).alias("got")),
@@ -72,17 +98,6 @@ def select_reports(reports: DataFrame, start: str, end: str) -> DataFrame:
     )
 
 
-def snap_window(start: str, end: str, hour: int = 8):
-    """Window edges as columns: the end moves up and the start down to the report hour."""
-    s, e = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
-    at = lambda t: F.date_trunc("day", t) + F.make_dt_interval(hours=F.lit(hour))
-    one = F.make_dt_interval(days=F.lit(1))
-    return (
-        F.when(s < at(s), at(s) - one).otherwise(at(s)),
-        F.when(e > at(e), at(e) + one).otherwise(at(e)),
-    )
-
-
 def report_intervals(reports: DataFrame, date: str = "report_date") -> DataFrame:
     """Interval ``[report_date - period days, report_date]`` of each report."""
     return reports.withColumns(
@@ -135,6 +150,26 @@ def union_sources(*sources: DataFrame | Callable[[], DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), good)
 
 
+def read_sources(spark: SparkSession, readers: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Rows of all sources with their ``source``, and a report ``(source, read, error)`` of each.
+
+    Each source is read in a job of its own into the shared folder, so that one whose files turn out to be broken while
+    they are read is left out as a whole and named in the report, and the others stay. Columns that a source lacks are null.
+    """
+    good, report = [], []
+    for name, reader in readers.items():
+        try:
+            good.append(cut(reader(), "source").withColumn("source", F.lit(name)))
+            report.append((name, True, None))
+        except Exception as exc:  # noqa: BLE001 - any failing source must not stop the others
+            log.warning("source %s left out: %s", name, exc)
+            report.append((name, False, str(exc).split("\n")[0][:500]))
+    if not good:
+        raise ValueError(f"no source could be read: {report}")
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), good)
+    return rows, spark.createDataFrame(report, "source string, read boolean, error string")
+
+
 def gate_min_points(points: DataFrame, steps: DataFrame, k: int, value: str = "value") -> DataFrame:
     """Mean and count per step; a step with fewer than ``k`` points gives 0."""
     per = points.groupBy("step").agg(F.count(F.lit(1)).alias("_n"), F.avg(value).alias("_v"))

@@ -189,6 +189,22 @@ def tile_pixels(cells: DataFrame, spec: GridSpec, cover: DataFrame, kind: str, v
     raise ValueError(f"unknown resampling {kind}")
 
 
+def candidate_tiles(cells: DataFrame, spec: GridSpec, zooms: tuple[int, int]) -> DataFrame:
+    """Tiles ``(z, x, y)`` that may show one of the ``cells`` (row, col): those that meet the square around a cell's middle.
+
+    The square is twice as wide as the cell, and wider still by what the projection stretches it; so a tile that is left
+    out has no pixel in a cell, and pixels are needed only for the others.
+    """
+    middle = cells.select("row", "col").distinct().select(
+        "row", "col", cx.centre_x(F.col("col"), spec).alias("x"), cx.centre_y(F.col("row"), spec).alias("y")
+    )
+    geo = geodesy.reproject(middle, spec.epsg, 4326).withColumnsRenamed({"x": "_lon", "y": "_lat"})
+    merc = geodesy.reproject(geo.select("_lat", F.col("_lon").alias("x"), F.col("_lat").alias("y")), 4326, 3857)
+    reach = F.lit(float(spec.cell)) / F.cos(F.radians("_lat"))
+    boxes = merc.select((F.col("x") - reach).alias("west"), (F.col("x") + reach).alias("east"), (F.col("y") - reach).alias("south"), (F.col("y") + reach).alias("north"))
+    return xyz_cover(boxes, zooms, []).select("z", "x", "y").distinct()
+
+
 def nonempty_tiles(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """Tiles with at least one visible pixel."""
     return pixels.groupBy(*keys).agg(F.max("a").alias("a")).filter(F.col("a") > 0).drop("a")

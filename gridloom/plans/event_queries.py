@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from gridloom import constants as K
+from gridloom.functions.store import write_small
 from gridloom.operators import events as ev
 from gridloom.plans import views as vw
 from gridloom.plans.registry import query
@@ -154,6 +157,16 @@ def gate_before_init(v):
     return ev.gate_before_init(_good(v), True).select("scenario", "seq", "process")
 
 
+@query("G11b_grid_ranges", sql("msgs", """select scenario, idx, a as from_snap, coalesce(lead(a) over (partition by scenario, idx order by a) - 1, m) as to_snap, risk, depth from
+    (select f.scenario, f.idx, f.a, arg_max(f.risk, f.frame_end) as risk, arg_max(f.depth, f.frame_end) as depth from
+        (select c.*, (select min(s.snap) from snaps s where s.scenario = c.scenario and s.seq >= c.frame_end) as a from commits c) f where a is not null group by 1, 2, 3)
+    join (select scenario, max(snap) as m from snaps group by 1) using (scenario)""", SNAPS))
+def grid_ranges(v):
+    log = _log(v)
+    made = cut(_frames(v, log), "frames")
+    return ev.grid_ranges(ev.snapshots_at_sync(log, made, BLOCK), ev.commit_changes(made), BLOCK)
+
+
 ACKS = {
     **GOOD,
     "seg": """select *, count(*) filter (process like 'EYE_SetState%') over (partition by scenario, part order by seq) as n from
@@ -277,6 +290,21 @@ def resolve_palette(v):
     return ev.resolve_palette(ev.decode(v.control)[0], None, K.PALETTE)
 
 
+@query("G20b_palettes_of_files", sql("control", """select 'file' as given, s.scenario, coalesce(o.origin, 'file') as origin from (select distinct scenario from good) s left join (select scenario, 'message' as origin from ok where fine) o using (scenario)
+    union all select 'broken', s.scenario, coalesce(o.origin, 'default') from (select distinct scenario from good) s left join (select scenario, 'message' as origin from ok where fine) o using (scenario)""", PALETTE_SQL))
+def palettes_of_files(v):
+    """Whose palette is in force, with a file of the default colours and with one that lists no colours."""
+    good = cut(ev.decode(v.control)[0], "control")
+    root, out = scratch(v.spark, "palettes"), None
+    entries = [{"value": str(value), "label": label, "hex": code, "rgba": rgba} for value, label, code, *rgba in K.PALETTE]
+    for given, listed in (("file", entries), ("broken", [{"value": "x"}])):
+        write_small(v.spark, f"{root}/{given}.json", json.dumps({"layers": {"flood_risk": listed}}))
+        made = ev.resolve_palette(good, ev.file_palette(v.spark, f"{root}/{given}.json"), K.PALETTE)
+        made = made.select(F.lit(given).alias("given"), "scenario", "origin").distinct()
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
 WAIT = 1200
 
 

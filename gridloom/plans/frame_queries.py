@@ -122,30 +122,30 @@ def bound_check(v):
     return fr.bound_check(v.cells.select("row", "col", "height", "depth"), F.col("height") >= 5, "depth", 1e-5).drop("height")
 
 
-def _cells_json(cells):
-    return f"""concat('{{"process":"EYE_SetState_Layer","id":"topo_bathy","changes":{{"coord":{{"x":0,"y":0,"z":0}},"cells":{{', string_agg(concat('"', idx, '":{{"state":', risk, ',"height":', cast(depth as decimal(18,6)), '}}'), ',' order by idx), '}}}}}}')"""
-
-
 CHUNKED = {"d": DIFF, "c": "select *, cast((rank() over (partition by step order by idx) - 1) // 40 as bigint) as chunk from d"}
+_HEAD = "'EYE_SetState_Layer' as process, 'topo_bathy' as id, cast(idx as varchar) as cell, risk as state, depth as height"
+_MESSAGE = "struct<process: string, id: string, changes: struct<coord: struct<x: int, y: int, z: int>, cells: map<string, struct<state: int, height: double>>>>"
 
 
-def _plain(deltas):
-    """Heights as decimals, whose text is the same in both engines."""
-    return deltas.withColumn("depth", F.col("depth").cast("decimal(18,6)"))
+def _cells_of(sent, *keys):
+    """The cells of layer messages, parsed back: heights are compared as the numbers they are."""
+    read = sent.select(*keys, F.from_json("json", _MESSAGE).alias("m"))
+    return read.select(*keys, "m.process", "m.id", F.explode("m.changes.cells").alias("cell", "c")).select(*keys, "process", "id", "cell", "c.*")
 
 
-@query("A15_delta_messages", sql("frames", f"select step, chunk, {_cells_json('')} as json from c group by 1, 2", CHUNKED))
+@query("A15_delta_messages", sql("frames", f"select step, chunk, {_HEAD} from c", CHUNKED))
 def delta_messages(v):
-    return messages.encode_delta_messages(_plain(fr.frame_diff(v.frames)), 40)
+    return _cells_of(messages.encode_delta_messages(fr.frame_diff(v.frames), 40), "step", "chunk")
 
 
-@query("A16_frame_envelope", sql("frames", f"""select step, 1 as rank, chunk, {_cells_json('')} as json from c group by 1, 3
+@query("A16_frame_envelope", sql("frames", f"""select step, 1 as rank, chunk, null as json, {_HEAD} from c
     union all select t.step, r, 0, case r when 0 then concat('{{"process":"FrameStart","total_chunks":', (coalesce(n, 0) + 39) // 40, ',"chunks_per_batch":10}}') when 2 then '{{"process":"FrameEnd"}}'
-        else concat('{{"process":"EYE_Frame_Sync","simulation_time":"', strftime(t.sim_time, '%Y-%m-%dT%H:%M:%S'), '"}}') end
+        else concat('{{"process":"EYE_Frame_Sync","simulation_time":"', strftime(t.sim_time, '%Y-%m-%dT%H:%M:%S'), '"}}') end, null, null, null, null, null
     from (select step, max(ts) as sim_time from writes group by 1) t left join (select step, count(*) as n from d group by 1) m on m.step = t.step, (values (0), (2), (3)) k(r)""", CHUNKED))
 def frame_envelope(v):
     times = v.writes.groupBy("step").agg(F.max("ts").alias("sim_time"))
-    return messages.frame_envelope(_plain(fr.frame_diff(v.frames)), times, 40)
+    sent = messages.frame_envelope(fr.frame_diff(v.frames), times, 40)
+    return sent.filter("rank <> 1").unionByName(_cells_of(sent.filter("rank = 1"), "step", "rank", "chunk"), allowMissingColumns=True)
 
 
 @query("A17_frame_manifest", sql("frames", """select concat('[', string_agg(concat('"step_', lpad(cast(step as varchar), 5, '0'), '"'), ',' order by step), ']') as frames, true as live from (select distinct step from frames)"""))

@@ -89,17 +89,21 @@ def match_aliases(v):
     return gauges.match_aliases(parse_report_lines(v.lines).select("line_id", "name", "value"), v.aliases)
 
 
-_FROM, _TO = "1995-03-01", "2002-12-31"
+_FROM, _TO = "1995-03-01 06:30:00", "2002-12-31 09:15:00"
+#: Edges after snapping to 08:00: the start moves down a day, the end up one.
+_LOW, _HIGH = "1995-02-28", "2003-01-01"
 
 
 @query("B5_select_reports", sql("reports", f"""select source, d as report_date, period from walk where period is not null and matched""", {
-    "best": f"select source, report_date as d, min(period) as period, arg_min(matched, period) as matched from reports where report_date between date '{_FROM}' and date '{_TO}' group by 1, 2",
-    "walk": f"""select s.source, s.d, b.period, b.matched from (select distinct source, date '{_TO}' as d from reports) s left join best b on b.source = s.source and b.d = s.d
-        union all select n.source, n.d, b.period, b.matched from (select source, cast(d - cast(case when matched then period else 1 end as integer) as date) as d from walk where d >= date '{_FROM}') n
+    "odd": "select source, report_date, cast(period * 2 - 3 as integer) as period, matched from reports",
+    "best": f"select source, report_date as d, min(period) as period, arg_min(matched, period) as matched from odd where report_date between date '{_LOW}' and date '{_HIGH}' and period between 1 and 10 group by 1, 2",
+    "walk": f"""select s.source, s.d, b.period, b.matched from (select distinct source, date '{_HIGH}' as d from reports) s left join best b on b.source = s.source and b.d = s.d
+        union all select n.source, n.d, b.period, b.matched from (select source, cast(d - cast(case when matched then period else 1 end as integer) as date) as d from walk where d >= date '{_LOW}') n
         left join best b on b.source = n.source and b.d = n.d""",
 }, recursive=True))
 def select_reports(v):
-    return gauges.select_reports(v.reports, _FROM, _TO)
+    """Periods from -1 to 17 days, so that some are none."""
+    return gauges.select_reports(v.reports.withColumn("period", (F.col("period") * 2 - 3).cast("int")), _FROM, _TO)
 
 
 @query("B6_report_intervals", sql("reports", "select source, report_date, period, report_date - to_days(period) as start_ts, cast(report_date as timestamp) as end_ts from reports"))
@@ -130,6 +134,15 @@ def union_sources(v):
     return gauges.union_sources(v.readings, missing, rep)
 
 
+@query("B9b_read_sources", sql("readings reports", """select 'readings' as source, count(*) as n, true as read from readings union all select 'broken', 0, false union all select 'reports', count(*), true from reports"""))
+def read_sources(v):
+    """One source fails only while its rows are read; it is reported and the others stay."""
+    broken = lambda: v.readings.withColumn("mm_per_hour", F.when(F.col("station_id") >= 0, F.raise_error(F.lit("bad file")).cast("double")))
+    rows, report = gauges.read_sources(v.spark, {"readings": lambda: v.readings, "broken": broken, "reports": lambda: gauges.report_intervals(v.reports.drop("source"))})
+    n = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return report.join(n, "source", "left").select("source", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "read")
+
+
 EDGES = [0.0, 250.0, 500.0, 750.0, 1000.0, 1500.0, 2000.0]
 BINS = f"""select step, bin, avg(h) as h, count(*) as pairs, avg(d * d) / 2 as gamma from
     (select *, cast({' + '.join(f'cast(h >= {e} as integer)' for e in EDGES[1:-1])} as integer) as bin from

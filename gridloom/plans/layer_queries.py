@@ -281,10 +281,10 @@ def gradient_shade(v):
     return focal.gradient_shade(v.cells.select("row", "col", "height"), v.spec)
 
 
-@query("C29_stack_layers", sql("cells", f"""select c."row", c.col, c.height, coalesce(d.depth, 0) as depth, 0::double as rain from cells c left join cells d
-    on c.idx = d.idx and d."row" < {ROWS} - 1"""))
+@query("C29_stack_layers", sql("cells", f"""select c."row", c.col, c.height, case when c."row" = {ROWS} - 1 then 0 else c.depth end as depth, 0::double as rain from cells c"""))
 def stack_layers(v):
-    short = v.layer("depth").filter(F.col("row") < v.spec.rows - 1)
+    # the last row has no values
+    short = v.layer("depth").withColumn("value", F.when(F.col("row") < v.spec.rows - 1, F.col("value")))
     return layers.stack_layers(v.spark, v.spec, {"height": v.layer("height"), "depth": short, "rain": None})
 
 

@@ -177,8 +177,10 @@ def risk_rgba(v):
     (select z, tx, ty, least(cast(floor(({MAXY} - y) / {CELL}) as bigint), {ROWS} - 1) * {COLS} + least(cast(floor((x - {MINX}) / {CELL}) as bigint), {COLS - 1}) as idx from utm where {INSIDE}) p
     join frames f on f.idx = p.idx where f.risk > 0""", pixel_sql()))
 def nonempty_tiles(v):
-    """Sparse frames: pixels meet only the wet cells of each frame."""
-    px = tiles.pixel_points(_pixel_cover(v), v.spec.epsg).filter(cx.inside(F.col("x"), F.col("y"), v.spec))
+    """Sparse frames: pixels are made for tiles that wet cells may lie on, and meet only the wet cells of each frame."""
+    shown_cells = layers.idx_to_rowcol(v.frames.filter("risk > 0").select("idx").distinct(), COLS)
+    may_show = tiles.candidate_tiles(shown_cells, v.spec, PIXEL_ZOOM)
+    px = tiles.pixel_points(_pixel_cover(v).join(may_show, ["z", "x", "y"], "left_semi"), v.spec.epsg).filter(cx.inside(F.col("x"), F.col("y"), v.spec))
     at = px.select("z", "tx", "ty", cx.index_of(cx.row_at(F.col("y"), v.spec), cx.col_at(F.col("x"), v.spec), COLS).alias("idx")).distinct()
     wet = v.frames.filter("risk > 0").select("step", "idx", "risk")
     shown = wet.join(at, "idx").select("step", "z", "tx", "ty", cx.level_rgba(F.col("risk"), K.PALETTE)["a"].alias("a"))

@@ -343,3 +343,37 @@ def test_sparse_numbers_make_no_more_blocks(spark):
     spread = ev.frame_segments(far, LIMIT, block=even_width(far, "seq", 10))
     bins = spread.select(F.sum((F.col("frame_end") - F.col("lo")) / width + 2).alias("b")).first().b
     assert bins <= 3 * spread.count() + 2 * n / 10 + 10
+
+
+def test_a_loaded_layer_is_new_data(spark):
+    """A complete layer message after Init_EOF lets the next sync show a snapshot; the terrain and broken ones do not."""
+    layer = lambda name, **kw: {"process": "InitAgent_Layer", "id": name, "data_path": "p", "data_filename": "f", **kw}
+    sync = {"process": "EYE_Frame_Sync"}
+    kinds = [layer("flood_risk"), {"process": "Init_EOF"}, sync, layer("topo_bathy"), sync, layer("flood_risk", data_path=""), sync, layer("flood_risk"), sync, sync, layer("water_depth"), sync]
+    good, _ = ev.decode(frame_of(spark, [("s", i, T0, json.dumps(k)) for i, k in enumerate(kinds)]))
+    snaps = ev.snapshots_at_sync(good, ev.assemble_frames(good, ROWS, COLS), 4)
+    assert sorted((r.snap, r.seq) for r in snaps.collect()) == [(0, 1), (1, 8), (2, 11)]
+
+
+def test_grids_of_asked_snapshots(spark):
+    good, _ = ev.decode(frame_of(spark, make_log(12, 150)))
+    made = ev.assemble_frames(good, ROWS, COLS)
+    snaps, done = ev.snapshots_at_sync(good, made), ev.commit_changes(made)
+    ranges = ev.grid_ranges(snaps, done)
+    assert ranges.count() <= done.count()
+    every = ev.grid_at(snaps, done)
+    asked = snaps.filter("snap % 3 = 1").select("scenario", "snap")
+    names = ("scenario", "snap", "idx", "risk", "depth")
+    assert tuples(ev.grid_of(ranges, asked), *names) == tuples(every.join(asked, ["scenario", "snap"]), *names)
+
+
+def test_palette_files(spark, tmp_path):
+    from gridloom import constants as K
+
+    good, _ = ev.decode(frame_of(spark, [("a", 0, T0, json.dumps({"process": "Sim_End"}))]))
+    origin = lambda text: (tmp_path / "p.json").write_text(text) and {r.origin for r in ev.resolve_palette(good, ev.file_palette(spark, str(tmp_path / "p.json")), K.PALETTE).collect()}
+    entry = {"value": 3, "label": "x", "hex": "#010203", "rgba": [1, 2, 3, 4]}
+    assert origin(json.dumps({"layers": {"flood_risk": [entry]}}, indent=2)) == {"file"}
+    assert origin(json.dumps({"layers": {"flood_risk": [{**entry, "hex": None}]}})) == {"default"}
+    assert origin(json.dumps({"layers": {}})) == {"default"} and origin("{broken") == {"default"}
+    assert ev.file_palette(spark, str(tmp_path / "none.json")) is None

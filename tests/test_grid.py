@@ -12,7 +12,7 @@ from gridloom import GridSpec
 from gridloom import constants as K
 from gridloom.functions import cells as cx
 from gridloom.functions import geodesy as gd
-from gridloom.operators import focal, frames, interpolate, layers, polygons, regions, tiles
+from gridloom.operators import focal, frames, gauges, interpolate, layers, polygons, regions, tiles
 
 
 def table(spark, **layers_):
@@ -232,7 +232,8 @@ def test_utm_matches_meridian_arc_and_round_trips(spark):
     back = {r.i: r for r in gd.reproject(gd.reproject(pts, 4326, 32730), 32730, 4326).collect()}
     for i, x, y in [(0, -3.0, lat), (1, -0.375, 39.47), (2, 2.9, -12.0)]:
         assert back[i].x == pytest.approx(x, abs=1e-8) and back[i].y == pytest.approx(y, abs=1e-8)
-    for bad in (23030, 4258, 25861):
+    assert gd.utm_zone(23030) == (30, True)
+    for bad in (23061, 4258, 25861):
         with pytest.raises(ValueError):
             gd.utm_zone(bad)
 
@@ -275,3 +276,64 @@ def test_colour_encodings(spark):
     assert got == [(128, 0, 0), (0, 0, 0), (128, 123, 128)]
     lv = spark.createDataFrame([(0,), (3,), (9,)], "l int").select(cx.level_rgba(F.col("l"), K.PALETTE).alias("c"))
     assert [tuple(r.c) for r in lv.collect()] == [(158, 128, 80, 0), (26, 102, 204, 200), (26, 26, 153, 200)]
+
+
+def test_wrong_hemisphere_is_an_error(spark):
+    pts = spark.createDataFrame([(0, -3.0, 40.0), (1, -3.0, 0.0)], "i int, x double, y double")
+    assert gd.reproject(pts, 4326, 23030, same_hemisphere=True).count() == 2
+    for target, lat in ((25830, -0.5), (32730, 0.5)):
+        bad = spark.createDataFrame([(0, -3.0, lat)], "i int, x double, y double")
+        assert gd.reproject(bad, 4326, target).count() == 1
+        with pytest.raises(Exception, match="wrong hemisphere"):
+            gd.reproject(bad, 4326, target, same_hemisphere=True).collect()
+
+
+def test_aliases_have_one_key_each(spark):
+    rnd = random.Random(11)
+    word = lambda n: "".join(rnd.choice("AB ") for _ in range(n)).strip() or "A"
+    aliases = [(i, word(rnd.randint(2, 7))) for i in range(40)] + [(1, ""), (2, None), (3, "AB"), (3, "AB")]
+    lines = [(i, word(rnd.randint(1, 20)), float(i)) for i in range(60)] + [(60, "", 1.0), (61, None, 1.0)]
+    a = spark.createDataFrame(aliases, "station_id int, alias string")
+    got = gauges.match_aliases(spark.createDataFrame(lines, "line_id int, name string, value double"), a)
+    want = {(s, i, v) for s, al in aliases for i, n, v in lines if al and n and al in n}
+    assert {(r.station_id, r.line_id, r.value) for r in got.collect()} == want
+    assert gauges.match_aliases(spark.createDataFrame(lines, "line_id int, name string, value double"), a.limit(0)).count() == 0
+
+
+def test_reports_of_odd_periods_and_snapped_edges(spark):
+    """The window's edges move to the report hour; a period of 0 or 11 days is not asked for."""
+    rows = [("2020-01-10", 2, True), ("2020-01-09", 0, True), ("2020-01-09", 3, True), ("2020-01-08", 1, True), ("2020-01-05", 11, True), ("2020-01-04", 10, True), ("2020-01-03", 1, True)]
+    reports = spark.createDataFrame([("a", *r) for r in rows], "source string, d string, period int, matched boolean").selectExpr("source", "cast(d as date) as report_date", "period", "matched")
+    taken = lambda start, end: [(str(r.report_date), r.period) for r in gauges.select_reports(reports, start, end).orderBy(F.desc("report_date")).collect()]
+    assert taken("2020-01-04 08:00:00", "2020-01-09 08:00:01") == [("2020-01-10", 2), ("2020-01-08", 1), ("2020-01-04", 10)]
+    assert taken("2020-01-04 09:00:00", "2020-01-09 08:00:00") == [("2020-01-09", 3), ("2020-01-04", 10)]
+    assert taken("2020-01-09 07:00:00", "2020-01-09 07:00:00") == [("2020-01-09", 3)]
+
+
+def test_sources_that_break_while_they_are_read(spark, tmp_path):
+    spark.range(5).selectExpr("id", "id * 2 as v").write.parquet(str(tmp_path / "ok"))
+    spark.range(5).selectExpr("id", "id * 2 as v").write.parquet(str(tmp_path / "bad"))
+    part = next((tmp_path / "bad").glob("part-*"))
+    part.write_bytes(part.read_bytes()[:40] + b"broken" * 9)
+    (tmp_path / "bad" / f".{part.name}.crc").unlink(missing_ok=True)
+    read = lambda name: lambda: spark.read.schema("id long, v long").parquet(str(tmp_path / name))
+    rows, report = gauges.read_sources(spark, {"ok": read("ok"), "bad": read("bad"), "none": lambda: spark.read.parquet(str(tmp_path / "none"))})
+    assert rows.groupBy("source").count().collect() == [("ok", 5)]
+    assert {r.source: (r.read, r.error is None) for r in report.collect()} == {"ok": (True, True), "bad": (False, False), "none": (False, False)}
+    with pytest.raises(ValueError, match="no source"):
+        gauges.read_sources(spark, {"bad": read("bad")})
+
+
+def test_candidate_tiles_miss_no_visible_pixel(spark):
+    spec = GridSpec(12, 10, 900.0, 700000.0, 4400000.0)
+    cells = spark.createDataFrame([(0, 0), (0, 9), (6, 4), (11, 3)], "row int, col int")
+    west, north = (lambda p: (p.x, p.y))(gd.reproject(spark.createDataFrame([(spec.min_x - 2000, spec.max_y + 2000)], "x double, y double"), 25830, 3857).first())
+    box = spark.createDataFrame([(west, north - 25000, west + 25000, north)], "west double, south double, east double, north double")
+    zooms = (11, 13)
+    cover = tiles.xyz_cover(box, zooms, [])
+    px = tiles.pixel_points(cover, spec.epsg, 16).filter(cx.inside(F.col("x"), F.col("y"), spec))
+    at = px.select("z", "tx", "ty", cx.row_at(F.col("y"), spec).alias("row"), cx.col_at(F.col("x"), spec).alias("col"))
+    shown = {tuple(r) for r in at.join(cells, ["row", "col"]).select("z", "tx", "ty").distinct().collect()}
+    may = {tuple(r) for r in tiles.candidate_tiles(cells, spec, zooms).collect()}
+    assert shown and shown <= may
+    assert len(may) < cover.count() / 2
