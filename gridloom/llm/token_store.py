@@ -9,7 +9,6 @@ Spark's writer commits them and any store that Spark reads can hold them.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -115,17 +114,27 @@ def _segment(part: int, seq: int, ids: np.ndarray, known: np.ndarray, tokens: np
     return {"part": part, "seq": seq, "n_docs": len(ids), "n_tokens": len(tokens), "width": width} | {k: v.tobytes() for k, v in arrays.items()}
 
 
-_TAIL = re.compile(r"([^<]*[A-Za-z0-9À-ÖØ-öø-ÿ])([.,;:!?]+)")
+_TAIL = r"^(?P<stem>[^<]*[A-Za-z0-9À-ÖØ-öø-ÿ])(?P<marks>[.,;:!?]+)$"
 
 
-def _stem(word: str) -> tuple[str, ...]:
-    """A word as parts that are encoded alike wherever they stand: case of A-Z is dropped, as the tokenizer drops it,
-    and marks after a letter or digit are pieces of their own. Words that may hold a special token stay as they are."""
-    if "<" in word:
-        return (word,)
-    if word[-1:] in ".,;:!?" and (m := _TAIL.fullmatch(word)):
-        return m[1].lower() if m[1].isascii() else m[1], m[2]
-    return (word.lower() if word.isascii() else word,)
+def _parts(vocab: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words as parts that are encoded alike wherever they stand: distinct parts, their codes word by word, and where each word's begin.
+
+    Case of A-Z is dropped, as the tokenizer drops it, and marks after a letter or digit are parts of their own. Words that
+    may hold a special token stay as they are.
+    """
+    split = pc.extract_regex(vocab, pattern=_TAIL)
+    two = pc.is_valid(split)
+    stem = pc.if_else(two, pc.struct_field(split, "stem"), vocab)
+    plain = pc.and_(pc.string_is_ascii(stem), pc.invert(pc.match_substring(stem, "<")))
+    stem = pc.if_else(plain, pc.ascii_lower(stem), stem)
+    both = pa.concat_arrays([stem, pc.filter(pc.struct_field(split, "marks"), two)]).dictionary_encode()
+    codes, two = both.indices.to_numpy(zero_copy_only=False).astype(np.int64), two.to_numpy(zero_copy_only=False)
+    starts = np.concatenate([[0], np.cumsum(1 + two)])
+    out = np.empty(starts[-1], np.int64)
+    out[starts[:-1]] = codes[: len(vocab)]
+    out[starts[1:][two] - 1] = codes[len(vocab) :]
+    return both.dictionary, out, starts
 
 
 #: The tokenizer that a worker process used last, by path, and ids of words; a worker runs many tasks one after another.
@@ -161,16 +170,20 @@ def _write(path: str, end: int):
 
         for piece in W.slices(batches, chars=SEGMENT * 4):
             w = W.split(piece.column("text"))
-            vocab = [_stem(v) for v in w.vocab.to_pylist()]
+            parts, part_codes, part_starts = _parts(w.vocab)
+            parts = parts.to_pylist()
             if len(known) > KEEP:
                 known.clear()
-            new = list(dict.fromkeys(x for v in vocab for x in v if x not in known))
-            known.update((v, tuple(e.ids)) for v, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)))
-            runs = [known[v[0]] + known[v[1]] if len(v) > 1 else known[v[0]] for v in vocab] + [(end,)]
+            new = [x for x in parts if x not in known]
+            known.update((x, tuple(e.ids)) for x, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)))
+            runs = [known[x] for x in parts]
             offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)))])
             flat = np.fromiter(chain.from_iterable(runs), np.uint32, offsets[-1])
+            # ids of each word, and of the end as one more
+            flat, at = gather(flat, offsets, part_codes)
+            flat, offsets = np.append(flat, np.uint32(end)), np.append(at[part_starts], len(flat) + 1)
             # after each text's words one more, the end
-            codes = np.insert(w.codes.astype(np.int64), w.starts[1:], len(vocab))
+            codes = np.insert(w.codes.astype(np.int64), w.starts[1:], len(w.vocab))
             tokens, at = gather(flat, offsets, codes)
             starts = at[w.starts + np.arange(len(w.starts))]
             doc = piece.column("doc_id")
