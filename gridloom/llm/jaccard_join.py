@@ -28,7 +28,10 @@ LEAST = 80
 COUNTER_BITS = 18
 #: Bits of a prefix entry that hold the rank; the others are of the shingle's hash.
 RANK_BITS = 8
-_SET = "doc_id long, n long, s1 long, s2 long, grp long, prefix array<long>"
+#: Longs of a set's bitmap, in which each shingle turns one bit. Sets differ by at least as many shingles as bitmaps do by bits.
+BITMAP = 4
+_BITS = [f"x{k}" for k in range(BITMAP)]
+_SET = "doc_id long, n long, s1 long, s2 long, grp long, prefix array<long>, " + ", ".join(f"{x} long" for x in _BITS)
 
 
 def _words(text: pa.Array) -> tuple[W.Words, np.ndarray]:
@@ -87,6 +90,12 @@ def frequency(docs: DataFrame) -> np.ndarray:
     return (4 * np.log2(np.maximum(total, 1))).astype(np.uint8)
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Parity of how many hashes turn each of the bits, as signed longs."""
+    turned = np.bincount((hashes % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(turned.astype(bool)).view(np.int64)
+
+
 def _sets(shared):
     """Task function: size, signature, group and prefix of each document's set; of an empty one only the size."""
 
@@ -97,7 +106,7 @@ def _sets(shared):
             for doc_id, s in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"))):
                 n = len(s)
                 if not n:
-                    rows.append((doc_id, 0, None, None, None, None))
+                    rows.append((doc_id, 0, None, None, None, None, *[None] * BITMAP))
                     continue
                 with np.errstate(over="ignore"):
                     p = prefix_size(n)
@@ -106,9 +115,9 @@ def _sets(shared):
                     scrambled = W.mix(s)
                     grp = W.windows(np.append(prefix, np.uint64(n)), p + 1)[0]
                     signs = np.array([scrambled.sum(), np.bitwise_xor.reduce(W.mix(scrambled)), grp], np.uint64)
-                rows.append((doc_id, n, *W.signed(signs).tolist(), W.signed(prefix)))
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["doc_id", "n", "s1", "s2", "grp", "prefix"])
+                rows.append((doc_id, n, *W.signed(signs).tolist(), W.signed(prefix), *bitmap(scrambled).tolist()))
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] + [pa.int64()] * BITMAP
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["doc_id", "n", "s1", "s2", "grp", "prefix", *_BITS])
 
     return run
 
@@ -134,15 +143,19 @@ _NEED = f"(((na + nb) * {LEAST} + {99 + LEAST}) div {100 + LEAST})"
 _POSSIBLE = " or ".join(f"(n{x} - (n{x} * {LEAST} + 99) div 100 + 1 - common <= n{x} - {_NEED})" for x in "ab")
 #: Whether the token, at place ia of a's ordered set and ib of b's, may be the first that a similar pair shares.
 _FIRST = f"least(na - ia, nb - ib) >= {_NEED}"
+#: Whether bitmaps leave it open that two sets share as much as they need; no bitmap leaves it open.
+_DIFFER = " + ".join(f"bit_count(a{x} ^ b{x})" for x in _BITS)
+_ALIKE = f"coalesce({_DIFFER} <= na + nb - 2 * {_NEED}, true)"
 _SIZED = f"100 * least(na, nb) >= {LEAST} * greatest(na, nb)"
 
 
-def _across(placed: DataFrame, tokens: DataFrame, heads: DataFrame, known: DataFrame) -> DataFrame:
+def _across(placed: DataFrame, tokens: DataFrame, heads: DataFrame, known: DataFrame, bits: DataFrame) -> DataFrame:
     """``(a, b, ca, cb)``: pairs of nodes in different components ca < cb that may be similar.
 
     placed: (node, grp, n, component); tokens: (token, at, grp), all groups of each prefix shingle that several groups
-    have, with its place there; heads: (grp, head), one document of each; known: (doc_id, grp, prefix). Groups meet at shingles that may be their first common one;
-    those that met are told apart by all of their prefixes.
+    have, with its place there; heads: (grp, head), one document of each; known: (doc_id, grp, prefix); bits: (grp, ``_BITS``), bitmaps of groups of one
+    set. Groups meet at shingles that may be their first common one, if their bitmaps do not rule out that they are
+    similar; those that met are told apart by all of their prefixes.
     """
     kinds = cut(placed.select("grp", "n", "component").distinct(), "kinds")
     # a group whose members are of several components is compared with itself: its own key stands for a shingle
@@ -150,10 +163,10 @@ def _across(placed: DataFrame, tokens: DataFrame, heads: DataFrame, known: DataF
     keyed = tokens.select("token", F.lit(False).alias("own"), "at", "grp").unionByName(own.select(F.col("grp").alias("token"), F.lit(True).alias("own"), F.lit(0).alias("at"), "grp"))
     keyed = keyed.join(kinds, "grp")
     spread = keyed.groupBy("token", "own").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "own")
-    keyed = cut(keyed.join(spread, ["token", "own"]).distinct(), "spread")
-    a = keyed.select("token", "own", F.col("at").alias("ia"), F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    b = keyed.select("token", "own", F.col("at").alias("ib"), F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    met = a.join(b, ["token", "own"]).where("ca < cb").where(_SIZED).where(_FIRST).select("ga", "gb", "na", "nb", "ca", "cb").distinct()
+    keyed = cut(keyed.join(spread, ["token", "own"]).distinct().join(bits, "grp", "left"), "spread")
+    a = keyed.select("token", "own", F.col("at").alias("ia"), F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("component").alias("ca"), *[F.col(x).alias(f"a{x}") for x in _BITS])
+    b = keyed.select("token", "own", F.col("at").alias("ib"), F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("component").alias("cb"), *[F.col(x).alias(f"b{x}") for x in _BITS])
+    met = a.join(b, ["token", "own"]).where("ca < cb").where(_SIZED).where(_FIRST).where(_ALIKE).select("ga", "gb", "na", "nb", "ca", "cb").distinct()
     met = cut(met, "met")
     needed = met.select(F.col("ga").alias("grp")).unionByName(met.select(F.col("gb").alias("grp"))).distinct()
     prefixes = heads.join(needed, "grp").join(known.select("grp", F.col("doc_id").alias("head"), "prefix"), ["grp", "head"])
@@ -188,7 +201,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     rarity = docs.sparkSession.sparkContext.broadcast(frequency(docs))
     sets = cut(docs.mapInArrow(_sets(rarity), _SET), "sets")
     known = sets.where("doc_id is not null and n > 0")
-    nodes = cut(known.groupBy("grp", "s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n")), "nodes")
+    nodes = cut(known.groupBy("grp", "s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *[F.first(x).alias(x) for x in _BITS]), "nodes")
     heads = nodes.groupBy("grp").agg(F.min("node").alias("head"), F.first("n").alias("n"))
     rows = known.select("grp", F.posexplode("prefix").alias("at", "token"))
     # written, as a join of two shuffles can split a hot shingle
@@ -201,8 +214,10 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     between = stars.join(a, "hub").join(b, "grp").where(_SIZED).where(_POSSIBLE).select("a", "b")
     inside = nodes.join(heads.select("grp", "head"), "grp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     near = components(verified(between.unionByName(inside), docs))
-    placed = cut(nodes.join(near, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-    rest = cut(_across(placed, tokens, heads.select("grp", "head"), known), "across")
+    placed = cut(nodes.drop(*_BITS).join(near, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    # members of a group differ beyond its prefix: only a group of one set has a bitmap
+    bits = nodes.groupBy("grp").agg(F.count("*").alias("sets"), *[F.first(x).alias(x) for x in _BITS]).where("sets = 1").drop("sets")
+    rest = cut(_across(placed, tokens, heads.select("grp", "head"), known, bits), "across")
     more = verified(rest.select("a", "b"), docs).join(rest, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     joined = components(more).select(F.col("node").alias("component"), F.col("component").alias("least"))
     ends = placed.join(joined, "component", "left").select("grp", "s1", "s2", F.coalesce("least", "component").alias("end"))
