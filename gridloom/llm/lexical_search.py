@@ -225,29 +225,40 @@ def best_in(segment: Segment, codes: np.ndarray, pair_of: dict, k: int, floor: i
     codes = codes[segment.end[codes] > segment.begin[codes]]
     if not len(codes):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # groups of one or two terms, in ascending order of the most that a document gets from them
-    groups, left = [], codes.tolist()
+    # disjoint pairs, and the most that a document gets from both terms
+    mates, left = {}, codes.tolist()
     while left:
         x = left.pop(0)
-        mate = next((y for y in left if (min(x, y), max(x, y)) in pair_of), None)
-        if mate is None:
-            groups.append((int(segment.top[x]), (x,), -1))
-        else:
-            left.remove(mate)
-            pair = pair_of[min(x, mate), max(x, mate)]
-            groups.append((segment.joint_top(pair, x, mate), (x, mate), pair))
-    groups.sort(key=lambda g: g[0])
+        y = next((y for y in left if (min(x, y), max(x, y)) in pair_of), None)
+        if y is not None:
+            left.remove(y)
+            pair = pair_of[min(x, y), max(x, y)]
+            mates[x], mates[y] = (y, pair), (x, pair)
     # k documents of a term's or a pair's list reach so much from it alone
-    for _, terms, pair in groups:
-        for t in terms:
-            floor = max(floor, segment.reached(t, k))
-        if pair in segment.lists:
-            floor = max(floor, _least(segment.joint[slice(*segment.lists[pair][:2])], k))
+    for t in codes.tolist():
+        floor = max(floor, segment.reached(t, k))
+        if t in mates and mates[t][1] in segment.lists:
+            floor = max(floor, _least(segment.joint[slice(*segment.lists[mates[t][1]][:2])], k))
+    # terms wait as long as a document that has only such terms stays below the floor; a pair of them counts jointly
+    bound_of, total = {}, 0
+    for t in codes[np.argsort(segment.top[codes], kind="stable")].tolist():
+        mate, pair = mates.get(t, (None, -1))
+        both = mate in bound_of
+        more = segment.joint_top(pair, t, mate) - bound_of[mate] if both else int(segment.top[t])
+        if total + more < floor:
+            total, bound_of[t] = total + more, more
+    groups = []
+    for t in bound_of:
+        mate, pair = mates.get(t, (None, -1))
+        if mate not in bound_of:
+            groups.append((int(segment.top[t]), (t,)))
+        elif t < mate:
+            groups.append((segment.joint_top(pair, t, mate), (t, mate)))
+    groups.sort(key=lambda g: g[0])
     bound = np.cumsum([g[0] for g in groups])
-    wait = int(np.searchsorted(bound, floor, side="left"))  # groups whose sum is below the floor
     score = np.zeros(segment.n_docs, np.int64)
-    for _, terms, _ in groups[wait:]:
-        for t in terms:
+    for t in codes.tolist():
+        if t not in bound_of:
             at, impact = segment.of(t)
             score[at] += impact
     docs = np.flatnonzero(score)
@@ -259,7 +270,7 @@ def best_in(segment: Segment, codes: np.ndarray, pair_of: dict, k: int, floor: i
             seen[segment.of(t)[0]] = True
         counts["opened"] = counts.get("opened", 0) + len(docs)
         counts["opened_alone"] = counts.get("opened_alone", 0) + int(seen.sum())
-    for g in range(wait - 1, -1, -1):
+    for g in range(len(groups) - 1, -1, -1):
         floor = max(floor, _least(score[docs], k))
         docs = docs[score[docs] + bound[g] >= floor]
         for t in groups[g][1]:
