@@ -221,11 +221,6 @@ def layer_stats(cells: DataFrame, value: str = "value", nodata: float | None = N
     return out
 
 
-def lut_frame(spark: SparkSession, pairs: list[tuple[int, float]], key: str, value: str) -> DataFrame:
-    schema = T.StructType([T.StructField(key, T.IntegerType()), T.StructField(value, T.DoubleType())])
-    return spark.createDataFrame(pairs, schema)
-
-
 def reclass(cells: DataFrame, table: list[float], default: float, key: str = "land_cover", value: str = "roughness") -> DataFrame:
     """Class to number through a lookup table that is part of the plan; unknown takes the default."""
     lut = F.array(*[F.lit(float(v)) for v in table])
@@ -333,9 +328,3 @@ def apply_rain(cells: DataFrame, rain: DataFrame, dry_tolerance: float) -> DataF
 
 def wet_state(cells: DataFrame, dry_tolerance: float) -> DataFrame:
     return cells.withColumn("moving", cx.is_wet(F.col("depth"), dry_tolerance).cast("int"))
-
-
-def pick_rows(df: DataFrame, cond: Column) -> tuple[DataFrame, DataFrame]:
-    """Split into rows that satisfy a condition and the rest (nulls go to the rest)."""
-    ok = F.coalesce(cond, F.lit(False))
-    return df.filter(ok), df.filter(~ok)
