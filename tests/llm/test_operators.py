@@ -121,6 +121,24 @@ def test_license_scan(spark, documents, odd, odd_rows, empty):
     assert "Python" not in done._jdf.queryExecution().toString() and "MapIn" not in done._jdf.queryExecution().toString()
 
 
+def test_license_spans_are_verified(spark):
+    """Votes that repeat a part of a template, or stand in another order, give no label; a changed template does."""
+    mit = " ".join(f"word{k % 40} and{k}" for k in range(120))
+    changed = mit.split()
+    del changed[50]
+    changed[100:100] = ["put", "in"]
+    texts = ["the public the public domain", "mit license the mit license mit license", "released into the the public domain", "x " + mit, " ".join(changed), " ".join(mit.split()[120:] + mit.split()[:120]), "tiny", None]
+    docs = spark.createDataFrame([(k, t, "z") for k, t in enumerate(texts)], "doc_id long, text string, label string").repartition(3)
+    own = spark.createDataFrame([("long", mit, False), ("long", mit, None), ("tiny", "tiny", True), (None, "the public", True), ("none", None, False)], "label string, text string, base boolean")
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_scan(docs).collect()}
+    assert got[0] == ("", 0.5) and got[1] == ("", 0.5) and got[2] == ("public-domain", 1.0) and got[7] == ("", 0.0)
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_scan(docs, own).collect()}
+    assert got[3] == ("long", 1.0) and got[4][0] == "long" and 0.97 < got[4][1] < 1 and got[5][0] == "" and 0.45 < got[5][1] < 0.55
+    assert [got[k] for k in (0, 6, 7)] == [("", 0.0)] * 3
+    none = license_scan.license_scan(docs, own.limit(0))
+    assert none.count() == len(texts) and none.agg(F.max("score")).first()[0] == 0
+
+
 # 3
 
 
