@@ -1,15 +1,15 @@
 """Language ID by cross-parsing: how few phrases of a language's labelled text a text falls into.
 
-A suffix automaton of labelled text per language yields the longest match from each phrase start (Ziv and
-Merhav, 1993). Words are parsed each for itself, as a text's phrases then are the sum over its words and a
-word that many texts share is parsed once; phrases are counted for each character of the text's words.
+A suffix automaton of labelled running text per language yields the longest match from each phrase start (Ziv
+and Merhav, 1993); matches cross blanks. Phrases are counted for each character.
 """
 
 from __future__ import annotations
 
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,23 +21,30 @@ from pyspark.sql.window import Window
 
 from gridloom.llm import words as W
 
-#: Bound of the fit: labelled documents for each language, and characters of distinct words of them.
-SAMPLE_DOCS, SAMPLE_CHARS = 60, 24_000
-#: Letters of a word that are parsed together.
-PIECE = 64
+#: Bound of the fit: labelled documents for each language, and characters of the text of one.
+SAMPLE_DOCS, SAMPLE_CHARS = 60, 2_000
+#: Letters with a code of their own, the most frequent of the sample, and codes that all others share.
+LETTERS, SHARED = 96, 31
+#: Characters that are parsed together: a phrase ends with its stretch, in every text alike.
+STRETCH = 512
 ADDED = ("lang_pred", "score")
 
 
-def automaton(words: list[str], alphabet: dict[str, int]) -> np.ndarray:
-    """Transitions of the suffix automaton of words, each between blanks; -1 where no match goes on."""
+def automaton(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix automaton of a running text of letter codes, as steps of a cross parse.
+
+    Returns the table and, by state, the logarithm of how often its substrings occur. The table's entry at
+    ``state * width + code`` is the next state times width; where no match goes on, or at the root, it is the
+    state of the phrase that the letter opens, times width and with all bits flipped.
+    """
     moves: list[dict[int, int]] = [{}]
-    link, length, last = [-1], [0], 0
-    for c in "".join(f" {w}" for w in words) + " ":
-        k = alphabet[c]
+    link, length, times, last = [-1], [0], [0], 0
+    for k in codes.tolist():
         new = len(moves)
         moves.append({})
         length.append(length[last] + 1)
         link.append(0)
+        times.append(1)
         p = last
         while p >= 0 and k not in moves[p]:
             moves[p][k] = new
@@ -51,104 +58,136 @@ def automaton(words: list[str], alphabet: dict[str, int]) -> np.ndarray:
                 moves.append(dict(moves[q]))
                 length.append(length[p] + 1)
                 link.append(link[q])
+                times.append(0)
                 link[q] = link[new] = twin
                 while p >= 0 and moves[p].get(k) == q:
                     moves[p][k] = twin
                     p = link[p]
         last = new
-    table = np.full((len(moves), len(alphabet) + 1), -1, np.int32)  # the last letter stands for those never seen
-    for state, to in enumerate(moves):
-        table[state, list(to)] = list(to.values())
-    return table
+    for state in sorted(range(1, len(moves)), key=length.__getitem__, reverse=True):
+        times[link[state]] += times[state]
+    root = np.zeros(width, np.int32)
+    root[list(moves[0])] = list(moves[0].values())
+    table = np.empty((len(moves), width), np.int32)
+    table[:] = ~(root * width)
+    for state, to in enumerate(moves[1:], 1):
+        table[state, list(to)] = np.array(list(to.values()), np.int32) * width
+    times[0] = 1
+    return table.ravel(), np.log(np.array(times, np.float32))
+
+
+@lru_cache(1)
+def _alphabetic() -> np.ndarray:
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 @dataclass
 class Model:
     langs: list[str]
-    alphabet: dict[str, int]
+    letters: str
     tables: list[np.ndarray]
-
-    def phrases(self, vocab: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases of each word by language, and the word's length with blanks; all words step on together.
-
-        A word of more than PIECE letters is parsed in pieces of so many.
-        """
-        if any(len(w) > PIECE for w in vocab):
-            cuts = [[w[k : k + PIECE] for k in range(0, max(1, len(w)), PIECE)] for w in vocab]
-            count, size = self.phrases([x for c in cuts for x in c])
-            first = np.cumsum([0, *map(len, cuts)])[:-1]
-            return np.add.reduceat(count, first, axis=0), np.add.reduceat(size, first)
-        size = np.fromiter(map(len, vocab), np.int64, len(vocab)) + 2
-        out = np.zeros((len(vocab), len(self.langs)), np.int64)
-        points = np.frombuffer("".join(f" {w} " for w in vocab).encode("utf-32-le"), np.uint32)
-        known = np.array(sorted(map(ord, self.alphabet)), np.uint32)
-        letter = np.array([self.alphabet[chr(c)] for c in known])
-        at = np.minimum(np.searchsorted(known, points), len(known) - 1)
-        codes = np.where(known[at] == points, letter[at], len(self.alphabet))
-        begin = np.cumsum(size) - size
-        order = np.argsort(-size, kind="stable")
-        for lang, table in enumerate(self.tables):
-            state, count = np.zeros(len(vocab), np.int64), np.zeros(len(vocab), np.int64)
-            for step in range(int(size.max(initial=0))):
-                live = order[: np.searchsorted(-size[order], -step)]
-                c = codes[begin[live] + step]
-                to = table[state[live], c]
-                starts = (state[live] == 0) | (to < 0)  # a letter never seen is a phrase of its own
-                count[live] += starts
-                state[live] = np.where(starts, np.maximum(table[0, c], 0), to)
-            out[:, lang] = count
-        return out, size
-
-
-def _prepared(text: pa.Array) -> pa.Array:
-    return pc.utf8_lower(pc.fill_null(text.cast(pa.string()), ""))
+    times: list[np.ndarray]
+
+    @property
+    def width(self) -> int:
+        return 1 + len(self.letters) + SHARED
+
+    def lookup(self) -> np.ndarray:
+        """The code of each code point: 0 for all but letters, which have their own or a shared one."""
+        points = np.arange(0x110000)
+        code = np.where(_alphabetic(), 1 + len(self.letters) + points % SHARED, 0).astype(np.int16)
+        code[list(map(ord, self.letters))] = np.arange(1, 1 + len(self.letters))
+        return code
+
+    def encode(self, text: pa.Array, lookup: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Letter codes of all texts and where each starts; runs of other characters are one blank, as are both ends."""
+        low = pc.utf8_lower(pc.fill_null(text.cast(pa.string()), ""))
+        size = pc.utf8_length(low).to_numpy(zero_copy_only=False).astype(np.int64) + 2
+        starts = np.concatenate([[0], np.cumsum(size)])
+        points = np.frombuffer("".join(f" {t} " for t in low.to_pylist()).encode("utf-32-le"), np.uint32)
+        codes = lookup[points]
+        keep = codes != 0
+        keep[1:] |= codes[:-1] != 0
+        keep[starts[:-1]] = True
+        return codes[keep].astype(np.int32), np.concatenate([[0], np.cumsum(keep)])[starts]
+
+    def phrases(self, codes: np.ndarray, starts: np.ndarray, often: bool = False) -> np.ndarray:
+        """Phrases of each text by language, or how often they occur in the labelled text (sum of logarithms)."""
+        size = np.diff(starts)
+        cuts = -(-size // STRETCH)
+        owner = np.repeat(np.arange(len(size)), cuts)
+        begin = starts[:-1][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * STRETCH
+        long = np.minimum(starts[1:][owner] - begin, STRETCH)
+        order = np.argsort(-long, kind="stable")
+        owner, begin, long = owner[order], begin[order], long[order]
+        live = np.searchsorted(-long, -np.arange(long.max(initial=0)))
+        state, count = [np.zeros(len(owner), np.int32) for _ in self.langs], [np.zeros(len(owner), np.float32 if often else np.int32) for _ in self.langs]
+        for step, n in enumerate(live):
+            c = codes[begin[:n] + step]
+            for table, times, at, total in zip(self.tables, self.times, state, count):
+                to = table.take(at[:n] + c)
+                opens = to >> 31  # all bits where a phrase opens
+                if often:
+                    total[:n] += times[at[:n] // self.width] * (opens != 0)
+                else:
+                    total[:n] -= opens
+                at[:n] = to ^ opens
+        if often:
+            count = [total + times[at // self.width] for times, at, total in zip(self.times, state, count)]
+        return np.stack([np.bincount(owner, total, len(size)) for total in count], 1)
 
 
 def fit(labelled: DataFrame) -> Model:
-    """Learn from (doc_id, text, lang). Takes at most SAMPLE_DOCS documents of each language, those of least hash."""
-    usable = labelled.where("lang is not null and text is not null and doc_id is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    """Learn from (doc_id, text, lang), from whole texts of a bounded sample.
+
+    Of each language the at most SAMPLE_DOCS documents of least hash are taken among those of at most
+    SAMPLE_CHARS characters; a language that has none is learned from its shortest text. Rows with a null
+    in any of the three say nothing; of rows that share doc_id and language the least text counts.
+    """
+    usable = labelled.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text")
+    over = F.greatest(F.char_length("text"), F.lit(SAMPLE_CHARS)).alias("size")
+    sizes = usable.groupBy("doc_id", "lang").agg(F.min(over).alias("size"))
+    order = Window.partitionBy("lang").orderBy("size", F.xxhash64("doc_id"), "doc_id")
     # ids first, so that no text is sorted; as many rows as languages times the bound come to the driver
-    ids = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS).select("doc_id", "lang")
-    texts: dict[str, set[str]] = {}
-    for row in usable.join(ids, ["doc_id", "lang"]).select("doc_id", "lang", F.lower(F.substring("text", 1, SAMPLE_CHARS)).alias("text")).collect():
-        texts.setdefault(row.lang, set()).update("".join(c if c.isalpha() else " " for c in row.text).split())
-    langs, chosen = sorted(texts), []
-    for lang in langs:
-        total, own = 0, []
-        for w in sorted(texts[lang], key=lambda w: (zlib.crc32(w.encode()), w)):
-            if total < SAMPLE_CHARS:
-                own.append(w)
-                total += len(w) + 1
-        chosen.append(own)
-    alphabet = {c: k for k, c in enumerate(sorted({" ", *(c for own in chosen for w in own for c in w)}))}
-    return Model(langs, alphabet, [automaton(own, alphabet) for own in chosen])
+    ids = sizes.withColumn("n", F.row_number().over(order)).where((F.col("n") <= SAMPLE_DOCS) & ((F.col("size") <= SAMPLE_CHARS) | (F.col("n") == 1)))
+    drawn = usable.withColumn("size", over).join(F.broadcast(ids.drop("n")), ["doc_id", "lang", "size"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    texts: dict[str, list[tuple]] = {}
+    for row in drawn.collect():
+        texts.setdefault(row.lang, []).append((row.doc_id, row.text))
+    seen = Counter(c for own in texts.values() for _, t in own for c in pc.utf8_lower(pa.scalar(t)).as_py() if c.isalpha())
+    letters = "".join(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])
+    model = Model(sorted(texts), letters, [], [])
+    lookup = model.lookup()
+    for lang in model.langs:
+        codes, _ = model.encode(pa.array([" ".join(t for _, t in sorted(texts[lang]))]), lookup)
+        table, times = automaton(codes, model.width)
+        model.tables.append(table)
+        model.times.append(times)
+    return model
 
 
 def _predict(shared):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, names = shared.value, np.array([*shared.value.langs, "und"], object)
+        lookup = model.lookup()
         for part in W.slices(batches):
-            w = W.split(_prepared(part.column("text")))
-            vocab = w.vocab.to_pylist()
-            letters = ["".join(c for c in v if c.isalpha()) if not v.isalpha() else v for v in vocab]
-            count, size = model.phrases(letters)
-            has = np.fromiter(map(bool, letters), bool, len(letters))
-            count[~has] = 0
-            size = size * has
-            n = len(w.starts) - 1
-            owner = np.repeat(np.arange(n), np.diff(w.starts))
-            total = np.stack([np.bincount(owner, count[w.codes, k], n) for k in range(len(model.langs))], 1) if model.langs else np.zeros((n, 0))
-            chars = np.bincount(owner, size[w.codes], n)
-            pred, score = np.full(n, "und", object), np.zeros(n)
-            if model.langs:
-                some = chars > 0
-                best = total.argmin(1)
-                pred[some] = np.array(model.langs, object)[best[some]]
-                rate = total / np.maximum(chars, 1)[:, None]
-                weight = np.exp(-20 * (rate - rate.min(1, keepdims=True)))
-                score[some] = (1 / weight.sum(1))[some]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score)], [*part.schema.names, *ADDED])
+            codes, starts = model.encode(part.column("text"), lookup)
+            n = len(starts) - 1
+            best, score = np.full(n, len(model.langs)), np.zeros(n)
+            some = np.flatnonzero(np.diff(starts) > 1)  # a blank alone is a text without letters
+            if model.langs and len(some):
+                count = model.phrases(codes, starts)[some]
+                rate = count / np.diff(starts)[some, None]
+                low = count == count.min(1, keepdims=True)
+                best[some] = low.argmax(1)
+                score[some] = 1 / np.exp(-20 * (rate - rate.min(1, keepdims=True))).sum(1)
+                ties = np.flatnonzero(low.sum(1) > 1)
+                if len(ties):
+                    at = some[ties]
+                    own = [codes[starts[k] : starts[k + 1]] for k in at]
+                    often = model.phrases(np.concatenate(own), np.cumsum([0, *map(len, own)]), often=True)
+                    best[at] = np.where(low[ties], often, -np.inf).argmax(1)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[best], pa.string()), pa.array(score)], [*part.schema.names, *ADDED])
 
     return task
 
@@ -157,7 +196,8 @@ def language_id(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` with ``lang_pred`` and ``score`` (0 to 1, the share of the best language).
 
     Reads only the text. Null text or text without a letter: ``und``, score 0; so is every text if nothing
-    was learned. Equal phrase counts: the first language in order of names. Rows are treated one by one; a
+    was learned. Equal phrase counts: the language in whose labelled text the phrases occur more often, then
+    the first in order of names. Rows are treated one by one; a
     column named like an added one is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

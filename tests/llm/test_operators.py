@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -154,26 +155,48 @@ def test_language_id(spark, documents, odd, odd_rows, empty):
     assert {r.lang_pred for r in language_id.language_id(odd, nothing).collect()} == {"und"}
 
 
-def test_cross_parsing_counts_phrases():
-    words = ["banana", "band", "ante"]
-    alphabet = {c: k for k, c in enumerate(sorted(set(" " + "".join(words))))}
-    model = language_id.Model(["x"], alphabet, [language_id.automaton(words, alphabet)])
-    source = "".join(f" {w}" for w in words) + " "
-
-    def plain(word):
-        text, n, at = f" {word} ", 0, 0
-        while at < len(text):
-            m = 1
-            while at + m < len(text) and text[at : at + m + 1] in source:
-                m += 1
-            at, n = at + m, n + 1
+def test_cross_parsing_counts_phrases(spark, monkeypatch):
+    """Running text with matches across blanks, non-letters alike in fit and prediction, letters without a code, stretches."""
+    monkeypatch.setattr(language_id, "STRETCH", 40)
+    rows = [(1, "banana band, ante", "x"), (2, "l'homme été bande", "x"), (3, "ante ante tez", "y"), (4, None, "y"), (None, "zzz", "y"), (5, "q" * 3000, "y"), (6, "long " * 500, "z"), (2, "zz", "y")]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    clean = lambda t: " " + "".join(c if c.isalpha() else " " for c in t.lower()).strip() + " "
+    squeeze = lambda t: re.sub(" +", " ", clean(t))
+    source = {"x": squeeze("banana band, ante l'homme été bande"), "y": squeeze("zz ante ante tez"), "z": squeeze("long " * 500)}
+
+    def plain(text, lang):
+        n = 0
+        for lo in range(0, len(text), 40):
+            part, at = text[lo : lo + 40], 0
+            while at < len(part):
+                m = 1
+                while at + m < len(part) and part[at : at + m + 1] in source[lang]:
+                    m += 1
+                at, n = at + m, n + 1
         return n
 
+    assert model.langs == ["x", "y", "z"]
     rnd = random.Random(1)
-    vocab = ["".join(rnd.choice("bandtez") for _ in range(rnd.randint(1, 12))) for _ in range(200)]
-    count, _ = model.phrases(vocab)
-    assert count[:, 0].tolist() == [plain(w) for w in vocab]
-    assert model.phrases(["ab" * 500, "a"])[0].shape == (2, 1)
+    texts = ["".join(rnd.choice("bandtezlhomé '-1") for _ in range(rnd.randint(1, 150))) for _ in range(200)] + ["L'HOMME", "band ante band ante"]
+    codes, starts = model.encode(pa.array(texts), model.lookup())
+    want = [[plain(squeeze(t), lang) if squeeze(t).strip() else 1 for lang in model.langs] for t in texts]
+    got = model.phrases(codes, starts).astype(int).tolist()
+    assert [g for g, t in zip(got, texts) if squeeze(t).strip()] == [w for w, t in zip(want, texts) if squeeze(t).strip()]
+    # equal counts: the phrase is more frequent in y than in x
+    tie = spark.createDataFrame([(1, "ante"), (2, "1-"), (3, None)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.language_id(tie, model).collect()} == {1: "y", 2: "und", 3: "und"}
+
+
+def test_language_of_few_words(spark, documents):
+    """Excerpts of held-out texts, from one word up."""
+    model = language_id.fit(documents.where("crc32(cast(doc_id as string)) % 3 <> 1"))
+    held = documents.where("crc32(cast(doc_id as string)) % 3 = 1 and lang is not null and char_length(text) > 200").collect()
+    for n, least in ((1, 0.5), (3, 0.85), (10, 0.95)):
+        cut = [(k, " ".join(r.text.split()[5 : 5 + n]), r.lang) for k, r in enumerate(held)]
+        done = language_id.language_id(spark.createDataFrame(cut, "doc_id long, text string, lang string"), model).collect()
+        share = sum(r.lang == r.lang_pred for r in done) / len(done)
+        print(n, share)
+        assert share > least
 
 
 # 4
