@@ -61,3 +61,17 @@ def test_near_duplicates_of_rows(spark):
     assert stage(spark, docs.limit(0), SF).count() == 0
     assert done.columns == docs.columns
     assert sorted(map(tuple, done.collect()), key=str) == sorted([rows[0], rows[1], rows[4], rows[6], *rows[7:]], key=str)
+
+
+def test_columns_with_clashing_names(spark, tmp_path):
+    """Columns named like added ones, and of types without an order, come out as they went in."""
+    words = " ".join(f"w{k}" for k in range(60))
+    added = ["near_duplicate_node", "gone", "score", "predicted", "n_removed", "kept_text", "component_id", "n_shingles", "item_id"]
+    rows = [(k, t, 5, {"a": k}, *["keep"] * len(added)) for k, t in ((1, words), (1, words), (2, words), (3, "plain text here"), (4, None))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, Tags map<string,long>, " + ", ".join(f"{c} string" for c in added))
+    out = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, out, SF).write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[0], rows[3], rows[4]], key=str)
