@@ -217,16 +217,16 @@ def _stream(v, files: int):
     top = log.agg(F.max("seq").alias("m")).scalar()
     part = F.floor(F.col("seq") * files / (top + 1)).cast("int")
     bounds = log.select(F.to_json("s").alias("value"), "seq", part.alias("part"))
-    # One write per arrival, so that the files have the arrival order.
-    for i in range(files):
-        bounds.filter(F.col("part") == i).select("value").coalesce(1).write.mode("append").text(f"{root}/in")
     fold = FrameFold(f"{root}/out", v.spec.rows, v.spec.cols, LIMIT, file_mode=True, compact_every=2)
-    q = run_fold(read_event_log(v.spark, f"{root}/in", stream=True, files_per_batch=1), fold, f"{root}/checkpoint")
-    if not q.awaitTermination(600):
-        q.stop()
-        raise TimeoutError("the stream did not end")
-    if q.exception():
-        raise q.exception()
+    # One write and one micro-batch per arrival; an arrival has as many files as tasks write it.
+    for i in range(files):
+        bounds.filter(F.col("part") == i).select("value").write.mode("append").text(f"{root}/in")
+        q = run_fold(read_event_log(v.spark, f"{root}/in", stream=True), fold, f"{root}/checkpoint")
+        if not q.awaitTermination(600):
+            q.stop()
+            raise TimeoutError("the stream did not end")
+        if q.exception():
+            raise q.exception()
     return f"{root}/out"
 
 
