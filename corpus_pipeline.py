@@ -31,7 +31,7 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without words.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = toxicity.fit(toxicity.sample(docs, labels))
+    model = toxicity.fit(toxicity.labelled(docs, labels))
     apart = _apart(docs, "text")
     return toxicity.toxicity(apart, model).where("predicted = 0").select(apart.columns).toDF(*docs.columns)
 
