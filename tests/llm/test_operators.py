@@ -241,6 +241,17 @@ def test_token_store(spark, documents, odd, odd_rows, empty, tmp_path):
     assert token_store.read_store(spark, str(tmp_path / "1")).count() == 0
 
 
+def test_token_store_letters_together():
+    """op5: runs of letters are encoded many at a time, with the ids that each has alone; odd parts go one by one."""
+    parts = ["a", "the", "été", "straße", "ÿ", "x" * 300, "don't", "İx", "a.b", "<|endoftext|>", "ﬁn", "7", "qzxv"]
+    encoder = token_store.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    letters = pa.compute.match_substring_regex(pa.array(parts), token_store._LETTERS).to_numpy(zero_copy_only=False)
+    assert letters.tolist() == [True] * 6 + [False] * 6 + [True] and encoder._joined([p for p, one in zip(parts, letters) if one])
+    encoder.known.clear()
+    encoder.learn(parts, letters)
+    assert [np.frombuffer(encoder.known[p], np.uint32).tolist() for p in parts] == ids_of("word_bpe_49k.json", parts)
+
+
 def test_minimal_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 20_000, dtype=np.uint64))
     mph = token_store.Mph.build(keys)
@@ -282,6 +293,19 @@ def test_byte_bpe_pieces():
     assert encoder.decode(ids, at) == texts
 
 
+def test_byte_bpe_remembers_pieces(monkeypatch):
+    """op8: words of letters are pieces without a look at the pattern, and texts of many slices do not forget them at once."""
+    assert byte_bpe.KEEP >= 400_000
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        encoder = byte_bpe.Encoder(byte_bpe.Bpe(f.read()))
+    cut, real = [], encoder.bpe.pieces
+    monkeypatch.setattr(encoder.bpe, "pieces", lambda t: cut.append(t) or real(t))
+    texts = ["plain Words été Ωmega x2", " lead", "it's a-b", "", "naïve\u0301 end", "a  b"]
+    ids, at = encoder.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == ids_of("byte_bpe_50k.json", texts)
+    assert " Words" not in cut and " été" not in cut and " x2" in cut and " naïve" not in cut
+
+
 # 6
 
 
