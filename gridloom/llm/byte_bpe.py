@@ -23,10 +23,12 @@ from gridloom.llm import words as W
 # The pattern of pieces that byte-level vocabularies of this kind fix.
 PIECE = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A part of a text that starts so after a space starts a piece with that space.
-_PLAIN = regex.compile(r"[!-~À-ɏ]")
+_PLAIN = r"^[!-~À-ɏ]"
+#: A part of a text that is one piece, with or without a space before it.
+_LETTERS = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 ADDED = ("ids", "decoded")
 #: Pieces that a task remembers at most.
-KEEP = 100_000
+KEEP = 400_000
 _CHARS = 1_500_000
 
 
@@ -98,8 +100,9 @@ class Bpe:
                 return
             order = np.argsort(r, kind="stable")
             at, r = at[order], r[order]
-            cuts = np.flatnonzero(r[1:] != r[:-1]) + 1
-            for key, where in zip(r[np.concatenate([[0], cuts])].tolist(), np.split(at, cuts)):
+            cuts = [0, *(np.flatnonzero(r[1:] != r[:-1]) + 1).tolist(), len(r)]
+            for key, lo, hi in zip(r[cuts[:-1]].tolist(), cuts, cuts[1:]):
+                where = at[lo:hi]
                 if key in index:
                     index[key].append(where)
                 else:
@@ -151,19 +154,20 @@ class Encoder:
     """Encodes texts of one task; remembers the ids of pieces."""
 
     def __init__(self, bpe: Bpe):
-        self.bpe, self.known = bpe, {}
+        self.bpe, self.known = bpe, {}  # ids as bytes, four each
 
     def _learn(self, pieces: list[str]) -> None:
         if len(self.known) > KEEP:
             self.known.clear()
         new = [p for p in dict.fromkeys(pieces) if p not in self.known]
         plain = [p for p in new if p not in self.bpe.special]
-        self.known.update({p: np.array([self.bpe.special[p]]) for p in new if p in self.bpe.special})
+        self.known.update({p: np.array([self.bpe.special[p]], "<u4").tobytes() for p in new if p in self.bpe.special})
         raw = [p.encode() for p in plain]
         if raw:
             starts = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
             ids, at = self.bpe.merge(self.bpe.start[np.frombuffer(b"".join(raw), np.uint8)], starts)
-            self.known.update(zip(plain, np.split(ids, at[1:-1])))
+            coded, at = ids.astype("<u4").tobytes(), (4 * at).tolist()
+            self.known.update((p, coded[a:b]) for p, a, b in zip(plain, at, at[1:]))
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin."""
@@ -171,23 +175,24 @@ class Encoder:
         lists = pc.split_pattern(text, " ")
         coded = lists.flatten().dictionary_encode()
         code, vocab = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+        begins, letters = (pc.match_substring_regex(coded.dictionary, p).to_numpy(zero_copy_only=False) for p in (_PLAIN, _LETTERS))
         starts = lists.offsets.to_numpy().astype(np.int64)
         starts -= starts[0]
         spaced = np.ones(len(code), bool)
         spaced[starts[:-1]] = False
-        plain = np.fromiter((_PLAIN.match(v) is not None for v in vocab), bool, len(vocab))
-        odd = np.concatenate([[0], np.cumsum(spaced & ~plain[code])])[starts]
+        odd = np.concatenate([[0], np.cumsum(spaced & ~begins[code])])[starts]
         odd = np.flatnonzero(np.diff(odd))  # texts with white space beside a space are cut by the pattern as a whole
         key = code * 2 + spaced
         distinct, key = np.unique(key, return_inverse=True)
-        chunks = [self.bpe.pieces(" " + vocab[k >> 1] if k & 1 else vocab[k >> 1]) for k in distinct.tolist()]
+        words = [" " + vocab[k >> 1] if k & 1 else vocab[k >> 1] for k in distinct.tolist()]
+        chunks = [[x] if one else self.bpe.pieces(x) for x, one in zip(words, letters[distinct >> 1].tolist())]
         whole = text.take(pa.array(odd)).to_pylist()
         chunks += [self.bpe.pieces(t) for t in whole]
         self._learn([p for c in chunks for p in c])
-        known, none = self.known, np.zeros(0, np.int64)
-        runs = [known[c[0]] if len(c) == 1 else np.concatenate([known[p] for p in c]) if c else none for c in chunks]
-        flat = np.concatenate(runs) if runs else none
-        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)))])
+        known = self.known
+        runs = [known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c]) for c in chunks]
+        flat = np.frombuffer(b"".join(runs), "<u4").astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)))]) // 4
         # an odd text is one chunk in place of its own
         if len(odd):
             owner = np.repeat(np.arange(len(text)), np.diff(starts))
