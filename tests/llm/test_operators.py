@@ -353,6 +353,16 @@ def test_toxicity_learns_from_all_rows(spark, monkeypatch):
     assert np.allclose(again, model.scores(pa.array([t for _, t in rows[:200]])), atol=1e-3)
 
 
+def test_toxicity_of_repeated_rows(spark, monkeypatch):
+    """Rows that come twice count once; another text of the same doc_id counts too."""
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    rows = [(k, sentence(k, 20) + (" vileword" if k % 2 else ""), k % 2, "en") for k in range(60)] + [(1, "second vileword", 1, "en")]
+    fits = [toxicity.fit(spark.createDataFrame(x, "doc_id long, text string, toxic int, lang string").repartition(3)) for x in (rows, rows + rows)]
+    assert np.allclose(fits[0].table, fits[1].table) and fits[0].cutoff == fits[1].cutoff
+    n = toxicity.features(pa.array(["second"]))[0, 0], toxicity.features(pa.array(["vileword"]))[0, 0]
+    assert fits[0].table[n[0], 0] == 0 and abs(fits[0].table[n[1], 0] - (np.log(31.5 / 32) - np.log(0.5 / 31))) < 0.1
+
+
 def test_toxicity_cleaning():
     """Bytes in place of a regular expression: the same words."""
     texts = [None, "", "It's A-OK\x00\x7f now_then", "ÀÉ İx K;ß\u2028é", "caf\u00e9.Bar" * 3]
