@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridloom.llm import words as W
 from gridloom.llm.components import components
@@ -30,6 +31,8 @@ COUNTER_BITS = 18
 RANK_BITS = 8
 #: Longs of a set's bitmap, in which each shingle turns one bit. Sets differ by at least as many shingles as bitmaps do by bits.
 BITMAP = 4
+#: Shared prefix shingles just before one that a group brings along to where it meets others.
+PAST = 4
 _BITS = [f"x{k}" for k in range(BITMAP)]
 _SET = "doc_id long, n long, s1 long, s2 long, grp long, prefix array<long>, " + ", ".join(f"{x} long" for x in _BITS)
 
@@ -149,6 +152,27 @@ _ALIKE = f"coalesce({_DIFFER} <= na + nb - 2 * {_NEED}, true)"
 _SIZED = f"100 * least(na, nb) >= {LEAST} * greatest(na, nb)"
 
 
+def _meetings(keyed: DataFrame, bits: DataFrame) -> DataFrame:
+    """``(ga, gb, na, nb, ca, cb)``: groups of different components ca < cb at each shingle where they meet.
+
+    keyed: (token, own, at, grp, n, component); bits: (grp, ``_BITS``). A pair is needed once, at the first shingle that
+    both have. So of shingles that the same groups have (by a 128-bit signature) the first stands for all, and at the others a
+    group meets only those that share none of the PAST shingles before it: whoever shares one was met there or earlier.
+    """
+    alike = lambda seed: F.expr(f"bit_xor(xxhash64({seed}, grp, component))")
+    # places follow shingles as unsigned numbers
+    unsigned = F.col("token").bitwiseXOR(F.lit(-(1 << 63)))
+    who = keyed.groupBy("token", "own").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("groups"), alike(1).alias("g1"), alike(2).alias("g2"))
+    first = who.where("lo <> hi").groupBy("own", "groups", "g1", "g2").agg(F.min(unsigned).bitwiseXOR(F.lit(-(1 << 63))).alias("token")).select("token", "own")
+    before = Window.partitionBy("grp", "own", "component").orderBy("at").rowsBetween(-PAST, -1)
+    keyed = keyed.join(first, ["token", "own"]).distinct().join(bits, "grp", "left").withColumn("past", F.collect_list("token").over(before))
+    keyed = cut(keyed, "spread")
+    a = keyed.select("token", "own", F.col("at").alias("ia"), F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("past").alias("pa"), *[F.col(x).alias(f"a{x}") for x in _BITS])
+    b = keyed.select("token", "own", F.col("at").alias("ib"), F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("past").alias("pb"), *[F.col(x).alias(f"b{x}") for x in _BITS])
+    met = a.join(b, ["token", "own"]).where("ca < cb").where(_SIZED).where(_FIRST).where(_ALIKE).where("not arrays_overlap(pa, pb)")
+    return met.select("ga", "gb", "na", "nb", "ca", "cb")
+
+
 def _across(placed: DataFrame, tokens: DataFrame, heads: DataFrame, known: DataFrame, bits: DataFrame) -> DataFrame:
     """``(a, b, ca, cb)``: pairs of nodes in different components ca < cb that may be similar.
 
@@ -161,13 +185,7 @@ def _across(placed: DataFrame, tokens: DataFrame, heads: DataFrame, known: DataF
     # a group whose members are of several components is compared with itself: its own key stands for a shingle
     own = kinds.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     keyed = tokens.select("token", F.lit(False).alias("own"), "at", "grp").unionByName(own.select(F.col("grp").alias("token"), F.lit(True).alias("own"), F.lit(0).alias("at"), "grp"))
-    keyed = keyed.join(kinds, "grp")
-    spread = keyed.groupBy("token", "own").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "own")
-    keyed = cut(keyed.join(spread, ["token", "own"]).distinct().join(bits, "grp", "left"), "spread")
-    a = keyed.select("token", "own", F.col("at").alias("ia"), F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("component").alias("ca"), *[F.col(x).alias(f"a{x}") for x in _BITS])
-    b = keyed.select("token", "own", F.col("at").alias("ib"), F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("component").alias("cb"), *[F.col(x).alias(f"b{x}") for x in _BITS])
-    met = a.join(b, ["token", "own"]).where("ca < cb").where(_SIZED).where(_FIRST).where(_ALIKE).select("ga", "gb", "na", "nb", "ca", "cb").distinct()
-    met = cut(met, "met")
+    met = cut(_meetings(keyed.join(kinds, "grp"), bits).distinct(), "met")
     needed = met.select(F.col("ga").alias("grp")).unionByName(met.select(F.col("gb").alias("grp"))).distinct()
     prefixes = heads.join(needed, "grp").join(known.select("grp", F.col("doc_id").alias("head"), "prefix"), ["grp", "head"])
     left, right = (prefixes.select(F.col("grp").alias(f"g{x}"), F.col("prefix").alias(f"p{x}")) for x in "ab")

@@ -415,6 +415,35 @@ def test_jaccard_near_copies(spark):
     assert got == brute.jaccard_components(rows)
 
 
+def test_jaccard_pairs_meet_at_their_first_shared_shingle(spark):
+    """Groups that share many shingles meet once, not at each of them, whichever groups share the others."""
+    shared = {t: range(6) for t in range(40)} | {t: [t % 6, (t + 1) % 6, (t + 3) % 6] for t in range(40, 60)} | {60: [6, 7], -5: [7, 8], -4: [6, 7, 8]}
+    rows = []
+    for grp in range(9):
+        # shingles have the order of unsigned numbers
+        own = sorted((t for t, who in shared.items() if grp in who), key=lambda t: t % (1 << 64))
+        rows += [(t, False, at, grp, 900, grp) for at, t in enumerate(own)]
+    keyed = spark.createDataFrame(rows, "token long, own boolean, at int, grp long, n long, component long")
+    bits = spark.createDataFrame([], "grp long, " + ", ".join(f"x{k} long" for k in range(jaccard_join.BITMAP)))
+    met = [(r.ca, r.cb) for r in jaccard_join._meetings(keyed, bits).collect()]
+    want = {(a, b) for a in range(6) for b in range(a + 1, 6)} | {(6, 7), (6, 8), (7, 8)}
+    assert set(met) == want and len(met) <= len(want) + 1
+
+
+def test_jaccard_long_near_copies(spark):
+    """Near copies of long texts share most of their prefixes; links between clusters are found all the same."""
+    rnd, rows = random.Random(9), []
+    for c in range(4):
+        base = sentence(40 + c, 700).split(" ")
+        for k in range(12):
+            words = list(base)
+            for _ in range(rnd.randint(0, 16)):
+                words[rnd.randrange(len(words))] = f"v{rnd.randint(0, 999)}"
+            rows.append((len(rows), " ".join(words)))
+    got = by_id(jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute.jaccard_components(rows)
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 130)] + [(130, 129), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
