@@ -363,6 +363,27 @@ def test_toxicity_of_repeated_rows(spark, monkeypatch):
     assert fits[0].table[n[0], 0] == 0 and abs(fits[0].table[n[1], 0] - (np.log(31.5 / 32) - np.log(0.5 / 31))) < 0.1
 
 
+def test_toxicity_fit_in_steps(spark, monkeypatch):
+    """Blocks are split, hashed, sent and added some at a time, and the model is that of one step."""
+    texts = [None, "", "One word, two WORDS", " \t", "été two one", *(f"{sentence(k, 30)} {'vile' if k % 3 == 0 else 'kind'}" for k in range(60))]
+    rows = [(k, t, int(k % 3 == 0), "de" if k % 2 else None) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int, lang string").coalesce(1)
+    none = np.array([None] * len(texts), object)
+    block = lambda: toxicity.Block.of(pa.array(texts, pa.string()), np.zeros(len(texts)), none).row()
+    whole, at_once = toxicity.fit(docs), block()
+    for name, n in (("STEP_CHARS", 100), ("STEP_WORDS", 7), ("STEP_ROWS", 5)):
+        monkeypatch.setattr(toxicity, name, n)
+    assert block().equals(at_once)
+    again = toxicity.fit(docs)
+    assert np.array_equal(again.table != 0, whole.table != 0) and np.allclose(again.table, whole.table, atol=1e-6)
+    assert np.allclose(toxicity._pack(again), toxicity._pack(whole), atol=1e-6) and again.cutoff.keys() == whole.cutoff.keys()
+    # a task sends no more rows at a time than a step
+    size = (1 << toxicity.TABLE_BITS) + 1
+    shared = type("Shared", (), {"value": (np.arange(size - 1), np.ones((size, toxicity.DIM), np.float32), toxicity._pack(whole), 0.05, len(texts), (1.0, 1.0))})
+    sent = list(toxicity._epoch(shared)(iter([at_once])))
+    assert len(sent) > 2 and max(b.num_rows for b in sent) <= max(5, -(-len(toxicity._pack(whole)) // toxicity.DIM))
+
+
 def test_toxicity_cleaning():
     """Bytes in place of a regular expression: the same words."""
     texts = [None, "", "It's A-OK\x00\x7f now_then", "ÀÉ İx K;ß\u2028é", "caf\u00e9.Bar" * 3]
