@@ -1,6 +1,7 @@
 """Ranked lexical search: MaxScore over index segments, with bounds of term pairs.
 
-Documents are indexed in segments, each a row of postings. For the terms of a set of queries a segment then gets
+Documents are indexed in segments, each a row whose postings are packed bytes, so that Spark carries a few MB for each
+and nothing of what is in it. For the terms of a set of queries a segment then gets
 impacts (what a term adds to a document's score) and, for pairs of terms that stand in one query, intersection lists:
 the documents that hold both, with the joint impact and its maximum. No document gets more from the two terms than the
 largest of the joint maximum and the maxima of either alone, which is less than the sum of both maxima. A query bounds
@@ -11,7 +12,7 @@ All numbers of a score but the weights are whole, so that a bound never cuts off
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +22,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.llm import words as W
-from gridloom.session import cut
+from gridloom.session import cut, small_batches
 
 #: Distinct (query, term) pairs of a block of queries, which is sent to all tasks.
 BLOCK_TERMS = 100_000
 #: Scores: impact is weight * ((SCALE * tf) div (1000 * tf + 8 * m)), m is BASE + ((SLOPE * n * N) div L).
 SCALE, BASE, SLOPE = 1_000_000_000, 10, 90
 
-_SEGMENT = "docs array<{id}>, sizes array<int>, terms array<string>, starts array<int>, at array<int>, tf array<int>"
+_SEGMENT = "docs array<{id}>, n_terms bigint, postings binary"
+#: Rows are few and long: a writer looks at its sizes after each, and what is packed is not compressed again.
+_FILES = {"compression": "uncompressed", "parquet.block.size": "8388608", "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
 
 
 def _byte_table() -> bytes:
@@ -51,6 +54,21 @@ def _list(values, starts=None) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)] if starts is None else starts, pa.int32()), values)
 
 
+def _pack(row: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(row)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(batch: pa.RecordBatch, name: str) -> Iterator[tuple[pa.RecordBatch, Callable[[str], pa.Array], Callable[[str], np.ndarray]]]:
+    """For each row the row itself and what is packed in its column ``name``: lists by their names, and lists of numbers."""
+    for row in range(batch.num_rows):
+        packed = pa.ipc.open_stream(batch.column(name)[row].as_buffer()).read_next_batch()
+        col = lambda name, packed=packed: packed.column(name)[0].values
+        yield batch.slice(row, 1), col, lambda name, col=col: col(name).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in W.slices(batches):
         found = terms_of(batch.column("text"))
@@ -72,12 +90,20 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(docs: DataFrame, path: str) -> DataFrame:
     """Write the inverted index of all texts of ``docs`` (doc_id, text) to the new folder ``path`` and read it.
 
-    Each row is a segment of about ``W.SLICE_CHARS`` characters or of one longer text: its documents with their sizes in
-    terms, its terms, and the postings of term i from ``starts[i]`` to ``starts[i + 1]``. Other columns are not read.
+    Each row is a segment of about ``W.SLICE_CHARS`` characters or of one longer text: its documents and how many terms
+    they have, and packed their sizes in terms, the terms, and the postings of term i from ``starts[i]`` to
+    ``starts[i + 1]``. Other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = _SEGMENT.format(id=kind)
-    docs.select("doc_id", "text").mapInArrow(_index, schema).write.option("compression", "zstd").parquet(path)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _index(batches):
+            n_terms = pa.array([pc.sum(found.column("sizes")[0].values).as_py() or 0], pa.int64())
+            packed = pa.array([_pack(found.select(["sizes", "terms", "starts", "at", "tf"]))], pa.binary())
+            yield pa.RecordBatch.from_arrays([found.column("docs"), n_terms, packed], ["docs", "n_terms", "postings"])
+
+    docs.select("doc_id", "text").mapInArrow(task, schema).write.options(**_FILES).parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
@@ -96,9 +122,15 @@ def query_terms(items: DataFrame) -> DataFrame:
 
 def weights(index: DataFrame, terms: DataFrame) -> tuple[DataFrame, int, int]:
     """(term, w) of the ``terms`` that some document holds, the number of documents with a term, and that of their terms."""
-    n_docs, n_terms = index.agg(F.sum(F.size("docs")), F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)"))).first()
+    n_docs, n_terms = index.agg(F.sum(F.size("docs")), F.sum("n_terms")).first()
     n_docs, n_terms = n_docs or 0, n_terms or 0
-    posted = index.select(F.expr("inline(transform(terms, (t, i) -> struct(t as term, starts[i + 1] - starts[i] as df)))"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, col, num in _unpacked(batch, "postings"):
+                yield pa.RecordBatch.from_arrays([col("terms"), pa.array(np.diff(num("starts")), pa.int64())], ["term", "df"])
+
+    posted = index.select("postings").mapInArrow(task, "term string, df bigint")
     df = posted.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
     w = F.floor(1000 * F.log(F.lit(2.0 * n_docs + 2) / (2 * F.col("df") + 1)))
     return df.select("term", w.cast("long").alias("w")), n_docs, n_terms
@@ -130,11 +162,11 @@ def impacts(tf: np.ndarray, size: np.ndarray, n_docs: int, n_terms: int) -> np.n
     return SCALE * tf // (1000 * tf + 8 * m)
 
 
-_PAIR_INDEX = "docs array<{id}>, terms array<int>, starts array<int>, at array<int>, impact array<bigint>, pairs array<int>, pair_starts array<int>, pair_at array<int>, joint array<bigint>, joint_max array<bigint>"
+_PAIR_INDEX = "docs array<{id}>, lists binary"
 
 
 def pair_index(index: DataFrame, block: Block, n_docs: int, n_terms: int) -> DataFrame:
-    """For each segment the postings of the block's terms with impacts, and intersection lists of its pairs.
+    """For each segment the postings of the block's terms with impacts, and intersection lists of its pairs, packed.
 
     pairs holds places in ``block.pairs``; list k is ``pair_at[pair_starts[k]:pair_starts[k + 1]]``, with joint impacts
     beside it and their maximum in ``joint_max[k]``. Pairs that no document of the segment holds have no list.
@@ -147,9 +179,7 @@ def pair_index(index: DataFrame, block: Block, n_docs: int, n_terms: int) -> Dat
         terms, w, pairs = sent.value
         first, second = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
         for batch in batches:
-            for row in range(batch.num_rows):
-                col = lambda name: batch.column(name)[row].values  # noqa: B023, E731
-                num = lambda name: col(name).to_numpy(zero_copy_only=False).astype(np.int64)
+            for row, col, num in _unpacked(batch, "postings"):
                 code = pc.fill_null(pc.index_in(col("terms"), value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
                 mine = np.flatnonzero(code >= 0)
                 mine = mine[np.argsort(code[mine])]
@@ -171,15 +201,16 @@ def pair_index(index: DataFrame, block: Block, n_docs: int, n_terms: int) -> Dat
                     if len(both):
                         lists.append((k, at[a:b][both], impact[a:b][both] + impact[c + seek[both]]))
                 sizes = [len(x[1]) for x in lists]
-                yield pa.RecordBatch.from_arrays(
+                made = pa.RecordBatch.from_arrays(
                     [
-                        _list(col("docs")), _list(pa.array(code[mine], pa.int32())), _list(pa.array(begin, pa.int32())), _list(pa.array(at, pa.int32())), _list(pa.array(impact, pa.int64())),
+                        _list(pa.array(code[mine], pa.int32())), _list(pa.array(begin, pa.int32())), _list(pa.array(at, pa.int32())), _list(pa.array(impact, pa.int64())),
                         _list(pa.array([x[0] for x in lists], pa.int32())), _list(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())),
                         _list(pa.array(np.concatenate([x[1] for x in lists]) if lists else [], pa.int32())),
                         _list(pa.array(np.concatenate([x[2] for x in lists]) if lists else [], pa.int64())), _list(pa.array([x[2].max() for x in lists], pa.int64())),
                     ],
-                    ["docs", "terms", "starts", "at", "impact", "pairs", "pair_starts", "pair_at", "joint", "joint_max"],
+                    ["terms", "starts", "at", "impact", "pairs", "pair_starts", "pair_at", "joint", "joint_max"],
                 )
+                yield pa.RecordBatch.from_arrays([row.column("docs"), pa.array([_pack(made)], pa.binary())], ["docs", "lists"])
 
     return index.mapInArrow(task, _PAIR_INDEX.format(id=kind))
 
@@ -291,10 +322,9 @@ def _search(sent, k: int):
         floors = [0] * len(codes)
         kind = None
         for batch in batches:
-            for row in range(batch.num_rows):
-                col = lambda name: batch.column(name)[row].values  # noqa: B023, E731
-                num = lambda name: col(name).to_numpy(zero_copy_only=False).astype(np.int64)
-                docs, kind = col("docs"), col("docs").type
+            for row, _, num in _unpacked(batch, "lists"):
+                docs = row.column("docs")[0].values
+                kind = docs.type
                 segment = Segment(len(docs), *(num(c) for c in ("terms", "starts", "at", "impact", "pairs", "pair_starts", "pair_at", "joint", "joint_max")), n_terms)
                 for q, terms in enumerate(codes):
                     at, score = best_in(segment, terms, pair_of, k, floors[q])
@@ -333,7 +363,8 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     index = build_index(docs, scratch(spark, "index"))
     asked = cut(query_terms(items), "queries")
     w, n_docs, n_terms = weights(index, asked)
-    weighed = cut(asked.join(w, "term").select("item_id", "term", "w", F.xxhash64("item_id").alias("deal")), "weights")
+    with small_batches(spark):
+        weighed = cut(asked.join(w, "term").select("item_id", "term", "w", F.xxhash64("item_id").alias("deal")), "weights")
     blocks = max(1, -(-weighed.count() // BLOCK_TERMS))
     kind = items.schema["item_id"].dataType.simpleString()
     out = spark.createDataFrame([], f"item_id {kind}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score long")
@@ -341,8 +372,9 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
         block = Block([tuple(r) for r in weighed.where(F.expr(f"pmod(deal, {blocks}) = {b}")).select("item_id", "term", "w").collect()])
         if not block.items:
             continue
-        lists = cut(pair_index(index, block, n_docs, n_terms), "pairs")
         names = spark.createDataFrame(list(enumerate(block.items)), f"query int, item_id {kind}")
-        out = out.unionByName(cut(search(lists, block, k), "found").join(names, "query").select("item_id", "doc_id", "score"))
+        with small_batches(spark):
+            best = cut(search(cut(pair_index(index, block, n_docs, n_terms), "pairs", **_FILES), block, k), "found")
+        out = out.unionByName(best.join(names, "query").select("item_id", "doc_id", "score"))
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from brute import SPACE, lower
 from compare import compare, connect
@@ -15,6 +16,7 @@ from conftest import SF
 
 from gridloom.llm import lexical_search, quality_rules, spelling_variants
 from gridloom.llm.queries import ORACLES, QUERIES
+from gridloom.session import small_batches
 
 DOCS = "doc_id long, text string, n_words string, votes int, item_id string, word string, run string"
 
@@ -261,3 +263,24 @@ def test_pair_bounds_open_fewer_documents():
     docs_at, score = lexical_search.best_in(segment, block.codes[0], {pair: 0}, 2, floor, counts)
     assert sorted(zip(docs_at.tolist(), score.tolist())) == sorted((d, s) for d, s in enumerate(total.tolist()) if s >= floor)
     assert counts["opened"] < counts["opened_alone"]
+
+
+def test_segments_are_packed_and_written_few_at_a_time(spark, documents, monkeypatch, tmp_path):
+    """A task holds a few segments of many, whether it writes them, reads them or sends them to Python."""
+    monkeypatch.setitem(lexical_search._FILES, "parquet.block.size", "4096")
+    rows_sent = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(rows_sent)
+    spark.conf.set(rows_sent, 4)  # a segment each
+    try:
+        index = lexical_search.build_index(documents.coalesce(1), str(tmp_path / "index"))
+    finally:
+        spark.conf.set(rows_sent, was)
+    assert index.schema["postings"].dataType.simpleString() == "binary"
+    held = pq.ParquetFile(next((tmp_path / "index").glob("*.parquet"))).metadata
+    rows = [held.row_group(g).num_rows for g in range(held.num_row_groups)]
+    assert sum(rows) > 20 and max(rows) <= 10
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    with small_batches(spark, "10k"):
+        sizes = [r.n for r in index.mapInArrow(lambda batches: (pa.record_batch([[b.num_rows]], ["n"]) for b in batches), "n long").collect()]
+    assert sum(sizes) == sum(rows) and max(sizes) <= 10
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
