@@ -38,6 +38,9 @@ def part(name: str) -> Column:
     return F.from_json("json", f"struct<{PARTS[name]}>", {"mode": "PERMISSIVE"})
 
 
+#: Snapshots of a band of an expanded grid.
+BAND = 256
+
 STATE_KINDS = ("EYE_SetState_Layer", "EYE_SetState")
 # The kinds of messages.
 KNOWN = [
@@ -361,9 +364,16 @@ def grid_of(ranges: DataFrame, snaps: DataFrame) -> DataFrame:
 
 
 def grid_at(snapshots: DataFrame, committed: DataFrame, block: int | Column | None = None) -> DataFrame:
-    """Cell values ``(scenario, snap, idx, risk, depth)`` at every snapshot: the ranges, expanded."""
+    """Cell values ``(scenario, snap, idx, risk, depth)`` at every snapshot: the ranges, expanded.
+
+    Ranges are cut at every ``BAND`` snapshots and each task expands one band after the other, so that the same few
+    snapshots follow each other for cell after cell: column files of the many rows stay small.
+    """
     held = grid_ranges(snapshots, committed, block)
-    return held.select("scenario", F.explode(F.sequence("from_snap", "to_snap")).alias("snap"), "idx", "risk", "depth")
+    bands = F.sequence(F.floor(F.col("from_snap") / BAND), F.floor(F.col("to_snap") / BAND))
+    pieces = held.select("*", F.explode(bands).alias("_band")).sortWithinPartitions("scenario", "_band", "idx", "from_snap")
+    begin, end = F.greatest("from_snap", F.col("_band") * BAND), F.least("to_snap", F.col("_band") * BAND + (BAND - 1))
+    return pieces.select("scenario", F.explode(F.sequence(begin, end)).alias("snap"), "idx", "risk", "depth")
 
 
 def ack_points(good: DataFrame, block: int | Column | None = None, limit_seconds: float | None = None) -> DataFrame:
